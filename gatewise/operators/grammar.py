@@ -23,8 +23,11 @@ _TO_DIGIT = ("".join(P.DIGIT_SLOT_FIXES), "".join(P.DIGIT_SLOT_FIXES.values()))
 SLOT_GEN, TRIM_GEN, REPAIR_GEN = 100, 10_000, 1_000_000
 
 
-def _recipes_sql(n: str) -> str:
-    """Constant array of recipes for a text of length ``n``: a layout and the position dropped (-1 none)."""
+def _recipes_sql(n: str, open_only: bool) -> str:
+    """Constant array of recipes for a text of length ``n``: a layout and the position dropped (-1 none).
+
+    ``open_only`` leaves blank and settled texts with the raw recipe alone.
+    """
 
     def row(gen, kind, d, l, pos, tag):
         return f"named_struct('gen', {gen}, 'kind', '{kind}', 'd', {d}, 'l', {l}, 'pos', {pos}, 'tag', '{tag}')"
@@ -40,7 +43,10 @@ def _recipes_sql(n: str) -> str:
             if 7 + d + l == size:
                 rows += [row(TRIM_GEN + 100 * (20 * k + i), "trim", d, l, i, f"{tag}_trim{i}") for i in range(size)]
         whens.append(f"WHEN {size} THEN array({', '.join(rows)})")
-    return f"CASE WHEN {n} <> '' THEN CASE length({n}) {' '.join(whens)} ELSE array({raw}) END END"
+    by_length = f"CASE length({n}) {' '.join(whens)} ELSE array({raw}) END"
+    if open_only:
+        return f"CASE WHEN {n} RLIKE '{P.KNOWN_FORMAT}' THEN array({raw}) ELSE {by_length} END"
+    return f"CASE WHEN {n} <> '' THEN {by_length} END"
 
 
 def _one_edit_apart(a: str, b: str) -> bool:
@@ -100,7 +106,7 @@ def state_prefix_fixes(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     )
 
 
-def expand_candidates(reads: DataFrame, text: str = "plate_text") -> DataFrame:
+def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: bool = False) -> DataFrame:
     """One read to many candidates (gen, cand_text, cand_score, cand_tag), repeats included.
 
     Blank texts have no candidates. A text fitted to a layout matches the standard format and every
@@ -110,7 +116,7 @@ def expand_candidates(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     kind = F.col("_r.kind")
     recipes = (
         reads.withColumn("_n", P.normalize_plate(F.col(text)))
-        .select(*keep, "_n", F.explode(F.expr(_recipes_sql("_n"))).alias("_r"))
+        .select(*keep, "_n", F.explode(F.expr(_recipes_sql("_n", open_only))).alias("_r"))
         .withColumn("_b", F.expr(
             "if(_r.pos < 0, _n, concat(substring(_n, 1, _r.pos), substring(_n, _r.pos + 2)))"))
         .withColumns({
@@ -248,6 +254,22 @@ def with_choice(df: DataFrame, text: str, chosen: str = "chosen_text", tag: str
     }).drop("_t", "_norm", "_best")
 
 
+def with_choice_in_place(df: DataFrame, text: str, keys: list[str], chosen: str = "chosen_text") -> DataFrame:
+    """``with_choice`` for rows already partitioned by some of their unique ``keys``: candidates are
+    grouped back onto their row, which needs no shuffle and no second pass over ``df``."""
+    order = F.struct("cand_score", -F.abs(F.length("cand_text") - F.length("_norm")), -F.col("first_gen"))
+    payload = [c for c in df.columns if c not in keys]
+    packed = df.select(*keys, F.struct(*payload).alias("_p"), P.normalize_plate(F.col(text)).alias("_norm"))
+    per_text = (
+        expand_candidates(packed, "_norm", open_only=True)
+        .groupBy(*keys, "cand_text")
+        .agg(F.max("cand_score").alias("cand_score"), F.min("gen").alias("first_gen"),
+             F.first("_norm").alias("_norm"), F.first("_p").alias("_p"))
+    )
+    best = per_text.groupBy(*keys).agg(F.max_by("cand_text", order).alias(chosen), F.first("_p").alias("_p"))
+    return best.select(*keys, *(F.col(f"_p.{c}").alias(c) for c in payload), chosen)
+
+
 def choose_plate(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     return with_choice(reads, text)
 

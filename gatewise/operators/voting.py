@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewise.functions import plates as P
 from gatewise.operators import grammar
@@ -114,7 +115,7 @@ def align(reference: str, other: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _align_udf(reference: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([align(r, o) for r, o in zip(reference, other)], dtype=object)
 
@@ -140,6 +141,8 @@ def _with_aligned(clusters: DataFrame) -> DataFrame:
     def aligned_texts(reference: pd.Series, others: pd.Series) -> pd.Series:
         return pd.Series([[align(r, o) for o in os] for r, os in zip(reference, others)], dtype=object)
 
+    # Marked nondeterministic only so the optimizer evaluates it once instead of inlining it.
+    aligned_texts = aligned_texts.asNondeterministic()
     staged = with_modal_length(clusters).withColumn(
         "reference", F.expr("filter(members, m -> length(m.n) = modal_length)[0].n"))
     staged = staged.withColumn("_odd", F.expr("transform(filter(members, m -> length(m.n) <> modal_length), m -> m.n)"))
@@ -168,17 +171,17 @@ def _position_votes() -> Column:
     )
 
 
-def with_consensus(clusters: DataFrame, out: str = "consensus") -> DataFrame:
+def with_consensus(clusters: DataFrame, keys: list[str], out: str = "consensus") -> DataFrame:
     """Consensus text of each cluster: a single read stands as it is, several vote per character and
     the result goes through plate correction."""
     voted = _with_aligned(clusters).withColumn("_votes", _position_votes()).withColumn(
         "_voted", F.expr("array_join(transform(_votes, v -> v.ch), '')"))
     # Only texts of more than one read are corrected; the rest pass an empty text.
     voted = voted.withColumn("_fix", F.when(F.size("members") > 1, F.col("_voted")).otherwise(F.lit("")))
-    chosen = grammar.with_choice(voted, "_fix", "_chosen", "_tag", "_score")
+    chosen = grammar.with_choice_in_place(voted, "_fix", keys, "_chosen")
     return chosen.withColumn(
         out, F.when(F.size("members") > 1, F.col("_chosen")).otherwise(F.col("reference"))
-    ).drop("_votes", "_voted", "_fix", "_chosen", "_tag", "_score", "aligned", "reference", "modal_length")
+    ).drop("_votes", "_voted", "_fix", "_chosen", "aligned", "reference", "modal_length")
 
 
 def vote_plate(reads: DataFrame, min_candidates: int = MIN_CANDIDATES, order: str = "frame_rank",
@@ -188,7 +191,7 @@ def vote_plate(reads: DataFrame, min_candidates: int = MIN_CANDIDATES, order: st
     Clusters are scored by votes, confidence, quality, format of the consensus and sharpness of the
     best read; a pass without any usable text falls back to its best detected crop.
     """
-    scored = with_consensus(cluster_stats(read_clusters(reads, order, group)))
+    scored = with_consensus(cluster_stats(read_clusters(reads, order, group)), [group, "cluster"])
     sharp = lambda c: F.least(c / F.lit(200.0), F.lit(1.0))
     best = F.expr(
         "array_max(transform(members, (m, i) -> named_struct('conf', m.confidence, 'q', m.quality, "
@@ -204,9 +207,9 @@ def vote_plate(reads: DataFrame, min_candidates: int = MIN_CANDIDATES, order: st
     pick = F.struct("consensus", "avg_confidence", "votes", "score", "n_candidates", "n_clusters",
                     F.col("_best.conf").alias("frame_confidence"), F.col("_best.seq").alias("best_seq"))
     winners = scored.groupBy(group).agg(F.max_by(pick, F.struct("score", -F.col("cluster"))).alias("w"))
-    # Fallback crop: best detected read by quality, detection confidence is not carried here, sharpness.
-    crop = F.struct(F.col("has_bbox").cast("int"), F.when(F.col("has_bbox"), F.col("quality")),
-                    F.when(F.col("has_bbox"), F.col("sharpness")), -F.col(order))
+    # Fallback crop: best detected read by quality, detection confidence and sharpness, else the first.
+    detected = [F.when(F.col("has_bbox"), F.col(c)) for c in ("quality", "det_conf", "sharpness") if c in reads.columns]
+    crop = F.struct(F.col("has_bbox").cast("int"), *detected, -F.col(order))
     passes = reads.groupBy(group).agg(
         F.count("*").alias("window_size"), F.max_by("seq", crop).alias("fallback_seq"),
         F.max_by(F.coalesce("plate_text", F.lit("")), crop).alias("fallback_text"),
@@ -229,3 +232,105 @@ def vote_plate(reads: DataFrame, min_candidates: int = MIN_CANDIDATES, order: st
         F.when(F.col("w").isNotNull(), P.state_code(F.col("w.consensus"))).otherwise(F.lit("")).alias("plate_state_code"),
     )
     return out.withColumn("plate_text_valid", F.coalesce("plate_text_valid", F.lit(False)))
+
+
+# Crop framings in the order they are tried; at most six attempts per image.
+FRAMINGS = ("original", "trim10", "trim18", "trim25", "center60", "center50")
+MAX_ATTEMPTS = 6
+
+
+def attempt_candidates(reads: DataFrame, group: str = "pass_id", seq: str = "seq") -> DataFrame:
+    """Scored candidates of the first six attempts of each image, with the framing of each attempt."""
+    w = W.partitionBy(group).orderBy(seq)
+    tries = reads.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= MAX_ATTEMPTS)
+    tags = F.array(*(F.lit(f) for f in FRAMINGS))
+    scored = grammar.score_candidates(tries.select(group, "attempt", "plate_text", "confidence"))
+    return scored.withColumn("framing", F.element_at(tags, F.col("attempt")))
+
+
+def _candidate_groups(cands: DataFrame, group: str) -> DataFrame:
+    """Candidates of an image in rank order with their similarity group (bounded by the attempt cap)."""
+    item = F.struct(
+        (-F.col("rank_score")).alias("neg"), "attempt", "gen", F.col("cand_text").alias("n"),
+        "cand_tag", "framing", F.col("rank_score").alias("score"))
+    return with_leaders(cands.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("members")))
+
+
+def framing_support(cands: DataFrame, group: str = "pass_id") -> DataFrame:
+    """Distinct crop framings behind each group of similar texts, and the bonus they earn."""
+    rows = _candidate_groups(cands, group).select(
+        group, F.posexplode("leaders").alias("cluster", "representative"), "members")
+    mine = F.filter("members", lambda m: m["c"] == F.col("cluster"))
+    n = F.size(F.array_distinct(F.transform(mine, lambda m: m["framing"])))
+    return rows.withColumn("members", mine).withColumn("n_framings", n).withColumn(
+        "support_bonus", F.least(n - 1, F.lit(4)) * F.lit(0.03))
+
+
+def rank_candidates(cands: DataFrame, group: str = "pass_id") -> DataFrame:
+    """Candidates by score with the winner of the best supported group first. Where the winning group
+    mixes lengths, its consensus replaces the winner's text if it is no shorter."""
+    groups = framing_support(cands, group).withColumn(
+        "group_rank", F.col("members")[0]["score"] + F.col("support_bonus"))
+    best = groups.groupBy(group).agg(
+        F.max_by(F.struct("members", "cluster"), F.struct("group_rank", -F.col("cluster"))).alias("b")
+    ).select(group, F.col("b.members").alias("members"), F.col("b.cluster").alias("cluster"))
+    mixed = F.size(F.array_distinct(F.transform("members", lambda m: F.length(m["n"])))) > 1
+    winners = with_consensus(best.withColumn("_mixed", mixed), [group]).select(
+        group, F.col("members")[0].alias("w"), F.when(F.col("_mixed"), F.col("consensus")).alias("consensus"))
+    swapped = F.coalesce(
+        (F.length("consensus") >= F.length("w.n")) & (F.length("consensus") > 0) & (F.col("consensus") != F.col("w.n")),
+        F.lit(False))
+    head = winners.select(
+        group, F.lit(1).alias("is_winner"), swapped.alias("swapped"),
+        F.when(swapped, F.col("consensus")).otherwise(F.col("w.n")).alias("cand_text"),
+        "w.attempt", "w.gen", "w.cand_tag", "w.framing", "w.score")
+    rest = cands.join(head.select(group, "swapped", F.col("attempt").alias("wa"), F.col("gen").alias("wg")), group)
+    rest = rest.filter(F.col("swapped") | (F.col("attempt") != F.col("wa")) | (F.col("gen") != F.col("wg"))).select(
+        group, F.lit(0).alias("is_winner"), F.lit(False).alias("swapped"), "cand_text", "attempt", "gen", "cand_tag",
+        "framing", F.col("rank_score").alias("score"))
+    w = W.partitionBy(group).orderBy(F.desc("is_winner"), F.desc("score"), "attempt", "gen")
+    return head.unionByName(rest).withColumn("rank", F.row_number().over(w)).drop("is_winner")
+
+
+def refine_reads(best: DataFrame, refined: DataFrame, key: str = "read_id") -> DataFrame:
+    """Take the slow reader's text where it is not empty, else keep the fast one. Only double-line
+    refinements go through plate correction."""
+    norm = P.normalize_plate(F.col("refined_text"))
+    joined = best.join(refined.select(key, "refined_text", "refined_confidence"), key, "left").withColumn("_r", norm)
+    joined = joined.withColumn("_fix", F.when(F.col("double_line"), F.col("_r")).otherwise(F.lit("")))
+    fixed = grammar.with_choice(joined, "_fix", "_chosen", "_tag", "_score")
+    text = F.when(F.col("double_line"), F.col("_chosen")).otherwise(F.col("_r"))
+    taken = F.col("_r") != ""
+    return fixed.select(
+        key,
+        F.when(taken, text).otherwise(F.col("text")).alias("text"),
+        F.when(taken, F.col("refined_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(taken, F.concat("variant", F.lit("+sar"))).otherwise(F.col("variant")).alias("variant"),
+    )
+
+
+def join_two_line(rows: DataFrame, key: str = "read_id") -> DataFrame:
+    """Top and bottom texts joined; confidence is the mean of the positive ones (0 without any text)."""
+    n = P.normalize_plate(F.col("text"))
+    # Two rows per read, so the ordered array is bounded by the layout.
+    joined = rows.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", n.alias("n")))), lambda r: r["n"]), "").alias("text"),
+        F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))).alias("c"))
+    return joined.select(key, "text", F.when(F.col("text") == "", F.lit(0.0)).otherwise(F.coalesce("c", F.lit(0.0))).alias("confidence"))
+
+
+@F.pandas_udf(T.StringType())
+def consensus_text(texts: pd.Series) -> str:
+    """Grouped aggregate for SQL users: majority text of a small group of reads, uncorrected."""
+    seen = [t for t in (("".join(ch for ch in (t or "") if ch.isascii() and ch.isalnum())).upper() for t in texts) if t]
+    if not seen:
+        return ""
+    lengths = [len(t) for t in seen]
+    modal = max(dict.fromkeys(lengths), key=lengths.count)
+    reference = next(t for t in seen if len(t) == modal)
+    laid = [t if len(t) == modal else align(reference, t) for t in seen]
+    out = []
+    for i in range(modal):
+        cast = [t[i] for t in laid if t[i] != " "]
+        out.append(max(dict.fromkeys(cast), key=cast.count) if cast else reference[i])
+    return "".join(out)

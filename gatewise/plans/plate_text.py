@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gatewise.functions import plates as P
@@ -88,6 +90,14 @@ merged AS (
 chosen AS (
   SELECT n, text, tag, score FROM (
     SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, abs(length(text) - length(n)), first_gen) AS r FROM merged) q WHERE r = 1)"""
+_OWN_NAMES = ("layouts opts recipes fitted slots base unknown prefixes confusable fixes repaired cands merged chosen texts").split()
+
+
+def second_copy(sql: str, suffix: str) -> str:
+    """The same expressions under suffixed names, for a second use inside one statement."""
+    return re.sub(r"\b(" + "|".join(_OWN_NAMES) + r")\b(?!\.)(?=[^']*(?:'[^']*'[^']*)*$)", rf"\g<1>{suffix}", sql)
+
+
 READS_SQL = f"""
 {CODES_SQL},
 reads AS (SELECT *, {NORM_SQL.format('plate_text')} AS n FROM v_plate_reads),
