@@ -65,7 +65,7 @@ VIEWS: dict[str, str] = {
           embedding AS feat, label
         FROM embeddings""",
     "boxes": """
-        SELECT l_orderkey AS image_id, l_linenumber AS box_id, CAST(l_partkey % 40 AS INT) AS x,
+        SELECT l_orderkey AS image_id, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS box_id, CAST(l_partkey % 40 AS INT) AS x,
           CAST(l_suppkey % 40 AS INT) AS y, 20 + CAST(l_quantity AS INT) AS w,
           20 + CAST(l_partkey % 17 AS INT) AS h, CAST(l_partkey % 3 AS INT) AS class_id,
           0.3E0 + CAST((l_partkey * 31 + l_linenumber) % 700 AS DOUBLE) / 1000 AS conf
