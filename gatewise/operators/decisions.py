@@ -56,7 +56,7 @@ def pass_metrics(passes: DataFrame, lanes: DataFrame) -> DataFrame:
     """
     spacing = lanes.select(
         F.col("lane_id").alias("lane"),
-        (F.element_at("positions", -1) - F.element_at("positions", 1)).alias("spacing_m"),
+        (F.try_element_at("positions", F.lit(-1)) - F.try_element_at("positions", F.lit(1))).alias("spacing_m"),
     )
     travel = seconds_between(F.col("entry_ts"), F.col("exit_engage_ts"))
     tail = F.coalesce("exit_clear_ts", "exit_engage_ts", "entry_ts")

@@ -84,15 +84,18 @@ def _with_repairs(df: DataFrame, text: str) -> DataFrame:
     return keyed.join(F.broadcast(prefix_repairs(df.sparkSession)), "prefix", "left").drop("prefix")
 
 
-def with_state(reads: DataFrame, text: str = "plate_text") -> DataFrame:
-    """State code and name of each read; BH series are named as such, unknown prefixes stay empty."""
-    spark = reads.sparkSession
-    names = spark.createDataFrame(pa.table({"state_code": list(P.STATES), "state_name": list(P.STATES.values())}))
-    coded = reads.withColumn("state_code", P.state_code(P.normalize_plate(F.col(text))))
+def with_state_name(df: DataFrame, code: str = "state_code", out: str = "state_name") -> DataFrame:
+    """Adds the name of a state code; BH is the national series, an empty code has no name."""
+    names = df.sparkSession.createDataFrame(pa.table({code: list(P.STATES), out: list(P.STATES.values())}))
     # 41 fixed rows: bounded broadcast.
-    joined = coded.join(F.broadcast(names), "state_code", "left")
-    bh = F.when(F.col("state_code") == "BH", F.lit(P.BH_NAME)).otherwise(F.lit(""))
-    return joined.withColumn("state_name", F.coalesce("state_name", bh))
+    named = df.join(F.broadcast(names), code, "left")
+    series = F.when(F.col(code) == "BH", F.lit(P.BH_NAME)).otherwise(F.lit(""))
+    return named.withColumn(out, F.coalesce(out, series))
+
+
+def with_state(reads: DataFrame, text: str = "plate_text") -> DataFrame:
+    """State code and name of each read; unknown prefixes stay empty."""
+    return with_state_name(reads.withColumn("state_code", P.state_code(P.normalize_plate(F.col(text)))))
 
 
 def state_prefix_fixes(reads: DataFrame, text: str = "plate_text") -> DataFrame:

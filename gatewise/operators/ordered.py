@@ -100,7 +100,8 @@ def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, ste
         .agg(F.array_sort(F.collect_list(item)).alias("rows"))
     )
     key_schema = [df.schema[k] for k in keys] + [T.StructField("_chunk", T.LongType())]
-    out_schema = T.StructType([*key_schema, T.StructField("out", output), T.StructField("end", T.StringType())])
+    out_schema = T.StructType([
+        *key_schema, T.StructField("start", T.StringType()), T.StructField("out", output), T.StructField("end", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,30 +110,33 @@ def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, ste
                 found, state = step(json.loads(start) if start else None, rows, config)
                 outs.append(found)
                 ends.append(json.dumps(state, sort_keys=True))
-            yield pdf[[*keys, "_chunk"]].assign(out=outs, end=ends)
+            yield pdf[[*keys, "_chunk", "start"]].assign(out=outs, end=ends)
 
-    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     group = [*keys, "_chunk"]
-    n_chunks = F.count("*").over(W.partitionBy(*keys))
+    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
+    per_key = W.partitionBy(*keys)
+    nothing = F.lit(None).cast("string")
+    # Only key columns are read here; a key with one chunk needs no carried state.
     index = df.withColumn("_chunk", chunk).select(*group).distinct()
-    starts = index.withColumn("n", n_chunks).withColumn("start", F.lit(None).cast("string"))
-    multi = starts.filter("n > 1").drop("n")
+    multi = index.withColumn("n", F.count("*").over(per_key)).filter("n > 1").drop("n")
     if multi.isEmpty():
-        fresh = chunks.withColumn("start", F.lit(None).cast("string"))
-        return _outputs(fresh.mapInPandas(run, out_schema), group)
+        return _outputs(chunks.withColumn("start", nothing).mapInPandas(run, out_schema), group)
 
-    chunks = cut_lineage(chunks)  # folded several times; survives lost executors in the shared folder
-    known = cut_lineage(chunks.join(multi, group).mapInPandas(run, out_schema).select(
-        *group, F.lit(None).cast("string").alias("start"), "end"))
+    chunks = cut_lineage(chunks, "chunks")  # folded more than once
+    first = chunks.withColumn("start", nothing).mapInPandas(run, out_schema)
+    known = cut_lineage(first.select(*group, "start", "end"), "starts")
     while True:
         wanted = known.withColumn("want", F.lag("end").over(by_chunk))
-        stale = cut_lineage(wanted.filter(~F.col("want").eqNullSafe(F.col("start"))).select(
-            *group, F.col("want").alias("start")))
+        stale = wanted.filter(~F.col("want").eqNullSafe(F.col("start"))).select(*group, F.col("want").alias("start"))
         if stale.isEmpty():
             break
-        redone = chunks.join(stale, group).mapInPandas(run, out_schema).select(*group, "end")
-        redone = stale.join(redone, group)
-        known = cut_lineage(known.join(stale.select(*group), group, "left_anti").unionByName(redone))
+        redone = chunks.join(stale, group).mapInPandas(run, out_schema).select(
+            *group, F.col("start").alias("new_start"), F.col("end").alias("new_end"))
+        merged = known.join(redone, group, "left")
+        known = cut_lineage(merged.select(
+            *group,
+            F.when(F.col("new_end").isNotNull(), F.col("new_start")).otherwise(F.col("start")).alias("start"),
+            F.coalesce("new_end", "end").alias("end")), "starts")
     final = chunks.join(known.select(*group, "start"), group, "left")
     return _outputs(final.mapInPandas(run, out_schema), group)
 

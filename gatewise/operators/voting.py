@@ -320,9 +320,11 @@ def join_two_line(rows: DataFrame, key: str = "read_id") -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def consensus_text(texts: pd.Series) -> str:
-    """Grouped aggregate for SQL users: majority text of a small group of reads, uncorrected."""
-    seen = [t for t in (("".join(ch for ch in (t or "") if ch.isascii() and ch.isalnum())).upper() for t in texts) if t]
+def consensus_text(texts: pd.Series, order: pd.Series) -> str:
+    """Grouped aggregate for SQL users: majority text of one selected group of reads (at most the frame
+    selection), votes cast in ``order``, without correction."""
+    ranked = [t for _, t in sorted(zip(order, texts), key=lambda r: r[0])]
+    seen = [t for t in ("".join(ch for ch in (t or "") if ch.isascii() and ch.isalnum()).upper() for t in ranked) if t]
     if not seen:
         return ""
     lengths = [len(t) for t in seen]

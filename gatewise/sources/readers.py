@@ -99,18 +99,21 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_loop_messages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Line stream of loop controllers: files ``<lane>/...`` of ``<iso timestamp>\\t<line>``."""
+    """Line stream of loop controllers: files ``<lane>/...`` (or ``lane=<lane>/...``) of
+    ``<timestamp> TAB <sequence> TAB <line>``."""
     lines = (
         spark.readStream.format("text")
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
         .load(path)
     )
-    parts = F.split("value", "\t", 2)
+    parts = F.split("value", "\t", 3)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return lines.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("lane"),
+        F.regexp_replace(folder, "^lane=", "").alias("lane"),
         parts[0].cast("timestamp_ntz").alias("ts"),
-        F.coalesce(parts[1], F.lit("")).alias("line"),
+        parts[1].cast("long").alias("seq"),
+        F.coalesce(F.get(parts, F.lit(2)), F.lit("")).alias("line"),
     )
 
 
@@ -129,16 +132,16 @@ def read_frame_log(spark: SparkSession, path: str) -> DataFrame:
     )
     raw = _PASS_DIR + r"raw/(\d{5})\.jpg$"
     preview = _PASS_DIR + r"(\d{4})_(\d+)f_(\d+)r\.jpg$"
-    number = lambda pattern, i: F.expr("NULL") if pattern is None else F.regexp_extract("path", pattern, i)
+    number = lambda pattern, i: F.regexp_extract("path", pattern, i)
     is_raw = F.col("path").rlike(raw)
     is_preview = F.col("path").rlike(preview)
     return files.filter(is_raw | is_preview).select(
         F.regexp_extract("path", _PASS_DIR, 1).alias("lane"),
         F.to_timestamp_ntz(F.regexp_extract("path", _PASS_DIR, 2), F.lit("yyyyMMdd_HHmmss")).alias("started_at"),
         F.when(is_raw, F.lit("raw")).otherwise(F.lit("preview")).alias("kind"),
-        F.when(is_raw, number(raw, 3)).otherwise(number(preview, 3)).cast("int").alias("index"),
-        F.when(is_preview, number(preview, 4)).cast("int").alias("n_frames"),
-        F.when(is_preview, number(preview, 5)).cast("int").alias("n_rows"),
+        F.when(is_raw, number(raw, 3)).otherwise(number(preview, 3)).try_cast("int").alias("index"),
+        F.when(is_preview, number(preview, 4)).try_cast("int").alias("n_frames"),
+        F.when(is_preview, number(preview, 5)).try_cast("int").alias("n_rows"),
         "length",
         "path",
     )
