@@ -139,7 +139,7 @@ def read_frame_log(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("path", _PASS_DIR, 1).alias("lane"),
         F.to_timestamp_ntz(F.regexp_extract("path", _PASS_DIR, 2), F.lit("yyyyMMdd_HHmmss")).alias("started_at"),
         F.when(is_raw, F.lit("raw")).otherwise(F.lit("preview")).alias("kind"),
-        F.when(is_raw, number(raw, 3)).otherwise(number(preview, 3)).try_cast("int").alias("index"),
+        F.when(is_raw, number(raw, 3)).otherwise(number(preview, 3)).try_cast("int").alias("number"),
         F.when(is_preview, number(preview, 4)).try_cast("int").alias("n_frames"),
         F.when(is_preview, number(preview, 5)).try_cast("int").alias("n_rows"),
         "length",
