@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.functions.plates import parse_positions
+from gatewise.operators.registry import number_rows
 
 CAMERA_KINDS = ("driver", "anpr", "underbody")
 
@@ -84,8 +85,6 @@ def upsert_lane_table(current: DataFrame, changes: DataFrame, kind: str) -> tupl
     Returns the new table and the refused edits with the reason. ``changes`` has a ``seq`` column
     giving the order of edits; the last edit of an id wins.
     """
-    from gatewise.operators.registry import _number_rows
-
     fields = REQUIRED_FIELDS[kind]
     reason = F.lit(None).cast("string")
     for f in reversed(fields):
@@ -115,13 +114,10 @@ def upsert_lane_table(current: DataFrame, changes: DataFrame, kind: str) -> tupl
             for c in current.columns
         )
     )
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
+    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]  # one number
     id_type = current.schema["id"].dataType
-    inserted = (
-        _number_rows(good.filter("id IS NULL"), "seq")
-        .crossJoin(F.broadcast(top))  # one row by construction
-        .withColumn("id", (F.col("top") + F.col("rank")).cast(id_type))
-    )
+    inserted = number_rows(good.filter("id IS NULL"), "seq").withColumn(
+        "id", (F.lit(top).cast("long") + F.col("rank")).cast(id_type))
     for c in current.columns:
         if c not in inserted.columns:
             inserted = inserted.withColumn(c, F.lit(None).cast(current.schema[c].dataType))

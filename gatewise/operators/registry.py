@@ -68,17 +68,12 @@ def registry_add(registry: DataFrame, rows: DataFrame) -> DataFrame:
     clean = rows.filter(F.col("license_plate").rlike("\\S")).withColumns(
         {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in fields}
     )
-    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top"))
-    numbered = (
-        _number_rows(clean, "seq")
-        .crossJoin(F.broadcast(top))  # one row by construction
-        .withColumn("id", F.col("top") + F.col("rank"))
-        .drop("top", "rank", "seq")
-    )
+    top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]  # one number
+    numbered = number_rows(clean, "seq").withColumn("id", F.lit(top).cast("long") + F.col("rank")).drop("rank", "seq")
     return registry.unionByName(numbered.select(registry.columns))
 
 
-def _number_rows(df: DataFrame, seq: str, block: int = 100_000) -> DataFrame:
+def number_rows(df: DataFrame, seq: str, block: int = 100_000) -> DataFrame:
     """Dense 1-based rank by ``seq`` without a single global window: rank inside blocks of the
     sequence, shifted by the row counts of earlier blocks (one row per block)."""
     blocked = df.withColumn("_block", F.floor(F.col(seq) / block))

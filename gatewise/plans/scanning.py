@@ -75,11 +75,12 @@ def _p13(t):
 
 
 @query("f6_filter_detections", oracle=with_views("boxes", body="""
-a AS (SELECT v.image_id, v.box_id, v.x, v.y, v.w, v.h, k.c AS class_id, v.conf * (1E0 - 0.2E0 * ((v.class_id + k.c) % 3)) AS score
-  FROM v_boxes v, (VALUES (0), (1), (2)) k(c)),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, box_id ORDER BY score DESC, class_id) AS r FROM a) q WHERE r = 1)
-SELECT image_id, box_id, class_id, score AS conf, CAST(round_even((x - 4) / 0.5E0, 0) AS INTEGER) AS x, CAST(round_even((y - 6) / 0.5E0, 0) AS INTEGER) AS y,
-  CAST(round_even(w / 0.5E0, 0) AS INTEGER) AS w, CAST(round_even(h / 0.5E0, 0) AS INTEGER) AS h FROM b WHERE score >= 0.4E0 AND class_id IN (0, 2)"""))
+a AS (SELECT *, conf * (1E0 - 0.2E0 * (class_id % 3)) AS s0, conf * (1E0 - 0.2E0 * ((class_id + 1) % 3)) AS s1,
+  conf * (1E0 - 0.2E0 * ((class_id + 2) % 3)) AS s2 FROM v_boxes),
+b AS (SELECT image_id, box_id, x, y, w, h, greatest(s0, s1, s2) AS score,
+  CASE greatest(s0, s1, s2) WHEN s0 THEN 0 WHEN s1 THEN 1 ELSE 2 END AS best FROM a)
+SELECT image_id, box_id, best AS class_id, score AS conf, CAST(round_even((x - 4) / 0.5E0, 0) AS INTEGER) AS x, CAST(round_even((y - 6) / 0.5E0, 0) AS INTEGER) AS y,
+  CAST(round_even(w / 0.5E0, 0) AS INTEGER) AS w, CAST(round_even(h / 0.5E0, 0) AS INTEGER) AS h FROM b WHERE score >= 0.4E0 AND best IN (0, 2)"""))
 def _f6(t):
     score = lambda c: F.col("conf") * (F.lit(1.0) - F.lit(0.2) * ((F.col("class_id") + c) % 3))
     anchors = t.view("boxes").select(

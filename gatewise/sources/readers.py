@@ -35,7 +35,7 @@ def read_scan_events_jdbc(spark: SparkSession, url: str, table: str, lower: int,
     return _by_name(reader.option("numPartitions", parts).load(), schemas.SCAN_EVENTS)
 
 
-def _path_kind(spark: SparkSession, path: str) -> str:
+def path_kind(spark: SparkSession, path: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
@@ -48,7 +48,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
     A missing, empty or unparsable file is an empty registry.
     """
-    kind = _path_kind(spark, path)
+    kind = path_kind(spark, path)
     if kind == "absent":
         return spark.createDataFrame([], schemas.REGISTRY)
     raw = (

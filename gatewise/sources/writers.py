@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise import schemas
-from gatewise.sources.readers import read_scan_events
+from gatewise.sources.readers import path_kind, read_scan_events
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -42,17 +42,18 @@ def append_batch_once(spark: SparkSession, path: str):
     and only the day partitions the batch touches are read for the check."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        rows = _stored(batch).dropDuplicates(["lane_name", "timestamp"])
-        days = [r[0] for r in rows.select("event_date").distinct().collect()]  # calendar days, not rows
-        if not days:
-            return
+        rows = _stored(batch).dropDuplicates(["lane_name", "timestamp"]).persist()
         try:
-            seen = read_scan_events(spark, path).filter(F.col("event_date").isin(days)).select("lane_name", "timestamp")
-            rows = rows.join(seen, ["lane_name", "timestamp"], "left_anti")
-        except Exception as e:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.select(_stored(batch).columns).write.mode("append").partitionBy("event_date").parquet(path)
+            days = [r[0] for r in rows.select("event_date").distinct().collect()]  # calendar days, not rows
+            if not days:
+                return
+            fresh = rows
+            if path_kind(spark, path) != "absent":
+                seen = read_scan_events(spark, path).filter(F.col("event_date").isin(days))
+                fresh = rows.join(seen.select("lane_name", "timestamp"), ["lane_name", "timestamp"], "left_anti")
+            fresh.select(rows.columns).write.mode("append").partitionBy("event_date").parquet(path)
+        finally:
+            rows.unpersist()
 
     return write
 
