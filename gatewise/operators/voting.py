@@ -82,11 +82,18 @@ def cluster_stats(clusters: DataFrame) -> DataFrame:
         {"votes": F.size("members"), "avg_confidence": mean("confidence"), "avg_quality": mean("quality")})
 
 
+def _most_common(items: str) -> str:
+    """SQL for the most common element of an array, the one seen first on ties, as (n, first, v); null
+    when empty. Counts each distinct element once."""
+    return (
+        f"array_max(transform(array_distinct({items}), v -> named_struct("
+        f"'n', size(filter({items}, x -> x = v)), 'first', -array_position({items}, v), 'v', v)))"
+    )
+
+
 def modal_length(members: str = "members") -> Column:
     """Most common text length; the length seen first wins ties."""
-    return F.expr(
-        f"array_max(transform({members}, (m, i) -> named_struct("
-        f"'n', size(filter({members}, x -> length(x.n) = length(m.n))), 'first', -i, 'len', length(m.n)))).len")
+    return F.expr(_most_common(f"transform({members}, m -> length(m.n))") + ".v")
 
 
 def with_modal_length(clusters: DataFrame) -> DataFrame:
@@ -156,25 +163,30 @@ def _with_aligned(clusters: DataFrame) -> DataFrame:
 def char_votes(clusters: DataFrame) -> DataFrame:
     """Majority character per position of each cluster's reference; the first cast vote wins ties and a
     position without votes keeps the reference character."""
-    rows = _with_aligned(clusters).withColumn("_v", F.explode(_position_votes()))
+    rows = _with_position_votes(_with_aligned(clusters), "_votes").withColumn("_v", F.explode("_votes"))
     keys = [c for c in clusters.columns if c not in ("members",)]
     return rows.select(*keys, F.col("_v.pos").alias("pos"), F.col("_v.ch").alias("char"), F.col("_v.n").alias("n_votes"))
 
 
-def _position_votes() -> Column:
-    return F.expr(
-        "transform(transform(sequence(1, modal_length), p -> named_struct('pos', p, 'best', coalesce(array_max(transform("
-        "filter(transform(aligned, t -> substring(t, p, 1)), ch -> ch <> ' '), (ch, i) -> named_struct("
-        "'n', size(filter(aligned, t -> substring(t, p, 1) = ch)), 'first', -i, 'ch', ch))), "
-        "named_struct('n', 0, 'first', 0, 'ch', substring(reference, p, 1))))), "
-        "v -> named_struct('pos', v.pos, 'ch', v.best.ch, 'n', v.best.n))"
+def _with_position_votes(aligned: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: (pos, ch, n) per reference position. The staged array of cast characters keeps
+    each vote list evaluated once."""
+    cast = ("transform(sequence(1, modal_length), p -> filter(transform(aligned, t -> substring(t, p, 1)), ch -> ch <> ' '))")
+    top = f"transform(_cast, c -> {_most_common('c')})"
+    return (
+        aligned.withColumn("_cast", F.expr(cast))
+        .withColumn("_top", F.expr(top))
+        .withColumn(out, F.expr(
+            "transform(_top, (b, i) -> named_struct('pos', i + 1, 'ch', coalesce(b.v, substring(reference, i + 1, 1)), "
+            "'n', coalesce(b.n, 0)))"))
+        .drop("_cast", "_top")
     )
 
 
 def with_consensus(clusters: DataFrame, keys: list[str], out: str = "consensus") -> DataFrame:
     """Consensus text of each cluster: a single read stands as it is, several vote per character and
     the result goes through plate correction."""
-    voted = _with_aligned(clusters).withColumn("_votes", _position_votes()).withColumn(
+    voted = _with_position_votes(_with_aligned(clusters), "_votes").withColumn(
         "_voted", F.expr("array_join(transform(_votes, v -> v.ch), '')"))
     # Only texts of more than one read are corrected; the rest pass an empty text.
     voted = voted.withColumn("_fix", F.when(F.size("members") > 1, F.col("_voted")).otherwise(F.lit("")))
@@ -268,28 +280,30 @@ def framing_support(cands: DataFrame, group: str = "pass_id") -> DataFrame:
 
 def rank_candidates(cands: DataFrame, group: str = "pass_id") -> DataFrame:
     """Candidates by score with the winner of the best supported group first. Where the winning group
-    mixes lengths, its consensus replaces the winner's text if it is no shorter."""
-    groups = framing_support(cands, group).withColumn(
-        "group_rank", F.col("members")[0]["score"] + F.col("support_bonus"))
-    best = groups.groupBy(group).agg(
-        F.max_by(F.struct("members", "cluster"), F.struct("group_rank", -F.col("cluster"))).alias("b")
-    ).select(group, F.col("b.members").alias("members"), F.col("b.cluster").alias("cluster"))
-    mixed = F.size(F.array_distinct(F.transform("members", lambda m: F.length(m["n"])))) > 1
-    winners = with_consensus(best.withColumn("_mixed", mixed), [group]).select(
-        group, F.col("members")[0].alias("w"), F.when(F.col("_mixed"), F.col("consensus")).alias("consensus"))
+    mixes lengths, its consensus replaces the winner's text if it is no shorter.
+
+    One shuffle by image; groups, winner and final order are all worked out inside the image's row.
+    """
+    bonus = "least(size(array_distinct(transform(filter(members, m -> m.c = k), m -> m.framing))) - 1, 4) * 0.03E0"
+    ranked = F.expr(
+        "array_max(transform(sequence(0, size(leaders) - 1), k -> named_struct("
+        f"'r', filter(members, m -> m.c = k)[0].score + {bonus}, 'first', -k)))")
+    best = _candidate_groups(cands, group).withColumn("_k", -ranked["first"]).select(
+        group, F.col("members").alias("everyone"), F.expr("filter(members, m -> m.c = _k)").alias("members"))
+    mixed = F.expr("size(array_distinct(transform(members, m -> length(m.n)))) > 1")
+    decided = with_consensus(best, [group]).withColumn("_w", F.col("members")[0]).withColumn(
+        "_text", F.when(mixed, F.col("consensus")))
     swapped = F.coalesce(
-        (F.length("consensus") >= F.length("w.n")) & (F.length("consensus") > 0) & (F.col("consensus") != F.col("w.n")),
-        F.lit(False))
-    head = winners.select(
-        group, F.lit(1).alias("is_winner"), swapped.alias("swapped"),
-        F.when(swapped, F.col("consensus")).otherwise(F.col("w.n")).alias("cand_text"),
-        "w.attempt", "w.gen", "w.cand_tag", "w.framing", "w.score")
-    rest = cands.join(head.select(group, "swapped", F.col("attempt").alias("wa"), F.col("gen").alias("wg")), group)
-    rest = rest.filter(F.col("swapped") | (F.col("attempt") != F.col("wa")) | (F.col("gen") != F.col("wg"))).select(
-        group, F.lit(0).alias("is_winner"), F.lit(False).alias("swapped"), "cand_text", "attempt", "gen", "cand_tag",
-        "framing", F.col("rank_score").alias("score"))
-    w = W.partitionBy(group).orderBy(F.desc("is_winner"), F.desc("score"), "attempt", "gen")
-    return head.unionByName(rest).withColumn("rank", F.row_number().over(w)).drop("is_winner")
+        (F.length("_text") > 0) & (F.length("_text") >= F.length("_w.n")) & (F.col("_text") != F.col("_w.n")), F.lit(False))
+    decided = decided.withColumn("_swapped", swapped)
+    line = ("named_struct('swapped', {swapped}, 'cand_text', {text}, 'attempt', {m}.attempt, 'gen', {m}.gen, "
+            "'cand_tag', {m}.cand_tag, 'framing', {m}.framing, 'score', {m}.score)")
+    head = line.format(swapped="_swapped", text="if(_swapped, _text, _w.n)", m="_w")
+    rest = line.format(swapped="false", text="m.n", m="m")
+    lines = F.expr(
+        f"concat(array({head}), transform(filter(everyone, m -> _swapped OR m.attempt <> _w.attempt OR m.gen <> _w.gen), m -> {rest}))")
+    rows = decided.select(group, F.posexplode(lines).alias("_pos", "_l"))
+    return rows.select(group, (F.col("_pos") + 1).alias("rank"), "_l.*")
 
 
 def refine_reads(best: DataFrame, refined: DataFrame, key: str = "read_id") -> DataFrame:

@@ -36,10 +36,10 @@ def _f7(t):
 
 
 @query("p11_crop_quality", oracle=with_views("boxes", body=_METRICS_SQL + """
-SELECT image_id, box_id, round(quality, 9) AS quality FROM q"""))
+SELECT image_id, box_id, quality FROM q"""))
 def _p11(t):
     return evidence.crop_quality(evidence.crop_metrics(_boxes(t))).select(
-        "image_id", "box_id", F.round("crop_quality", 9).alias("quality"))
+        "image_id", "box_id", F.col("crop_quality").alias("quality"))
 
 
 _CLIP_SQL = """
@@ -59,19 +59,19 @@ _CLIPPED = _CLIP_SQL.format(rest="conf,", fw=FRAME_W, fh=FRAME_H, pad="0E0", src
 @query("p12_frame_visibility", oracle=with_views("boxes", body=f"""
 top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, box_id) AS r FROM v_boxes) a WHERE r <= 3),
 clipped AS ({_CLIPPED}),""" + _METRICS_SQL.replace("v_boxes", "clipped") + f"""
-SELECT image_id, round(greatest(0E0, max(quality * CASE WHEN least(x, y, {FRAME_W} - x - w, {FRAME_H} - y - h) <= 2 THEN 0.65E0 ELSE 1E0 END)), 9) AS visibility
+SELECT image_id, greatest(0E0, max(quality * CASE WHEN least(x, y, {FRAME_W} - x - w, {FRAME_H} - y - h) <= 2 THEN 0.65E0 ELSE 1E0 END)) AS visibility
 FROM q GROUP BY image_id"""))
 def _p12(t):
-    return evidence.frame_visibility(_boxes(t), FRAME_W, FRAME_H).withColumn("visibility", F.round("visibility", 9))
+    return evidence.frame_visibility(_boxes(t), FRAME_W, FRAME_H)
 
 
 @query("p13_driver_score", oracle=with_views("boxes", body=f"""
 top3 AS (SELECT * FROM v_boxes), c AS ({_CLIPPED})
-SELECT image_id, round(max(least(w * h / 20000E0, 1E0) * 0.4E0 + least(300E0 * conf / 150E0, 1E0) * 0.4E0 + greatest(0E0, 1E0 -
-  (abs(x + w / 2E0 - {FRAME_W / 2}) / {FRAME_W / 2} + abs(y + h / 2E0 - {FRAME_H / 2}) / {FRAME_H / 2}) / 2E0) * 0.2E0), 9) AS driver_score
+SELECT image_id, max(least(w * h / 20000E0, 1E0) * 0.4E0 + least(300E0 * conf / 150E0, 1E0) * 0.4E0 + greatest(0E0, 1E0 -
+  (abs(x + w / 2E0 - {FRAME_W / 2}) / {FRAME_W / 2} + abs(y + h / 2E0 - {FRAME_H / 2}) / {FRAME_H / 2}) / 2E0) * 0.2E0) AS driver_score
 FROM c GROUP BY image_id"""))
 def _p13(t):
-    return evidence.driver_score(_boxes(t), FRAME_W, FRAME_H).withColumn("driver_score", F.round("driver_score", 9))
+    return evidence.driver_score(_boxes(t), FRAME_W, FRAME_H)
 
 
 @query("f6_filter_detections", oracle=with_views("boxes", body="""

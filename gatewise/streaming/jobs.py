@@ -65,16 +65,24 @@ def liveness_stream(beats: DataFrame, keys: list[str], timeout_s: float, delay:
 
 
 def pass_frames_stream(passes: DataFrame, frames: DataFrame, max_s: float = 30.0, delay: str = "10 seconds") -> DataFrame:
-    """Frames of each pass, joined as both streams arrive. The interval bounds let Spark drop state."""
+    """Frames of each pass, joined as both streams arrive.
+
+    The join key is (lane, time bucket) as in the batch form, so a busy lane spreads over partitions
+    and a frame is only compared with passes near it in time; the interval bounds let Spark drop state.
+    """
+    bucket = lambda c: F.floor(micros(c) / F.lit(int(max_s * 1_000_000)))
     p = passes.withColumns({
         "end_ts": sensors.capture_end(max_s).cast("timestamp"), "entry_ts": F.col("entry_ts").cast("timestamp"),
     }).withColumnRenamed("lane", "pass_lane").withWatermark("entry_ts", delay)
+    p = p.withColumn("pass_bucket", F.explode(F.sequence(bucket(F.col("entry_ts")), bucket(F.col("end_ts")))))
     f = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    f = f.withColumn("bucket", bucket(F.col("ts")))
     within = (
-        (F.col("lane") == F.col("pass_lane")) & (F.col("ts") >= F.col("entry_ts")) & (F.col("ts") <= F.col("end_ts"))
+        (F.col("lane") == F.col("pass_lane")) & (F.col("bucket") == F.col("pass_bucket"))
+        & (F.col("ts") >= F.col("entry_ts")) & (F.col("ts") <= F.col("end_ts"))
         & (F.col("ts") <= F.col("entry_ts") + sensors.interval(max_s))
     )
-    return p.join(f, within).drop("pass_lane")
+    return p.join(f, within).drop("pass_lane", "pass_bucket", "bucket")
 
 
 def throttle_latest_stream(frames: DataFrame, every_s: float = 0.15, delay: str = "10 seconds") -> DataFrame:
