@@ -142,7 +142,8 @@ def similar(a: Column, b: Column) -> Column:
         (F.length(a) > 0)
         & (F.length(b) > 0)
         & (F.abs(F.length(a) - F.length(b)) <= 2)
-        & (F.levenshtein(a, b) <= limit)
+        # Bounded distance: -1 past two edits.
+        & F.levenshtein(a, b, 2).between(F.lit(0), limit)
     )
 
 
