@@ -156,19 +156,30 @@ def list_array(values: np.ndarray, lengths) -> pa.Array:
 # ---- a Bloom filter of fixed size -------------------------------------------------------------------
 
 
-def bloom_words(ids: DataFrame, column: str, log2_words: int) -> np.ndarray:
-    """Words of a Bloom filter over a long column: one 64-bit word per key with three bits set in it.
+def bloom_words(keys: DataFrame, column: str, log2_words: int) -> np.ndarray:
+    """A Bloom filter over a column of 64-bit hashes: each key sets three bits of one 64-bit word.
 
     Its size is the parameter's, whatever the number of keys: more keys only let more rows pass."""
-    h = F.xxhash64(column)
-    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(_h, {s}) & 63 as int))" for s in (40, 46, 52)))
-    rows = (ids.select(h.alias("_h")).select(F.col("_h").bitwiseAND((1 << log2_words) - 1).alias("w"), mask.alias("m"))
-            .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas())
+    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {s}) & 63 as int))" for s in _BLOOM_SHIFTS))
+    word = F.col(column).bitwiseAND((1 << log2_words) - 1)
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(mask).alias("m")).toPandas()
     out = np.zeros(1 << log2_words, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
     return out
 
 
+_BLOOM_SHIFTS = (40, 46, 52)
+
+
+def bloom_has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter; none that is in it fails."""
+    found, keys = words.view(_U)[keys.view(_U) & _U(len(words) - 1)], keys.view(_U)
+    out = np.ones(len(keys), bool)
+    for s in _BLOOM_SHIFTS:
+        out &= (found >> ((keys >> _U(s)) & _U(63))) & _U(1) == 1
+    return out
+
+
 # ---- connected components ---------------------------------------------------------------------------
 
 
