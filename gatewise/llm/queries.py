@@ -1,4 +1,4 @@
 """Every query of this subpackage."""
 
-from gatewise.llm import mixing, packing, quality, sharding, substring, tokens, topk, url_filter  # noqa: F401
+from gatewise.llm import embedding_dedup, mixing, packing, quality, sharding, substring, tokens, topk, url_filter  # noqa: F401
 from gatewise.llm.common import ORACLES, QUERIES  # noqa: F401
