@@ -7,12 +7,28 @@ columns of ``documents``. ``run`` writes each stage's rows to the shared folder
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatewise.llm import mixing, packing
+from gatewise.llm import mixing, ngram_join, packing, quality, substring
 from gatewise.llm.common import table
 from gatewise.session import cut_lineage
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word n-grams, similarity 0.8."""
+    return ngram_join.keep_one(docs)
+
+
+def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that repeat a passage of a document with a smaller id; n_chars follows."""
+    return substring.strip_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the sources' targets ask: not at all, once or twice."""
     return mixing.take(docs)
@@ -24,6 +40,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality", keep_quality),
+    ("near-copies", drop_near_copies),
+    ("passages", strip_passages),
     ("mixture", mix_sources),
     ("packing", pack_sequences),
 ]

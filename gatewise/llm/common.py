@@ -180,6 +180,23 @@ def bloom_has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+#: log2 of the words of the filter that tells which rows have marks.
+MARK_FILTER = 19
+
+
+def split_rows(docs: DataFrame, marks: DataFrame, text: str, id: str, columns: list, flag: str) -> DataFrame:
+    """``columns`` of docs and ``flag``: whether one of the ``marks`` (id, h) may belong to the row, h being the
+    text's hash. Rows without one need not move to meet the marks."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom_words(marks.select(F.xxhash64(F.col("id").cast("long"), "h").alias("k")), "k", MARK_FILTER))
+
+    def maybe(keys: pa.Array) -> pa.Array:
+        return pa.array(bloom_has(words.value, keys.to_numpy(zero_copy_only=False)))
+
+    maybe.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    key = F.xxhash64(docs[id].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    return docs.select(*columns, F.arrow_udf(maybe, "boolean")(key).alias(flag))
+
+
 # ---- connected components ---------------------------------------------------------------------------
 
 

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewise.llm.common import Words, bloom_has, bloom_words, connected_components, list_array, mix, query, slices, table
+from gatewise.llm.common import Words, bloom_has, bloom_words, connected_components, fresh, list_array, mix, query, slices, split_rows, table
 from gatewise.session import cut_lineage
 
 #: Sets that meet at one n-gram up to which all pairs are held against each other.
@@ -267,7 +268,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, text:
 
 
 def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """(id, h, n_shingles, cid, component_id) for every row; h is the text's hash, cid that of its set.
+    """(id, h, n_shingles, part, component_id) for every row; h is the text's hash, part one of its component.
 
     Sets link when den * |overlap| >= num * |union|. The component's id is the smallest id of its rows. A
     text without words, null included, has no n-grams, links with nothing and is a component of its own;
@@ -309,10 +310,29 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     joined = classes.select("cid", "m").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     names = joined.groupBy("part").agg(F.min("m").alias("component_id"))
-    named = joined.join(names, "part").select(F.col("cid").alias("c"), "component_id")
+    named = joined.join(names, "part").select(F.col("cid").alias("c"), "part", "component_id")
     component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.join(named, rows["cid"] == named["c"], "left").select(
-        F.col("id").alias(id), "h", F.col("n").alias("n_shingles"), "cid", component.alias("component_id"))
+        F.col("id").alias(id), "h", F.col("n").alias("n_shingles"), "part", component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id, and its own columns only.
+
+    A row without words stays. Only rows that may go move to meet the decision."""
+    found = cut_lineage(link_components(docs, k, num, den, text, id).where("part IS NOT NULL").select(F.col(id).alias("id"), "h", "part"), "ngram-parts")
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    marks = cut_lineage(found.join(first, "part").select("id", "h", stays.alias("stays")).distinct(), "ngram-marks")
+
+    flag, hash_, number = fresh(docs, "_maybe", "_h", "_n")
+    rows = split_rows(docs, marks, text, id, [docs[c] for c in docs.columns], flag)
+    late = rows.where(F.col(flag)).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    marks = marks.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), F.col("stays").alias("m_stays"))
+    met = late.join(marks, late[id].eqNullSafe(marks["m_id"]) & (late[hash_] == marks["m_h"]), "left")
+    met = met.where(F.coalesce("m_stays", F.lit(True))).withColumn(number, F.row_number().over(W.partitionBy(id, hash_).orderBy(hash_)))
+    kept = met.where(F.col("m_stays").isNull() | (F.col(number) == 1))
+    return rows.where(~F.col(flag)).select(*docs.columns).union(kept.select(*docs.columns))
 
 
 @query("op3_prefix_tree_join")

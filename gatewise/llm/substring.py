@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.llm.common import Words, bloom_has, bloom_words, fresh, list_array, query, slices, table
+from gatewise.llm.common import Words, bloom_has, bloom_words, fresh, list_array, query, slices, split_rows, table
 from gatewise.session import cut_lineage
 
 LENGTH, SEED_WORDS = 13, 5
-#: Words of the Bloom filters, 8 bytes each; a filter too small for its keys only lets more rows pass.
-SEED_FILTER, MARK_FILTER = 21, 19
+#: log2 of the 8-byte words of the seeds' Bloom filter; one too small for its keys only lets more rows pass.
+SEED_FILTER = 21
 
 
 def _anchors(words: Words, data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,19 +112,6 @@ def _kept(text: bytes, whole: bool, starts, length: int) -> tuple[list[bytes], i
     return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
 
 
-def _split(docs: DataFrame, marks: DataFrame, text: str, id: str, columns: list, names: list[str]) -> DataFrame:
-    """``columns`` of docs with a key, and ``maybe``: whether a mark may belong to the row."""
-    spark = docs.sparkSession
-    filter_ = spark.sparkContext.broadcast(bloom_words(marks.select(F.xxhash64("id", "h").alias("k")), "k", MARK_FILTER))
-
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(bloom_has(filter_.value, keys.to_numpy(zero_copy_only=False)))
-
-    maybe.__annotations__ = {"keys": pa.Array, "return": pa.Array}
-    key = F.xxhash64(docs[id].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    return docs.select(*columns, F.arrow_udf(maybe, "boolean")(key).alias(names[0]))
-
-
 def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) for every row.
 
@@ -133,7 +120,7 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
     repeated rows are each returned; an empty table gives no rows; further columns are ignored.
     """
     marks = cut_lineage(repeats(docs, text, id, length), "marks")
-    rows = _split(docs, marks, text, id, [docs[id].alias("_id"), docs[text].alias("text")], ["maybe"])
+    rows = split_rows(docs, marks, text, id, [docs[id].alias("_id"), docs[text].alias("text")], "maybe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +159,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", lengt
     """
     marks = cut_lineage(repeats(docs, text, id, length), "marks")
     flag, hash_ = fresh(docs, "_maybe", "_h")
-    rows = _split(docs, marks, text, id, [docs[c] for c in docs.columns], [flag])
+    rows = split_rows(docs, marks, text, id, [docs[c] for c in docs.columns], flag)
     late = rows.where(F.col(flag)).withColumn(hash_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     marks = marks.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), F.col("whole").alias("m_whole"), F.col("starts").alias("m_starts"))
     met = late.join(marks, (late[id].cast("long") == marks["m_id"]) & (late[hash_] == marks["m_h"]), "left")
