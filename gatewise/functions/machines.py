@@ -88,36 +88,27 @@ def advance_lane(state: dict | None, rows, cfg: dict) -> tuple[list, dict]:
 LOCK_ROWS, DEBT_ROWS = 24.0, 48.0
 
 
-def advance_strips(state: dict | None, rows, cfg: dict) -> tuple[list, dict]:
-    """Fold ordered (seq, frame_rows, dy) rows of one pass into strips of new image rows.
+def _owed(go: int, due: float, dy: float) -> tuple[int, float]:
+    """Direction and rows owed after one more frame; without a direction yet, rows owed are signed."""
+    if go:
+        return go, max(due + go * dy, -DEBT_ROWS)
+    net = due + dy
+    return (0, net) if abs(net) < LOCK_ROWS else (1 if net > 0 else -1, abs(net))
 
-    The first frame is only the reference. Until the direction is locked, net movement adds up;
-    afterwards movement the other way becomes a capped debt. Whole rows are emitted, at most half
-    a frame at a time.
+
+def fold_strips(state: dict | None, rows, cfg: dict) -> tuple[list, dict]:
+    """The stream's form of the strip plan: ordered (seq, frame_rows, dy) rows of one pass to strips.
+
+    The first row of a pass only serves as reference.
     """
-    s = state or {"direction": cfg["direction"], "pending": 0.0, "seen": False}
-    out: list = []
-    for r in rows:
-        if not s["seen"]:
-            s["seen"] = True
-            continue
-        dy = r["dy"]
-        dy = 0.0 if dy is None or dy != dy else float(dy)
-        if s["direction"] == 0:
-            s["pending"] += dy
-            if abs(s["pending"]) < LOCK_ROWS:
-                continue
-            s["direction"] = 1 if s["pending"] > 0 else -1
-            s["pending"] = abs(s["pending"])
-        else:
-            s["pending"] = max(s["pending"] + dy * s["direction"], -DEBT_ROWS)
-        whole = int(s["pending"])
-        if whole <= 0:
-            continue
-        s["pending"] -= whole
-        out.append({
-            "seq": int(r["seq"]),
-            "rows": min(whole, int(r["frame_rows"]) // 2),
-            "at_top": s["direction"] > 0,
-        })
-    return out, s
+    rows = list(rows)
+    go, due = (cfg["direction"], 0.0) if state is None else (state["go"], state["due"])
+    strips = []
+    for row in rows if state else rows[1:]:
+        moved = row["dy"]
+        go, due = _owed(go, due, float(moved) if moved is not None and moved == moved else 0.0)
+        whole = int(due) if go and due >= 1 else 0
+        if whole:
+            due -= whole
+            strips.append({"seq": int(row["seq"]), "rows": min(whole, int(row["frame_rows"]) // 2), "at_top": go > 0})
+    return strips, ({"go": go, "due": due} if rows or state else None)

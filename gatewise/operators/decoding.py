@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.operators.ordered import running, seq_chunk
+from gatewise.operators.ordered import islands, seq_chunk
 
 BLANK, MIN_REPEAT, REPEAT_FACTOR = 0, 3, 1.7
 STOP_TOKEN, SKIP_TOKEN, MAX_STEPS = 97, 98, 25
@@ -13,12 +13,9 @@ STOP_TOKEN, SKIP_TOKEN, MAX_STEPS = 97, 98, 25
 
 def ctc_runs(steps: DataFrame, chunk_rows: int = 4096) -> DataFrame:
     """Runs of equal consecutive classes with their length and first probability, blanks dropped."""
-    chunk = seq_chunk(F.col("t"), chunk_rows)
-    prev = running(steps, ["read_id"], chunk, ["t"], _prev=("lag", "class_idx"))
-    start = F.when(~F.col("_prev").eqNullSafe(F.col("class_idx")), F.col("t"))
-    # The start of a row's run is the latest start so far.
-    runs = running(prev.withColumn("_start", start), ["read_id"], chunk, ["t"], run_start=("last", "_start"))
-    return runs.filter(F.col("class_idx") != BLANK).groupBy("read_id", "run_start").agg(
+    changed = lambda before, row: ~before["class_idx"].eqNullSafe(row["class_idx"])
+    runs = islands(steps, ["read_id"], seq_chunk(F.col("t"), chunk_rows), ["t"], changed, ["class_idx"])
+    return runs.filter(F.col("class_idx") != BLANK).groupBy("read_id", F.col("island.t").alias("run_start")).agg(
         F.first("class_idx").alias("class_idx"), F.count("*").cast("int").alias("run_length"),
         F.min_by("prob", "t").alias("prob"))
 
@@ -40,13 +37,14 @@ def run_length_threshold(runs: DataFrame) -> DataFrame:
     return packed.select("read_id", limit.alias("repeat_threshold"))
 
 
-def _joined_text(items: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Text of each read in order, assembled per chunk of runs first so that no row holds more than
-    its own read's text."""
-    return items.groupBy("read_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda r: r[text]), "").alias("text"),
-        F.count_if(F.col("weight") > 0).alias("_any"),
-        F.try_divide(F.sum(F.col("prob") * F.col("weight")), F.sum("weight")).alias("confidence"))
+def _joined_text(items: DataFrame, text: str, order: str, part_rows: int = 4096) -> DataFrame:
+    """Text of each read in order, assembled per part of its steps and then from the parts' texts."""
+    in_order = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text))), lambda r: r[text]), "")
+    parts = items.groupBy("read_id", F.floor(F.col(order) / part_rows).alias("_part")).agg(
+        in_order(order).alias(text), F.count_if(F.col("weight") > 0).alias("_any"),
+        F.sum(F.col("prob") * F.col("weight")).alias("_p"), F.sum("weight").alias("_w"))
+    return parts.groupBy("read_id").agg(
+        in_order("_part").alias("text"), F.sum("_any").alias("_any"), F.try_divide(F.sum("_p"), F.sum("_w")).alias("confidence"))
 
 
 def ctc_text(runs: DataFrame, thresholds: DataFrame, characters: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def ctc_text(runs: DataFrame, thresholds: DataFrame, characters: DataFrame) -> D
         .withColumn("weight", F.when(F.col("run_length") >= F.col("repeat_threshold"), 2).otherwise(1))
         .withColumn("chars", F.repeat(F.coalesce("ch", F.lit("")), F.col("weight")))
     )
-    return _joined_text(weighted, "chars", ["run_start"]).drop("_any")
+    return _joined_text(weighted, "chars", "run_start").drop("_any")
 
 
 def sequence_text(steps: DataFrame, characters: DataFrame) -> DataFrame:
@@ -75,4 +73,4 @@ def sequence_text(steps: DataFrame, characters: DataFrame) -> DataFrame:
             (F.col("_stop").isNull() | (F.col("t") < F.col("_stop"))) & (F.col("class_idx") != SKIP_TOKEN), 1).otherwise(0))
         .withColumn("chars", F.when(F.col("weight") > 0, F.coalesce("ch", F.lit(""))).otherwise(F.lit("")))
     )
-    return _joined_text(kept, "chars", ["t"]).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("_any")
+    return _joined_text(kept, "chars", "t").withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("_any")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewise.functions import machines as M
-from gatewise.operators.ordered import fold_chunks, running, seq_chunk
+from gatewise.operators.ordered import running, seq_chunk
 
 STILL_ROWS = 0.5
 
@@ -51,17 +50,35 @@ def coverage_check(motion: DataFrame, rows_per_m: float, fps: float, group: str
         F.sum(gap).alias("n_gap_frames"))
 
 
-_STRIP = T.ArrayType(T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("rows", T.IntegerType()), T.StructField("at_top", T.BooleanType())]))
 DIRECTIONS = {"auto": 0, "up": -1, "left": -1, "down": 1, "right": 1}
+# Net rows that lock the travel direction, and the most backward motion remembered.
+LOCK_ROWS, DEBT_ROWS = 24.0, 48.0
 
 
-def strip_plan(motion: DataFrame, direction: str = "auto", group: str = "pass_id", chunk_rows: int = 4096) -> DataFrame:
-    """New image rows each frame contributes and the end they join. ``seq`` numbers a pass's frames."""
-    item = F.struct("seq", "frame_rows", F.when(F.col("dx").isNotNull(), F.col("dy")).alias("dy"))
-    folded = fold_chunks(motion, [group], seq_chunk(F.col("seq"), chunk_rows), item, M.advance_strips,
-                         {"direction": DIRECTIONS[direction.lower()]}, _STRIP)
-    return folded.drop("_chunk")
+def strip_plan(motion: DataFrame, direction: str = "auto", group: str = "pass_id") -> DataFrame:
+    """New image rows each frame contributes and the end they join. ``seq`` numbers a pass's frames.
+
+    A pass holds at most its frame cap, so its motion is one ordered array, folded by column expressions.
+    The first frame only serves as reference. ``go`` is the travel direction, 0 until net motion locks
+    it; ``due`` are the rows still owed, whole ones of which join the image, half a frame at most at a time.
+    """
+    moved = F.when(F.col("dx").isNotNull() & F.col("dy").isNotNull() & ~F.isnan("dy"), F.col("dy").cast("double")).otherwise(F.lit(0.0))
+    frame = F.struct(F.col("seq").cast("long").alias("seq"), F.col("frame_rows").cast("int").alias("frame_rows"), moved.alias("dy"))
+    packed = motion.groupBy(group).agg(F.array_sort(F.collect_list(frame)).alias("_f"))
+    strips = "array<struct<seq: bigint, rows: int, at_top: boolean>>"
+    start = F.struct(F.lit(DIRECTIONS[direction.lower()]).alias("go"), F.lit(0.0).alias("due"), F.array().cast(strips).alias("out"))
+
+    def advance(s: Column, f: Column) -> Column:
+        net = s["due"] + f["dy"] * F.when(s["go"] == 0, 1).otherwise(s["go"])
+        go = F.when(s["go"] != 0, s["go"]).when(F.abs(net) < LOCK_ROWS, 0).otherwise(F.signum(net).cast("int"))
+        due = F.when(s["go"] != 0, F.greatest(net, F.lit(-DEBT_ROWS))).when(go == 0, net).otherwise(F.abs(net))
+        whole = F.when((go != 0) & (due >= 1), F.floor(due)).otherwise(0).cast("int")
+        strip = F.struct(f["seq"].alias("seq"), F.least(whole, F.floor(f["frame_rows"] / 2).cast("int")).alias("rows"), (go > 0).alias("at_top"))
+        return F.struct(go.alias("go"), (due - whole).alias("due"),
+                        F.when(whole > 0, F.array_append(s["out"], strip)).otherwise(s["out"]).alias("out"))
+
+    folded = packed.select(group, F.explode(F.aggregate(F.slice("_f", 2, F.greatest(F.size("_f"), F.lit(1))), start, advance)["out"]).alias("s"))
+    return folded.select(group, "s.seq", "s.rows", "s.at_top")
 
 
 def recent_strips(strips: DataFrame, rows: int = 4000, group: str = "pass_id", chunk_rows: int = 4096) -> DataFrame:

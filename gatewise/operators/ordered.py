@@ -42,13 +42,13 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], **s
     ``sum``, ``max`` (up to the row), ``max_before``, ``last`` (latest non-null up to the row),
     ``lag`` and ``lead``. ``order`` must be unique within a key and ``chunk`` monotone in it.
     """
-    base = df.withColumn("_chunk", chunk)
-    group = [*keys, "_chunk"]
+    # A struct of nulls equals itself, so rows without a key or an order value stay.
+    base = df.withColumn("_g", F.struct(*keys, chunk.alias("_chunk")))
     rank = F.struct(*order)
-    inner = W.partitionBy(*group).orderBy(*order)
+    inner = W.partitionBy("_g").orderBy(*order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
     before = inner.rowsBetween(W.unboundedPreceding, -1)
-    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
+    by_chunk = _chunks_of_key(keys)
     earlier = by_chunk.rowsBetween(W.unboundedPreceding, -1)
 
     totals, carries, values = [], [], {}
@@ -78,68 +78,85 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], **s
         else:
             raise ValueError(f"unknown kind {kind}")
     # One row per chunk from here on.
-    carried = base.groupBy(*group).agg(*totals).select(*group, *carries)
-    return base.join(carried, group).select(*df.columns, *(v.alias(n) for n, v in values.items()))
+    carried = base.groupBy("_g").agg(*totals).select("_g", *carries)
+    return base.join(carried, "_g").select(*df.columns, *(v.alias(n) for n, v in values.items()))
+
+
+def _chunks_of_key(keys: list[str]):
+    return W.partitionBy(*(F.col("_g")[k] for k in keys)).orderBy(F.col("_g")["_chunk"])
+
+
+def islands(df: DataFrame, keys: list[str], chunk: Column, order: list[str], breaks: Callable[[Column, Column], Column],
+            carry: list[str], following: str | None = None) -> DataFrame:
+    """Adds ``island``: the order values of the row that opened the row's island, as a struct.
+
+    A row opens an island when it has no predecessor or ``breaks(before, row)`` holds, both structs of
+    ``order`` and ``carry``. With ``following``, adds ``next_<following>`` of the row after. Everything
+    comes from one pass over (key, chunk): what crosses a border is one row per chunk.
+    """
+    base = df.withColumn("_g", F.struct(*keys, chunk.alias("_chunk")))
+    rank = lambda r: F.struct(*(r[c].alias(c) for c in order))
+    opens = lambda before, row: F.when(before.isNull() | F.coalesce(breaks(before, row), F.lit(False)), rank(row))
+    inner = W.partitionBy("_g").orderBy(*order)
+    row, before = F.col("_row"), F.col("_before")
+    marked = base.withColumn("_row", F.struct(*dict.fromkeys([*order, *carry]))).withColumn("_before", F.lag("_row").over(inner))
+    if following:
+        marked = marked.withColumn("_after", F.lead("_row").over(inner))
+    by_chunk = _chunks_of_key(keys)
+    ends = marked.groupBy("_g").agg(
+        F.min_by("_row", rank(row)).alias("_first"), F.max_by("_row", rank(row)).alias("_last"),
+        F.max(F.when(before.isNotNull(), opens(before, row))).alias("_start"))
+    linked = ends.withColumns({"_prior": F.lag("_last").over(by_chunk), "_next": F.lead("_first").over(by_chunk)})
+    linked = linked.withColumn("_latest", F.coalesce("_start", opens(F.col("_prior"), F.col("_first"))))
+    linked = linked.select("_g", "_prior", "_next", F.last("_latest", ignorenulls=True).over(
+        by_chunk.rowsBetween(W.unboundedPreceding, -1)).alias("_open"))
+    joined = marked.join(linked, "_g").withColumn("_start", opens(F.coalesce("_before", "_prior"), row))
+    upto = F.last("_start", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, 0))
+    extra = [F.coalesce("_after", "_next")[following].alias(f"next_{following}")] if following else []
+    return joined.select(*df.columns, F.coalesce(upto, F.col("_open")).alias("island"), *extra)
 
 
 Step = Callable[[dict | None, list, dict], tuple[list, dict]]
 
 
 def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, step: Step, config: dict,
-                output: T.ArrayType) -> DataFrame:
+                output: T.ArrayType, rest: dict) -> DataFrame:
     """Exact ordered fold of every key, run chunk by chunk in parallel.
 
-    ``step(state, rows, config) -> (outputs, state)`` folds one chunk's ordered rows. All chunks run
-    at once from an empty state; a chunk whose predecessor ends in another state than it started
-    from is run again, until no start changes. Machines that return to rest settle in a round or two;
-    keys of a single chunk never run twice. Returns keys, ``_chunk`` and the exploded outputs.
+    ``step(state, rows, config) -> (outputs, state)`` folds one chunk's ordered rows. All chunks run at
+    once from the machine's ``rest`` state and their outputs are stored; only a chunk whose predecessor
+    ended in another state than it started from is folded again. Machines that return to rest between
+    chunks run once. Returns keys, ``_chunk`` and the exploded outputs.
     """
     chunks = (
         df.withColumn("_chunk", chunk)
         .groupBy(*keys, "_chunk")
         .agg(F.array_sort(F.collect_list(item)).alias("rows"))
     )
-    key_schema = [df.schema[k] for k in keys] + [T.StructField("_chunk", T.LongType())]
+    group = [*keys, "_chunk"]
     out_schema = T.StructType([
-        *key_schema, T.StructField("start", T.StringType()), T.StructField("out", output), T.StructField("end", T.StringType())])
+        *(df.schema[k] for k in keys), T.StructField("_chunk", T.LongType()), T.StructField("start", T.StringType()),
+        T.StructField("out", output), T.StructField("end", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             outs, ends = [], []
             for start, rows in zip(pdf["start"], pdf["rows"]):
-                found, state = step(json.loads(start) if start else None, rows, config)
+                found, state = step(json.loads(start), rows, config)
                 outs.append(found)
                 ends.append(json.dumps(state, sort_keys=True))
-            yield pdf[[*keys, "_chunk", "start"]].assign(out=outs, end=ends)
+            yield pdf[[*group, "start"]].assign(out=outs, end=ends)
 
-    group = [*keys, "_chunk"]
+    idle = F.lit(json.dumps(rest, sort_keys=True))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
-    per_key = W.partitionBy(*keys)
-    nothing = F.lit(None).cast("string")
-    # Only key columns are read here; a key with one chunk needs no carried state.
-    index = df.withColumn("_chunk", chunk).select(*group).distinct()
-    multi = index.withColumn("n", F.count("*").over(per_key)).filter("n > 1").drop("n")
-    if multi.isEmpty():
-        return _outputs(chunks.withColumn("start", nothing).mapInPandas(run, out_schema), group)
-
-    chunks = cut_lineage(chunks, "chunks")  # folded more than once
-    first = chunks.withColumn("start", nothing).mapInPandas(run, out_schema)
-    known = cut_lineage(first.select(*group, "start", "end"), "starts")
+    chunks = cut_lineage(chunks, "chunks")
+    known = cut_lineage(chunks.withColumn("start", idle).mapInPandas(run, out_schema), "folds")
     while True:
-        wanted = known.withColumn("want", F.lag("end").over(by_chunk))
-        stale = wanted.filter(~F.col("want").eqNullSafe(F.col("start"))).select(*group, F.col("want").alias("start"))
+        wanted = known.select(*group, "start", F.coalesce(F.lag("end").over(by_chunk), idle).alias("want"))
+        stale = cut_lineage(wanted.filter("want <> start").select(F.struct(*group).alias("_g"), F.col("want").alias("start")), "stale")
         if stale.isEmpty():
-            break
-        redone = chunks.join(stale, group).mapInPandas(run, out_schema).select(
-            *group, F.col("start").alias("new_start"), F.col("end").alias("new_end"))
-        merged = known.join(redone, group, "left")
-        known = cut_lineage(merged.select(
-            *group,
-            F.when(F.col("new_end").isNotNull(), F.col("new_start")).otherwise(F.col("start")).alias("start"),
-            F.coalesce("new_end", "end").alias("end")), "starts")
-    final = chunks.join(known.select(*group, "start"), group, "left")
-    return _outputs(final.mapInPandas(run, out_schema), group)
-
-
-def _outputs(folded: DataFrame, group: list[str]) -> DataFrame:
-    return folded.select(*group, F.explode("out").alias("o")).select(*group, "o.*")
+            return known.select(*group, F.explode("out").alias("o")).select(*group, "o.*")
+        keyed = chunks.withColumn("_g", F.struct(*group))
+        redone = keyed.join(stale, "_g").select(*chunks.columns, "start").mapInPandas(run, out_schema)
+        kept = known.withColumn("_g", F.struct(*group)).join(stale, "_g", "left_anti").select(known.columns)
+        known = cut_lineage(kept.unionByName(redone), "folds")

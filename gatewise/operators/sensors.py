@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewise.functions import machines as M
 from gatewise.operators.decisions import COMPLETED, FRAME_CAP, NEVER_CLEARED, NEVER_ENGAGED
-from gatewise.operators.ordered import DAY, fold_chunks, from_micros, micros, running, time_chunk
+from gatewise.operators.ordered import DAY, fold_chunks, from_micros, islands, micros, running, time_chunk
 from gatewise.schemas import APPROVED
 
 # Seconds without a sign of life after which a device counts as offline.
@@ -54,14 +53,15 @@ def loop_flips(states: DataFrame, chunk_s: float = DAY) -> DataFrame:
 
 def debounced_entries(states: DataFrame, debounce_s: float = 0.05, chunk_s: float = DAY) -> DataFrame:
     """Entries: loop 0 stays engaged for the debounce; the entry time is the end of the debounce."""
-    level = states.withColumn("loops", F.slice("loops", 1, 1))
-    flips = loop_flips(level, chunk_s).withColumn("_on", F.col("loops")[0])
-    runs = running(flips, ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], off_ts=("lead", "ts"))
-    # A run still open is judged at the lane's newest row.
-    newest = states.groupBy("lane").agg(F.max("ts").alias("newest"))
-    judged = runs.filter("_on").join(newest, "lane").withColumn("entry_ts", F.col("ts") + interval(debounce_s))
-    return judged.filter(F.col("entry_ts") <= F.coalesce("off_ts", "newest")).select(
-        "lane", F.col("ts").alias("engaged_ts"), "entry_ts")
+    wait = interval(debounce_s)
+    level = states.select("lane", "ts", "seq", F.get("loops", F.lit(0)).alias("_on"))
+    changed = lambda before, row: ~before["_on"].eqNullSafe(row["_on"])
+    rows = islands(level, ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], changed, ["_on"], following="ts")
+    runs = rows.filter("_on").groupBy("lane", "island").agg(
+        F.max_by("next_ts", F.struct("ts", "seq")).alias("off_ts"), F.max("ts").alias("newest"))
+    # A run still open ends with the lane's newest row and is judged there.
+    return runs.select("lane", F.col("island.ts").alias("engaged_ts"), (F.col("island.ts") + wait).alias("entry_ts"), "off_ts", "newest").filter(
+        F.col("entry_ts") <= F.coalesce("off_ts", "newest")).drop("off_ts", "newest")
 
 
 _PASS = T.ArrayType(T.StructType([
@@ -107,16 +107,15 @@ def detect_passes(states: DataFrame, frames: DataFrame | None = None, debounce_s
     events = lane_events(states, frames).withColumn("us", micros(F.col("ts")))
     item = F.struct(F.col("us").alias("ts"), "seq", "kind", "loops")
     folded = fold_chunks(events, ["lane"], time_chunk(F.col("ts"), chunk_s), item, M.advance_lane,
-                         machine_config(n_loops, debounce_s, max_s, max_frames), _PASS)
+                         machine_config(n_loops, debounce_s, max_s, max_frames), _PASS, M.lane_start(n_loops))
     return pass_columns(folded)
 
 
 def liveness(beats: DataFrame, keys: list[str], timeout_s: float, chunk_s: float = DAY) -> DataFrame:
-    """Online intervals per device: from a first beat until the timeout after the last one in reach."""
-    seen = running(beats, keys, time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], _prev=("lag", "ts"))
-    fresh = F.when(F.col("_prev").isNull() | (F.col("ts") > F.col("_prev") + interval(timeout_s)), 1).otherwise(0)
-    marked = running(seen.withColumn("_new", fresh), keys, time_chunk(F.col("ts"), chunk_s), ["ts", "seq"],
-                     island=("sum", "_new"))
+    """Online intervals per device: from a first beat until the timeout after the last one in reach. At
+    exactly the timeout a device is offline, so a beat then opens a new interval."""
+    silent = lambda before, row: row["ts"] >= before["ts"] + interval(timeout_s)
+    marked = islands(beats, keys, time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], silent, [])
     return marked.groupBy(*keys, "island").agg(
         F.min("ts").alias("online_from"), (F.max("ts") + interval(timeout_s)).alias("online_until"),
         F.count("*").alias("n_beats")).drop("island")
@@ -138,7 +137,7 @@ def camera_health(frames: DataFrame, errors: DataFrame | None = None) -> DataFra
     bad = F.when(~F.col("delivered"), F.col("ts"))
     out = frames.groupBy("lane", "camera").agg(
         F.max(ok).alias("last_frame_ts"), F.max(bad).alias("last_error_ts"),
-        F.max_by("error", bad).alias("_text"))
+        F.max_by("error", F.when(bad.isNotNull(), F.struct(bad, "error"))).alias("_text"))
     stale = F.col("last_frame_ts").isNull() | (F.col("last_error_ts") > F.col("last_frame_ts"))
     return out.withColumn("last_error", F.when(stale, F.col("_text"))).drop("_text")
 
@@ -152,18 +151,18 @@ def lane_snapshot(events: DataFrame, lane: str = "lane_name", ts: str = "timesta
 def barrier_intervals(decided: DataFrame, open_s: float = 3.0, chunk_s: float = DAY, lane: str = "lane_name") -> DataFrame:
     """Merged openings: every approved pass opens the lane's barrier for ``open_s``."""
     opened = decided.filter(F.col("admission") == APPROVED).select(
-        F.col(lane).alias("lane"), F.col("timestamp").alias("ts"), F.col("id").alias("seq"),
-        (F.col("timestamp") + interval(open_s)).alias("until"))
-    seen = running(opened, ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], _reach=("max_before", "until"))
-    fresh = F.when(F.col("_reach").isNull() | (F.col("ts") > F.col("_reach")), 1).otherwise(0)
-    marked = running(seen.withColumn("_new", fresh), ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"],
-                     island=("sum", "_new"))
+        F.col(lane).alias("lane"), F.col("timestamp").alias("ts"), F.col("id").alias("seq"))
+    # All openings last equally long, so the one before reaches furthest.
+    shut = lambda before, row: row["ts"] > before["ts"] + interval(open_s)
+    marked = islands(opened, ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], shut, [])
     return marked.groupBy("lane", "island").agg(
-        F.min("ts").alias("open_from"), F.max("until").alias("open_until"), F.count("*").alias("n_openings")).drop("island")
+        F.min("ts").alias("open_from"), (F.max("ts") + interval(open_s)).alias("open_until"), F.count("*").alias("n_openings")).drop("island")
 
 
 def capture_end(max_s: float) -> Column:
-    return F.coalesce(F.col("exit_clear_ts"), F.col("entry_ts") + interval(max_s))
+    """A pass is recorded until it clears, and never longer than ``max_s``."""
+    limit = F.col("entry_ts") + interval(max_s)
+    return F.least(F.coalesce("exit_clear_ts", limit), limit)
 
 
 def frames_in_pass(passes: DataFrame, frames: DataFrame, max_s: float = 30.0) -> DataFrame:
@@ -196,7 +195,3 @@ def frame_at_entry(passes: DataFrame, frames: DataFrame, cameras: tuple[str, ...
                    entry_frame=("last", "frame_id"))
     return line.filter("side = 1").select(F.col("seq").alias("pass_id"), "lane", "camera", "entry_frame")
 
-
-def recent_per_lane(events: DataFrame, n: int, lane: str = "lane_name") -> DataFrame:
-    w = W.partitionBy(lane).orderBy(F.desc("id"))
-    return events.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

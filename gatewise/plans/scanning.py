@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gatewise.operators import decoding, evidence
 from gatewise.plans.registry import query
 from gatewise.plans.tables import with_views
-from gatewise.session import scratch_path
+from gatewise.session import cut_lineage, scratch_path
 from gatewise.sources import readers, writers
 
 FLAG_AT = 1.2
@@ -130,6 +130,30 @@ def _s4(t):
     return evidence.sample_bank(t.view("patches").filter("label = 0")).select("image_id", "cell")
 
 
+@query("s4_sample_bank_bounded", oracle=with_views("patches", body="""
+SELECT least(count(*), 40) AS n_sampled, least(count(*), 40) AS n_known, least(count(*), 40) AS n_again FROM v_patches"""))
+def _s4_bounded(t):
+    """A sample smaller than the table: its size, how many of its rows the table has, how many a rerun draws again."""
+    patches = t.view("patches")
+    one, two = (evidence.sample_bank(df, n=40).select("image_id", "cell") for df in (patches, patches.repartition(3)))
+    known, again = (one.join(other, ["image_id", "cell"], "left_semi").agg(F.count("*").alias("n")) for other in (patches, two))
+    size = one.agg(F.count("*").alias("n"))
+    counts = [df.select(F.lit(name).alias("name"), "n") for name, df in (("n_sampled", size), ("n_known", known), ("n_again", again))]
+    return counts[0].union(counts[1]).union(counts[2]).groupBy().pivot("name", ["n_sampled", "n_known", "n_again"]).agg(F.first("n"))
+
+
+@query("src8_snk6_bank_whole", oracle=with_views("patches", body="""
+SELECT image_id, count(*) AS n_vectors, round(sum(list_sum(CAST(feat AS DOUBLE[]))), 6) AS total FROM v_patches GROUP BY image_id"""))
+def _bank_whole(t):
+    """Every vector written and read again; the sum tells whose it is."""
+    path = scratch_path(t.spark, "bank")
+    writers.write_bank(t.view("patches"), path)
+    total = lambda df: df.withColumn("s", F.aggregate("feat", F.lit(0.0), lambda a, x: a + x))
+    stored = total(readers.read_bank(t.spark, path, dim=64)).select("feat", "s")
+    owner = t.view("patches").select("image_id", "feat")
+    return stored.join(owner, "feat").groupBy("image_id").agg(F.count("*").alias("n_vectors"), F.round(F.sum("s"), 6).alias("total"))
+
+
 @query("src8_snk6_bank_round_trip", oracle=with_views("patches", body="""
 SELECT label, count(*) AS n_vectors, round(sum(list_sum(CAST(feat AS DOUBLE[]))), 6) AS total FROM v_patches WHERE label <= 2 GROUP BY label"""))
 def _bank(t):
@@ -211,7 +235,7 @@ w AS (SELECT r.*, CASE WHEN run_length >= repeat_threshold THEN 2 ELSE 1 END AS
 SELECT read_id, string_agg(repeat(substr('{CHARACTERS}', class_idx, 1), k), '' ORDER BY run_start) AS text,
   round(sum(prob * k) / sum(k), 9) AS confidence FROM w GROUP BY read_id"""))
 def _w9(t):
-    runs = decoding.ctc_runs(t.view("ctc_steps"))
+    runs = cut_lineage(decoding.ctc_runs(t.view("ctc_steps")), "runs")  # used for thresholds and text
     out = decoding.ctc_text(runs, decoding.run_length_threshold(runs), characters(t.spark))
     return out.withColumn("confidence", F.round("confidence", 9))
 

@@ -117,7 +117,7 @@ def _st4(t):
 
 @query("st5_liveness", oracle=with_views("loop_states", body="""
 b AS (SELECT *, lag(ts) OVER (PARTITION BY lane ORDER BY ts, seq) AS p FROM v_loop_states WHERE heartbeat),
-i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, seq) AS g FROM b)
+i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, seq) AS g FROM b)
 SELECT lane, min(ts) AS online_from, max(ts) + INTERVAL 1 HOUR AS online_until, count(*) AS n_beats FROM i GROUP BY lane, g"""))
 def _st5(t):
     return sensors.liveness(states(t).filter("kind = 'heartbeat'"), ["lane"], ALIVE_S)

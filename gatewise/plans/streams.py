@@ -88,7 +88,7 @@ def _st9(t):
     frames = t.stream("events").select(
         F.col("user_id").alias("pass_id"), F.col("event_id").alias("seq"), "ts", F.lit(1216).alias("frame_rows"),
         (F.col("value") / 10 - 1).alias("dx"), F.when(F.col("event_id") % 9 != 0, 20 - F.col("value")).alias("dy"))
-    return runtime.run_available(jobs.strip_plan_stream(frames, delay=DELAY), "strips")
+    return runtime.run_available(jobs.strip_plan_stream(frames, delay=DELAY, idle_s=90 * 86_400.0), "strips")
 
 
 def _decided_stream(t):

@@ -44,24 +44,27 @@ def loop_state_stream(messages: DataFrame, n_loops: int = 2, delay: str = "10 se
     return events.groupBy("lane").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
-def strip_plan_stream(frames: DataFrame, direction: str = "auto", delay: str = "10 seconds") -> DataFrame:
-    """Strips as frames arrive. ``frames``: pass_id, seq, ts, frame_rows, dx, dy."""
+def strip_plan_stream(frames: DataFrame, direction: str = "auto", delay: str = "10 seconds", idle_s: float = 3600.0) -> DataFrame:
+    """Strips as frames arrive. ``frames``: pass_id, seq, ts, frame_rows, dx, dy. A pass silent for
+    ``idle_s`` has ended, and its state goes."""
     events = frames.withColumn("us", micros(F.col("ts"))).withColumn(
         "dy", F.when(F.col("dx").isNotNull(), F.col("dy"))).withColumn(
         "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    schema = T.StructType([frames.schema["pass_id"], *motion._STRIP.elementType.fields])
-    fold = OrderedFold("pass_id", M.advance_strips, {"direction": motion.DIRECTIONS[direction]},
-                       ("frame_rows", "dy"), schema.names, clock=False)
+    schema = T.StructType([
+        frames.schema["pass_id"], T.StructField("seq", T.LongType()), T.StructField("rows", T.IntegerType()), T.StructField("at_top", T.BooleanType())])
+    fold = OrderedFold("pass_id", M.fold_strips, {"direction": motion.DIRECTIONS[direction]},
+                       ("frame_rows", "dy"), schema.names, clock=False, idle_s=idle_s)
     return events.groupBy("pass_id").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
 def liveness_stream(beats: DataFrame, keys: list[str], timeout_s: float, delay: str = "10 seconds") -> DataFrame:
     """Closed online intervals: a device's beats form a session that ends a timeout after the last one."""
     timed = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    session = F.session_window("ts", f"{int(timeout_s * 1000)} milliseconds")
+    # Sessions that touch are merged, so they end a microsecond short of the timeout.
+    session = F.session_window("ts", f"{int(timeout_s * 1_000_000) - 1} microseconds")
     return timed.groupBy(*keys, session).agg(F.count("*").alias("n_beats")).select(
         *keys, F.col("session_window.start").cast("timestamp_ntz").alias("online_from"),
-        F.col("session_window.end").cast("timestamp_ntz").alias("online_until"), "n_beats")
+        (F.col("session_window.end").cast("timestamp_ntz") + F.expr("INTERVAL 0.000001 SECOND")).alias("online_until"), "n_beats")
 
 
 def pass_frames_stream(passes: DataFrame, frames: DataFrame, max_s: float = 30.0, delay: str = "10 seconds") -> DataFrame:

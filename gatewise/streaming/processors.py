@@ -16,12 +16,14 @@ class OrderedFold(StatefulProcessor):
 
     Input columns: the key, ``us`` (event time in microseconds), ``seq`` and the step's own fields.
     Late rows never arrive here: Spark drops what is older than the watermark. State is the rows not
-    yet passed by the watermark plus one small JSON text per key.
+    yet passed by the watermark plus one small JSON text per key; with ``idle_s`` the text goes once the
+    watermark is that far past the key's last row.
     """
 
-    def __init__(self, key: str, step, config: dict, fields: tuple[str, ...], columns: list[str], clock: bool):
+    def __init__(self, key: str, step, config: dict, fields: tuple[str, ...], columns: list[str], clock: bool, idle_s: float | None = None):
         self.key, self.step, self.config = key, step, config
         self.fields, self.columns, self.clock = fields, columns, clock
+        self.idle_us = None if idle_s is None else round(idle_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -53,14 +55,15 @@ class OrderedFold(StatefulProcessor):
         due = [r for r in waiting if r[0] <= passed]
         left = waiting[len(due):]
         stored = self.machine.get() if self.machine.exists() else None
-        state = json.loads(stored[0]) if stored else None
+        state, last = json.loads(stored[0]) if stored else (None, 0)
+        last = max([last, *(r[0] for r in due)])
         rows = [{"ts": us, "seq": seq, **json.loads(body)} for us, seq, body in due]
         if self.clock and passed > 0 and (state or rows):
             rows.append({"ts": passed, "kind": M.CLOCK, "loops": None})
         out: list = []
         if rows:
             out, state = self.step(state, rows, self.config)
-            self.machine.update((json.dumps(state),))
+            self.machine.update((json.dumps([state, last]),))
         if due:
             if left:
                 self.held.put(left)
@@ -72,6 +75,11 @@ class OrderedFold(StatefulProcessor):
                 wake.append(state["times"][0] + self.config["max_us"])
             elif state["anchor"] is not None:
                 wake.append(state["anchor"] + self.config["debounce_us"])
+        if self.idle_us is not None and not left and self.machine.exists():
+            if passed >= last + self.idle_us:
+                self.machine.clear()
+            else:
+                wake.append(last + self.idle_us)
         if wake:
             # One timer for the next thing due, rounded up to the millisecond.
             self.handle.registerTimer(max(-(-min(wake) // 1000), timerValues.getCurrentWatermarkInMs() + 1))

@@ -48,10 +48,21 @@ def test_passes_do_not_depend_on_chunks(tables, chunk_s):
     assert rows(cut.drop("_chunk")) == rows(whole.drop("_chunk"))
 
 
-@pytest.mark.parametrize("chunk_rows", [5, 17])
-def test_strips_do_not_depend_on_chunks(tables, chunk_rows):
+@pytest.mark.parametrize("cut", [1, 5, 17])
+def test_strips_of_the_stream_equal_the_batch(tables, cut):
     numbered = sensing.numbered_motion(tables)
-    assert rows(motion.strip_plan(numbered, chunk_rows=chunk_rows)) == rows(motion.strip_plan(numbered))
+    want = rows(motion.strip_plan(numbered))
+    got = []
+    by_pass = {}
+    for r in numbered.orderBy("pass_id", "seq").collect():
+        moved = r.dy if r.dx is not None else None
+        by_pass.setdefault(r.pass_id, []).append({"seq": r.seq, "frame_rows": r.frame_rows, "dy": moved})
+    for pass_id, frames in by_pass.items():
+        state = None
+        for at in range(0, len(frames), cut):
+            strips, state = M.fold_strips(state, frames[at:at + cut], {"direction": 0})
+            got += [(pass_id, s["seq"], s["rows"], s["at_top"]) for s in strips]
+    assert sorted(got) == sorted(tuple(r) for r in want)
 
 
 def test_strips_never_exceed_movement(tables):
@@ -63,8 +74,8 @@ def test_strips_never_exceed_movement(tables):
 
 def test_backward_spike_is_capped():
     steps = [{"seq": i, "frame_rows": 1000, "dy": d} for i, d in enumerate([0.0, 30.0, -5000.0, 20.0, 20.0, 20.0])]
-    out, state = M.advance_strips(None, steps, {"direction": 0})
-    assert [(s["seq"], s["rows"]) for s in out] == [(1, 30), (5, 12)] and state["direction"] == 1
+    out, state = M.fold_strips(None, steps, {"direction": 0})
+    assert [(s["seq"], s["rows"]) for s in out] == [(1, 30), (5, 12)] and state["go"] == 1
 
 
 CFG = {"n_loops": 2, "debounce_us": 50, "max_us": 1000, "max_frames": 3}
