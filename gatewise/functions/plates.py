@@ -6,49 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # State codes in stored order (order decides ties between equally close codes).
-STATE_TABLE = """
-AN Andaman and Nicobar Islands
-AP Andhra Pradesh
-AR Arunachal Pradesh
-AS Assam
-BR Bihar
-CG Chhattisgarh
-CH Chandigarh
-DD Dadra and Nagar Haveli and Daman and Diu
-DL Delhi
-DN Dadra and Nagar Haveli
-GA Goa
-GJ Gujarat
-HP Himachal Pradesh
-HR Haryana
-JH Jharkhand
-JK Jammu and Kashmir
-KA Karnataka
-KL Kerala
-LA Ladakh
-LD Lakshadweep
-MH Maharashtra
-ML Meghalaya
-MN Manipur
-MP Madhya Pradesh
-MZ Mizoram
-NL Nagaland
-OD Odisha
-OR Odisha
-PB Punjab
-PN Punjab
-PY Puducherry
-RJ Rajasthan
-SK Sikkim
-TN Tamil Nadu
-TG Telangana
-TR Tripura
-TS Telangana
-UA Uttarakhand
-UK Uttarakhand
-UP Uttar Pradesh
-WB West Bengal
-"""
+STATES = {
+    "AN": "Andaman and Nicobar Islands",
+    "AP": "Andhra Pradesh",
+    "AR": "Arunachal Pradesh",
+    "AS": "Assam",
+    "BR": "Bihar",
+    "CG": "Chhattisgarh",
+    "CH": "Chandigarh",
+    "DD": "Dadra and Nagar Haveli and Daman and Diu",
+    "DL": "Delhi",
+    "DN": "Dadra and Nagar Haveli",
+    "GA": "Goa",
+    "GJ": "Gujarat",
+    "HP": "Himachal Pradesh",
+    "HR": "Haryana",
+    "JH": "Jharkhand",
+    "JK": "Jammu and Kashmir",
+    "KA": "Karnataka",
+    "KL": "Kerala",
+    "LA": "Ladakh",
+    "LD": "Lakshadweep",
+    "MH": "Maharashtra",
+    "ML": "Meghalaya",
+    "MN": "Manipur",
+    "MP": "Madhya Pradesh",
+    "MZ": "Mizoram",
+    "NL": "Nagaland",
+    "OD": "Odisha",
+    "OR": "Odisha",
+    "PB": "Punjab",
+    "PN": "Punjab",
+    "PY": "Puducherry",
+    "RJ": "Rajasthan",
+    "SK": "Sikkim",
+    "TN": "Tamil Nadu",
+    "TG": "Telangana",
+    "TR": "Tripura",
+    "TS": "Telangana",
+    "UA": "Uttarakhand",
+    "UK": "Uttarakhand",
+    "UP": "Uttar Pradesh",
+    "WB": "West Bengal",
+}
 BH_NAME = "Bharat Series"
 
 # Characters a reader confuses, by the kind of slot they stand in.
@@ -73,8 +73,6 @@ SLOT_LAYOUTS = (
 STANDARD_FORMAT = "^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{1,4}$"
 BH_FORMAT = "^[0-9]{2}BH[0-9]{4}[A-Z]{1,2}$"
 
-STATES: dict[str, str] = dict(line.split(" ", 1) for line in STATE_TABLE.strip().splitlines())
-
 
 def normalize_plate(c: Column) -> Column:
     """ASCII letters and digits, upper case; null becomes empty. Stripping first keeps case mapping ASCII."""

@@ -104,7 +104,7 @@ def state_prefix_fixes(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     return (
         _with_repairs(norm, "_n")
         .select(*reads.columns, "_n", F.explode("repairs").alias("state_fix"))
-        .withColumn("fixed_text", F.concat("state_fix", F.substring("_n", 3, 64)))
+        .withColumn("fixed_text", F.concat("state_fix", F.expr("substring(_n, 3)")))
         .drop("_n")
     )
 
@@ -160,7 +160,7 @@ def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: boo
     kind, chg, own, cost = F.col("_kind"), F.col("_chg"), F.col("_code") == "", F.lit(0.05)
     fmt, repaired_fmt = F.col("_fmt"), F.col("_repaired_fmt")
     scored = (
-        rows.withColumn("_repaired", F.concat("_code", F.substring("_f", 3, 64)))
+        rows.withColumn("_repaired", F.concat("_code", F.expr("substring(_f, 3)")))
         .withColumns({
             "_fmt": F.when(kind == "raw", P.format_score(F.col("_f"))).when(
                 F.col("_known"), F.lit(0.98)).otherwise(F.lit(0.9)),

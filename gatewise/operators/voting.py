@@ -6,11 +6,9 @@ by the selection, not by the data. Everything after the one shuffle by pass is c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatewise.functions import plates as P
 from gatewise.operators import grammar
@@ -100,39 +98,40 @@ def with_modal_length(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("modal_length", modal_length())
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def align(reference: str, other: str) -> str:
-    """``other`` laid over the positions of ``reference`` by edit distance; a space where nothing
-    aligns. Walking back, a match or swap is preferred, then skipping the reference, then the other."""
-    n, m = len(reference), len(other)
-    cost = [[max(i, j) if i == 0 or j == 0 else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            swap = cost[i - 1][j - 1] + (reference[i - 1] != other[j - 1])
-            cost[i][j] = min(swap, cost[i - 1][j] + 1, cost[i][j - 1] + 1)
-    out = [" "] * n
-    i, j = n, m
-    while i and j:
-        if cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != other[j - 1]):
-            i, j = i - 1, j - 1
-            out[i] = other[j]
-        elif cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def _align_udf(reference: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([align(r, o) for r, o in zip(reference, other)], dtype=object)
+    """SQL that lays ``other`` over the positions of ``reference`` by edit distance, with a space where
+    nothing aligns.
+
+    ``d`` holds, for each number of reference characters, the distances to every prefix of the other.
+    The way back keeps (i, j) prefixes still to lay; of equally short ways it takes the one that lays a
+    character, then the one that leaves the position blank, then the one that drops a character.
+    """
+    differs = lambda i, j: f"if(substring(r, {i}, 1) = substring(o, {j}, 1), 0, 1)"
+    row = (f"aggregate(sequence(1, length(o)), array(i), (line, j) -> array_append(line, least("
+           f"element_at(d, i)[j - 1] + {differs('i', 'j')}, element_at(d, i)[j] + 1, line[j - 1] + 1)))")
+    table = f"aggregate(sequence(1, length(r)), array(sequence(0, length(o))), (d, i) -> array_append(d, {row}))"
+    here = "d[s.i][s.j]"
+    back = (
+        "aggregate(sequence(1, length(r) + length(o)), named_struct('i', length(r), 'j', length(o), 't', ''), (s, step) -> CASE "
+        "WHEN s.i = 0 OR s.j = 0 THEN s "
+        f"WHEN {here} = d[s.i - 1][s.j - 1] + {differs('s.i', 's.j')} THEN named_struct('i', s.i - 1, 'j', s.j - 1, 't', concat(substring(o, s.j, 1), s.t)) "
+        f"WHEN {here} = d[s.i - 1][s.j] + 1 THEN named_struct('i', s.i - 1, 'j', s.j, 't', concat(' ', s.t)) "
+        "ELSE named_struct('i', s.i, 'j', s.j - 1, 't', s.t) END, s -> lpad(s.t, length(r), ' '))")
+    laid = f"if(length(r) = 0 OR length(o) = 0, repeat(' ', length(r)), {_let('d', table, back)})"
+    return _let("r", reference, _let("o", other, laid))
 
 
 def align_reads(pairs: DataFrame) -> DataFrame:
-    """Adds ``aligned`` to pairs (reference, other). Equal lengths stay as they are and never reach
-    Python; the others are aligned once per distinct pair."""
+    """Adds ``aligned`` to pairs (reference, other). Equal lengths stay as they are; the others are
+    aligned once per distinct pair."""
     same = F.length("reference") == F.length("other")
     uneven = pairs.filter(~same).select("reference", "other").distinct()
-    aligned = uneven.withColumn("aligned", _align_udf("reference", "other"))
+    aligned = uneven.withColumn("aligned", F.expr(align("reference", "other")))
     scatter = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*pairs.columns), F.lit(4096)).cast("string"))
     keyed = pairs.withColumn("_o", F.when(same, scatter).otherwise(F.col("other")))
     found = keyed.join(aligned.withColumnRenamed("other", "_o"), ["reference", "_o"], "left")
@@ -142,22 +141,12 @@ def align_reads(pairs: DataFrame) -> DataFrame:
 def _with_aligned(clusters: DataFrame) -> DataFrame:
     """Adds ``reference`` (first member of modal length) and ``aligned`` (all members laid over it).
 
-    Only clusters of mixed length carry rows into Python; a uniform cluster passes an empty array.
+    A text of modal length votes as it is, others as aligned.
     """
-    @F.pandas_udf("array<string>")
-    def aligned_texts(reference: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([[align(r, o) for o in os] for r, os in zip(reference, others)], dtype=object)
-
-    # Marked nondeterministic only so the optimizer evaluates it once instead of inlining it.
-    aligned_texts = aligned_texts.asNondeterministic()
     staged = with_modal_length(clusters).withColumn(
         "reference", F.expr("filter(members, m -> length(m.n) = modal_length)[0].n"))
-    staged = staged.withColumn("_odd", F.expr("transform(filter(members, m -> length(m.n) <> modal_length), m -> m.n)"))
-    staged = staged.withColumn("_fixed", aligned_texts("reference", "_odd"))
-    # Votes are cast in member order: a text of modal length votes as it is, others as aligned.
     return staged.withColumn("aligned", F.expr(
-        "transform(members, m -> if(length(m.n) = modal_length, m.n, "
-        "_fixed[CAST(array_position(_odd, m.n) - 1 AS INT)]))")).drop("_odd", "_fixed")
+        f"transform(members, m -> if(length(m.n) = modal_length, m.n, {align('reference', 'm.n')}))"))
 
 
 def char_votes(clusters: DataFrame) -> DataFrame:
@@ -333,20 +322,14 @@ def join_two_line(rows: DataFrame, key: str = "read_id") -> DataFrame:
     return joined.select(key, "text", F.when(F.col("text") == "", F.lit(0.0)).otherwise(F.coalesce("c", F.lit(0.0))).alias("confidence"))
 
 
-@F.pandas_udf(T.StringType())
-def consensus_text(texts: pd.Series, order: pd.Series) -> str:
-    """Grouped aggregate for SQL users: majority text of one selected group of reads (at most the frame
-    selection), votes cast in ``order``, without correction."""
-    ranked = [t for _, t in sorted(zip(order, texts), key=lambda r: r[0])]
-    seen = [t for t in ("".join(ch for ch in (t or "") if ch.isascii() and ch.isalnum()).upper() for t in ranked) if t]
-    if not seen:
-        return ""
-    lengths = [len(t) for t in seen]
-    modal = max(dict.fromkeys(lengths), key=lengths.count)
-    reference = next(t for t in seen if len(t) == modal)
-    laid = [t if len(t) == modal else align(reference, t) for t in seen]
-    out = []
-    for i in range(modal):
-        cast = [t[i] for t in laid if t[i] != " "]
-        out.append(max(dict.fromkeys(cast), key=cast.count) if cast else reference[i])
-    return "".join(out)
+def consensus_text(texts: str, order: str) -> Column:
+    """Aggregate of one selected group of reads (at most the frame selection): its majority text, votes
+    cast in ``order``, without correction."""
+    pick = f"struct({order} AS o, coalesce(upper(regexp_replace({texts}, '[^A-Za-z0-9]', '')), '') AS n)"
+    seen = f"filter(transform(array_sort(collect_list({pick})), x -> x.n), n -> n <> '')"
+    size = _most_common("transform(seen, n -> length(n))") + ".v"
+    laid = f"transform(seen, n -> if(length(n) = modal, n, {align('lead', 'n')}))"
+    cast = "filter(transform(laid, n -> substring(n, p, 1)), c -> c <> ' ')"
+    text = f"array_join(transform(sequence(1, modal), p -> {_let('votes', cast, 'coalesce(' + _most_common('votes') + '.v, substring(lead, p, 1))')}), '')"
+    voted = _let("modal", size, _let("lead", "filter(seen, n -> length(n) = modal)[0]", _let("laid", laid, text)))
+    return F.expr(_let("seen", seen, f"if(size(seen) = 0, '', {voted})"))

@@ -230,7 +230,7 @@ SELECT read_id, string_agg(text, '' ORDER BY r) AS text, round(CASE WHEN string_
 def _p14(t):
     reads = t.view("plate_reads")
     top = reads.select(F.col("seq").alias("read_id"), F.lit(0).alias("row"), F.substring("plate_text", 1, 4).alias("text"), "confidence")
-    low = reads.select(F.col("seq").alias("read_id"), F.lit(1).alias("row"), F.substring("plate_text", 5, 99).alias("text"),
+    low = reads.select(F.col("seq").alias("read_id"), F.lit(1).alias("row"), F.expr("substring(plate_text, 5)").alias("text"),
                        F.when(F.col("seq") % 3 == 0, F.lit(0.0)).otherwise(F.col("quality")).alias("confidence"))
     return voting.join_two_line(top.unionByName(low)).withColumn("confidence", F.round("confidence", 9))
 
