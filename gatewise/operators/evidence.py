@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +114,8 @@ def suppress_boxes(boxes: DataFrame, threshold: float = 0.45, group: str = "imag
 
     Boxes of the very same rectangle shrink to the best one before the shuffle: the others can only
     fall with it. Images of at most ``fold_limit`` boxes (a detector's anchor count) are folded in
-    order inside one row; larger ones are settled by rounds over overlapping pairs.
+    order inside one row; larger ones are settled by rounds over overlapping pairs. Both give the same
+    rows for any threshold.
     """
     rect = ["x", "y", "w", "h"]
     solid = boxes.filter("w > 0 AND h > 0")
@@ -123,12 +126,11 @@ def suppress_boxes(boxes: DataFrame, threshold: float = 0.45, group: str = "imag
         .agg(F.max_by(F.struct(*rest), F.struct("conf", -F.col("box_id"))).alias("_p"))
         .select(group, *rect, *(F.col(f"_p.{c}").alias(c) for c in rest))
     )
-    sizes = best.groupBy(group).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= fold_limit:
+    best = cut_lineage(best, "boxes")  # sized, then routed, without a second pass over the boxes
+    large = cut_lineage(best.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_limit).select(group), "crowded")
+    if large.isEmpty():
         kept = _suppress_in_rows(best, threshold, group)
     else:
-        large = sizes.filter(F.col("_n") > fold_limit).select(group)
         kept = _suppress_in_rows(best.join(large, group, "left_anti"), threshold, group).unionByName(
             _suppress_by_rounds(best.join(large, group, "left_semi"), threshold, group))
     return kept.select(boxes.columns).unionByName(flat)
@@ -152,13 +154,13 @@ def _suppress_by_rounds(boxes: DataFrame, threshold: float, group: str) -> DataF
     heights and nearby corners, so they meet in a cell of a grid scaled to their own size class;
     a box stays once no earlier overlapping box can stay, and goes once one does."""
     ranked = boxes.withColumn("_rank", F.struct(F.col("conf").alias("c"), (-F.col("box_id")).alias("b")))
-    # Size classes double; a partner lies in the same class or a neighbouring one.
+    # Size classes double; a partner lies in the same class or a few away.
     classes = lambda c: F.floor(F.log2(F.col(c)))
     step = lambda level: F.pow(F.lit(2.0), level)
     placed = ranked.withColumns({"_lw": classes("w"), "_lh": classes("h")})
-    if threshold < 0.25:
-        raise ValueError("rounds need a threshold of at least 0.25")
-    span = F.array(F.lit(-2), F.lit(-1), F.lit(0))
+    # Over the threshold one side is at most 1 / threshold times the other; without one, sizes differ as they may.
+    apart = math.ceil(math.log2(1 / threshold)) if threshold > 0 else 31
+    span = F.array(*(F.lit(-d) for d in range(min(apart, 31), -1, -1)))
     # Earlier-or-later partners are found from the smaller class up: both sides probe the grid of the
     # larger class, one side over the neighbouring cells.
     levels = placed.withColumn("_gw", F.explode(F.transform(span, lambda d: F.col("_lw") - d))).withColumn(
@@ -208,20 +210,22 @@ def sample_bank(patches: DataFrame, n: int = BANK_VECTORS, seed: int = 42, keys:
 def nearest_bank_distance(patches: DataFrame, bank: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
     """Adds ``distance``: least Euclidean distance of a patch to any bank vector.
 
-    The bank is sampled (``sample_bank``), so it is broadcast after a check of its size; patches
-    stream through blocked matrix products on executors without a shuffle. A bank over the block
-    size is taken in bounded blocks and the block minima combined per patch.
+    The bank meets the patches in blocks of at most about ``block_bytes``, each broadcast; a sampled
+    bank (``sample_bank``) is one block, and then patches stream through blocked matrix products without
+    a shuffle. Rows of several blocks combine by a row number that is drawn once, so equal patches stay
+    apart and equal bank vectors spread over the blocks.
     """
     spark = patches.sparkSession
     shape = bank.agg(F.count("*").alias("n"), F.max(F.size("feat")).alias("dim")).first()
     if not shape["n"]:
         raise ValueError("bank is empty")
     blocks = -(-shape["n"] * shape["dim"] * 8 // block_bytes)
-    schema = T.StructType([*patches.schema.fields, T.StructField("distance", T.DoubleType())])
 
-    def scored(part: DataFrame) -> DataFrame:
-        vectors = part.select("feat").toPandas()["feat"]  # at most block_bytes by the check above
-        shared = spark.sparkContext.broadcast(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+    def scored(part: DataFrame, rows: DataFrame) -> DataFrame | None:
+        table = part.select(F.col("feat").cast("array<double>").alias("feat")).toArrow()  # about block_bytes
+        if not table.num_rows:
+            return None
+        shared = spark.sparkContext.broadcast(np.array(table.column("feat").to_pylist()))
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = shared.value
@@ -236,17 +240,15 @@ def nearest_bank_distance(patches: DataFrame, bank: DataFrame, block_bytes: int
                     out[at:at + len(x)] = np.sqrt(((x - best) ** 2).sum(axis=1))
                 yield pdf.assign(distance=out)
 
-        return patches.mapInPandas(nearest, schema)
+        return rows.mapInPandas(nearest, T.StructType([*rows.schema.fields, T.StructField("distance", T.DoubleType())]))
 
     if blocks <= 1:
-        return scored(bank)
-    numbered = cut_lineage(bank.select("feat").withColumn("_k", F.pmod(F.xxhash64("feat"), F.lit(int(blocks * 2)))))
-    parts = scored(numbered.filter("_k = 0"))
-    for k in range(1, int(blocks * 2)):
-        parts = parts.unionByName(scored(numbered.filter(F.col("_k") == k)))
-    keys = [c for c in patches.columns if c not in ("feat",)]
-    return parts.groupBy(*keys).agg(F.first("feat").alias("feat"), F.min("distance").alias("distance")).select(
-        *patches.columns, "distance")
+        return scored(bank, patches)
+    split = bank.select("feat", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(blocks))).alias("_k"))
+    split, rows = cut_lineage(split, "bank"), cut_lineage(patches.withColumn("_row", F.monotonically_increasing_id()), "patches")
+    parts = [scored(split.filter(F.col("_k") == k), rows) for k in range(int(blocks))]
+    parts = functools.reduce(DataFrame.unionByName, [part.select("_row", "distance") for part in parts if part is not None])
+    return rows.join(parts.groupBy("_row").agg(F.min("distance").alias("distance")), "_row").select(*patches.columns, "distance")
 
 
 def image_anomaly(patch_dist: DataFrame, threshold: float = 3.0) -> DataFrame:
