@@ -71,6 +71,13 @@ def _src1(t):
     return readers.read_scan_events(t.spark, path).filter(days).select(_EVENT_COLS)
 
 
+@query("src1_read_scan_events_all", oracle=_decided(f"SELECT {', '.join(_EVENT_COLS)} FROM decided"))
+def _src1_all(t):
+    path = scratch_path(t.spark, "scan_events")
+    writers.append_scan_events(decided_events(t), path)
+    return readers.read_scan_events(t.spark, path).select(_EVENT_COLS)
+
+
 @query("snk1_append_scan_events", oracle=_decided(
     "SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS n_events, max(id) AS max_id, "
     "count(*) FILTER (admission = 0) AS approved FROM decided WHERE id % 13 <> 0 GROUP BY 1"))

@@ -18,12 +18,10 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.select(*cols, F.to_date("timestamp").alias("event_date"))
 
 
-def _write_days(df: DataFrame, path: str, mode: str, files_per_day: int) -> None:
-    """Day partitions, each split over ``files_per_day`` tasks by id so a busy day is no hot task."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
+def _write_days(df: DataFrame, path: str, mode: str) -> None:
+    """Day partitions; adaptive rebalancing gives a busy day as many tasks as its size asks for."""
     (
-        salted.repartition("event_date", "_salt")
-        .drop("_salt")
+        df.hint("rebalance", "event_date")
         .write.mode(mode)
         .partitionBy("event_date")
         .option("partitionOverwriteMode", "dynamic")
@@ -31,26 +29,38 @@ def _write_days(df: DataFrame, path: str, mode: str, files_per_day: int) -> None
     )
 
 
-def append_scan_events(events: DataFrame, path: str, files_per_day: int = 4) -> None:
+#: Folder of events without a timestamp.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _on_days(days: list):
+    known = F.col("event_date").isin([d for d in days if d is not None])
+    return known | F.col("event_date").isNull() if None in days else known
+
+
+def append_scan_events(events: DataFrame, path: str) -> None:
     """One row per completed pass; passes without a single frame are skipped when ``n_frames`` is known."""
     kept = events.filter("n_frames > 0") if "n_frames" in events.columns else events
-    _write_days(_stored(kept), path, "append", files_per_day)
+    _write_days(_stored(kept), path, "append")
 
 
 def append_batch_once(spark: SparkSession, path: str):
-    """``foreachBatch`` writer that stays idempotent under replay: rows are keyed by (lane, timestamp)
-    and only the day partitions the batch touches are read for the check."""
+    """``foreachBatch`` writer that stays idempotent under replay: rows are keyed by lane, timestamp
+    and id, nulls included, and only the day partitions the batch touches are read for the check."""
+
+    key = ["lane_name", "timestamp", "id"]
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        rows = _stored(batch).dropDuplicates(["lane_name", "timestamp"]).persist()
+        rows = _stored(batch).dropDuplicates(key).persist()
         try:
             days = [r[0] for r in rows.select("event_date").distinct().collect()]  # calendar days, not rows
             if not days:
                 return
             fresh = rows
             if path_kind(spark, path) != "absent":
-                seen = read_scan_events(spark, path).filter(F.col("event_date").isin(days))
-                fresh = rows.join(seen.select("lane_name", "timestamp"), ["lane_name", "timestamp"], "left_anti")
+                seen = read_scan_events(spark, path).filter(_on_days(days))
+                # A struct of nulls equals itself.
+                fresh = rows.withColumn("_key", F.struct(*key)).join(seen.select(F.struct(*key).alias("_key")), "_key", "left_anti")
             fresh.select(rows.columns).write.mode("append").partitionBy("event_date").parquet(path)
         finally:
             rows.unpersist()
@@ -63,7 +73,7 @@ def delete_events(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids.select("id").distinct(), "id", "left_anti").select(events.columns)
 
 
-def delete_scan_events(spark: SparkSession, path: str, ids: DataFrame, files_per_day: int = 4) -> None:
+def delete_scan_events(spark: SparkSession, path: str, ids: DataFrame) -> None:
     """Delete stored events by id, rewriting only the day partitions that hold one of them.
 
     A day emptied by the delete cannot be overwritten dynamically, so its folder is removed.
@@ -74,14 +84,14 @@ def delete_scan_events(spark: SparkSession, path: str, ids: DataFrame, files_per
     days = [r[0] for r in touched.collect()]  # calendar days, not rows
     if not days:
         return
-    scope = stored.filter(F.col("event_date").isin(days))
+    scope = stored.filter(_on_days(days))
     left = delete_events(scope, ids)
     kept_days = {r[0] for r in left.select("event_date").distinct().collect()}
-    _write_days(left, path, "overwrite", files_per_day)
+    _write_days(left, path, "overwrite")
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     for day in days:
         if day not in kept_days:
-            folder = hadoop_path(f"{path}/event_date={day}")
+            folder = hadoop_path(f"{path}/event_date={day or NO_DAY}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
