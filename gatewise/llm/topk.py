@@ -31,54 +31,77 @@ def quantized(vector: Column, scale: int = 64) -> Column:
 
 
 class Postings:
-    """One shard: for each dimension and sign the rows that have it, and what they have."""
+    """One shard: for each dimension and sign the rows that have it, and what they have.
+
+    A list that most rows are in is kept as a column over all rows, which adds up faster than row numbers."""
 
     def __init__(self, matrix: np.ndarray):
-        self.matrix = matrix
+        # Doubles add and multiply whole numbers exactly as long as no sum can reach 2**53.
+        largest = int(np.abs(matrix).max(initial=0))
+        self.kind = np.float64 if largest * largest * max(1, matrix.shape[1]) < 1 << 53 else np.int64
+        self.matrix, self.largest = matrix.astype(self.kind), largest
         self.lists, self.most = {}, {}
         for d in range(matrix.shape[1]):
             for sign in (1, -1):
-                part = sign * matrix[:, d]
-                rows = np.flatnonzero(part > 0)
-                self.lists[d, sign] = rows, part[rows]
+                part = np.maximum(sign * matrix[:, d], 0)
+                rows = np.flatnonzero(part)
+                dense = 8 * len(rows) > len(part)
+                self.lists[d, sign] = (None, part.astype(self.kind)) if dense else (rows, part[rows].astype(self.kind))
                 self.most[d, sign] = int(part.max(initial=0))
 
+    def _add(self, partial: np.ndarray, term: tuple) -> None:
+        _, d, sign, weight = term
+        rows, values = self.lists[d, sign]
+        if rows is None:
+            partial += weight * values
+        else:
+            partial[rows] += weight * values
+
     def search(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best by score, then smaller id; ``own`` marks rows that take no part."""
-        terms = [(abs(int(q)) * self.most[d, 1 if q > 0 else -1], d, 1 if q > 0 else -1, abs(int(q))) for d, q in enumerate(query) if q]
+        """(rows, scores) of the k best by score, then smaller id; ``own`` are rows that take no part."""
+        terms = [(abs(q) * self.most[d, 1 if q > 0 else -1], d, 1 if q > 0 else -1, abs(q)) for d, q in enumerate(query.tolist()) if q]
         terms = sorted((t for t in terms if t[0]), reverse=True)
-        bounds = np.array([t[0] for t in terms] + [0], np.int64)
-        below = np.cumsum(bounds[::-1])[::-1]  # the most that this list and all weaker ones can add
-        partial, floor, done = np.zeros(len(ids), np.int64), None, 0
-        best = np.zeros(0, np.int64)
+        below = [0]  # the most that a list and all weaker ones can add
+        for t in reversed(terms):
+            below.append(below[-1] + t[0])
+        below.reverse()
+        query = query.astype(self.kind)
+        partial, floor, done = np.zeros(len(ids), self.kind), None, 0
+        looks = {len(terms) // 4, len(terms) // 2, 3 * len(terms) // 4, len(terms)}
         while done < len(terms) and (floor is None or below[done] >= floor):
-            _, d, sign, weight = terms[done]
-            rows, values = self.lists[d, sign]
-            partial[rows] += weight * values
+            self._add(partial, terms[done])
             done += 1
-            if done in (4, 8, 16, 32) or done == len(terms):  # what the best so far have in full
-                best = np.union1d(best, self._top(partial, ~own, k))
-                exact = self.matrix[best] @ query
-                exact = exact[~own[best]]
-                if len(exact) >= k:
-                    floor = int(np.partition(exact, len(exact) - k)[len(exact) - k])
+            if done in looks:  # what the best so far have in full
+                partial[own] = -1
+                best = np.argpartition(partial, max(0, len(ids) - k - len(own)))[max(0, len(ids) - k - len(own)):]
+                best = best[partial[best] >= 0]
+                if len(best) >= k:
+                    floor = max(int(np.partition(self.matrix[best] @ query, len(best) - k)[len(best) - k]), floor or 0)
+        partial[own] = -1
         if floor is None or floor <= 0:  # a document that no list raises may still be among the best
-            rows = np.flatnonzero(~own)
+            rows = np.flatnonzero(partial >= 0)
         else:
-            rows = np.flatnonzero((partial > 0) & ~own & (partial + below[done] >= floor))
+            rows = np.flatnonzero((partial > 0) & (partial + below[done] >= floor))
             for i in range(done, len(terms)):  # probe the non-essential lists while a document is competitive
-                _, d, sign, weight = terms[i]
-                partial[rows] += weight * np.maximum(sign * self.matrix[rows, d], 0)
-                rows = rows[partial[rows] + below[i + 1] >= floor]
-        scores = self.matrix[rows] @ query
+                many = 8 * len(rows) > len(ids)
+                if many:  # looking up almost every row costs more than adding the list
+                    self._add(partial, terms[i])
+                else:
+                    _, d, sign, weight = terms[i]
+                    listed, values = self.lists[d, sign]
+                    if listed is None:
+                        partial[rows] += weight * values[rows]
+                    else:
+                        partial[rows] += weight * np.maximum(sign * self.matrix[rows, d], 0)
+                if not many or (i - done) % 4 == 3 or i == len(terms) - 1:
+                    rows = rows[partial[rows] + below[i + 1] >= floor]
+        scores = (self.matrix[rows] @ query).astype(np.int64)
+        if len(rows) > 4 * k:
+            few = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            rows, scores = rows[few], scores[few]
         order = np.lexsort((ids[rows], -scores))[:k]
         return rows[order], scores[order]
 
-    @staticmethod
-    def _top(partial: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-        ranked = np.where(allowed, partial, -1)
-        return np.argpartition(ranked, max(0, len(ranked) - k))[max(0, len(ranked) - k):]
-
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(column), dims), np.int64)
@@ -113,9 +136,12 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
         if len(mine) and len(theirs):
             dims = max(mine["v"].map(len).max(), theirs["v"].map(len).max())
             ids, shard = mine["id"].to_numpy(np.int64), Postings(_matrix(mine["v"], dims))
+            order = np.argsort(ids)
             for qid, q in zip(theirs["id"].to_numpy(np.int64), _matrix(theirs["v"], dims)):
-                rows, scores = shard.search(q, ids == qid, ids, k)
-                out.append(pd.DataFrame({"query_id": qid, "id": ids[rows], "score": scores}))
+                own = order[np.searchsorted(ids, qid, "left", order) : np.searchsorted(ids, qid, "right", order)]
+                rows, scores = shard.search(q, own, ids, k)
+                out.append((np.full(len(rows), qid), ids[rows], scores))
+            out = [pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*out)))))]
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
 
     found = docs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, id long, score long")
