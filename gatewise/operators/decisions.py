@@ -76,8 +76,11 @@ COMPLETED, NEVER_ENGAGED, NEVER_CLEARED, FRAME_CAP = (
 
 def classify_fault(passes: DataFrame, fold_frame_cap: bool = False) -> DataFrame:
     """Outcome of each pass. A pass cut short by the frame cap is its own class unless
-    ``fold_frame_cap`` reports it with the time-limit classes by number of loop times."""
+    ``fold_frame_cap`` reports it with the time-limit classes by number of loop times, which are
+    ``n_loop_times`` where the passes have them."""
     loops = F.when(F.col("exit_engage_ts").isNotNull(), 2).otherwise(1)
+    if "n_loop_times" in passes.columns:
+        loops = F.coalesce("n_loop_times", loops)
     timed_out = F.when(loops > 1, F.lit(NEVER_CLEARED)).otherwise(F.lit(NEVER_ENGAGED))
     capped = F.coalesce(F.col("frame_cap_hit"), F.lit(False))
     if fold_frame_cap:

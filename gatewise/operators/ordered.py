@@ -119,14 +119,15 @@ def islands(df: DataFrame, keys: list[str], chunk: Column, order: list[str], bre
 Step = Callable[[dict | None, list, dict], tuple[list, dict]]
 
 
-def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, step: Step, config: dict,
-                output: T.ArrayType, rest: dict) -> DataFrame:
+def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, step: Step, settings: DataFrame | None,
+                default: dict, output: T.ArrayType, rest: Callable[[dict], dict]) -> DataFrame:
     """Exact ordered fold of every key, run chunk by chunk in parallel.
 
     ``step(state, rows, config) -> (outputs, state)`` folds one chunk's ordered rows. All chunks run at
-    once from the machine's ``rest`` state and their outputs are stored; only a chunk whose predecessor
-    ended in another state than it started from is folded again. Machines that return to rest between
-    chunks run once. Returns keys, ``_chunk`` and the exploded outputs.
+    once from the machine's ``rest(config)`` state and their outputs are stored; only a chunk whose
+    predecessor ended in another state than it started from is folded again. Machines that return to
+    rest between chunks run once. ``settings`` (keys and any of the configuration's fields) overrides
+    ``default`` key by key. Returns keys, ``_chunk`` and the exploded outputs.
     """
     chunks = (
         df.withColumn("_chunk", chunk)
@@ -135,25 +136,35 @@ def fold_chunks(df: DataFrame, keys: list[str], chunk: Column, item: Column, ste
     )
     group = [*keys, "_chunk"]
     out_schema = T.StructType([
-        *(df.schema[k] for k in keys), T.StructField("_chunk", T.LongType()), T.StructField("start", T.StringType()),
-        T.StructField("out", output), T.StructField("end", T.StringType())])
+        *(df.schema[k] for k in keys), T.StructField("_chunk", T.LongType()), T.StructField("own", T.StringType()),
+        T.StructField("start", T.StringType()), T.StructField("out", output), T.StructField("end", T.StringType())])
+    own = F.lit(None).cast("string")
+    if settings is not None:
+        fields = [c for c in settings.columns if c not in keys]
+        own = F.to_json(F.struct(*fields))
+        named = settings.select(F.struct(*keys).alias("_k"), own.alias("own"))
+        chunks = chunks.withColumn("_k", F.struct(*keys)).join(named, "_k", "left").drop("_k")
+    else:
+        chunks = chunks.withColumn("own", own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             outs, ends = [], []
-            for start, rows in zip(pdf["start"], pdf["rows"]):
-                found, state = step(json.loads(start), rows, config)
+            for own, start, rows in zip(pdf["own"], pdf["start"], pdf["rows"]):
+                config = default | (json.loads(own) if own else {})
+                found, state = step(json.loads(start) if start else rest(config), rows, config)
                 outs.append(found)
-                ends.append(json.dumps(state, sort_keys=True))
-            yield pdf[[*group, "start"]].assign(out=outs, end=ends)
+                idle = state == rest(config)  # told as null, the same for every configuration
+                ends.append(None if idle else json.dumps(state, sort_keys=True))
+            yield pdf[[*group, "own", "start"]].assign(out=outs, end=ends)
 
-    idle = F.lit(json.dumps(rest, sort_keys=True))
+    nothing = F.lit(None).cast("string")
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     chunks = cut_lineage(chunks, "chunks")
-    known = cut_lineage(chunks.withColumn("start", idle).mapInPandas(run, out_schema), "folds")
+    known = cut_lineage(chunks.withColumn("start", nothing).mapInPandas(run, out_schema), "folds")
     while True:
-        wanted = known.select(*group, "start", F.coalesce(F.lag("end").over(by_chunk), idle).alias("want"))
-        stale = cut_lineage(wanted.filter("want <> start").select(F.struct(*group).alias("_g"), F.col("want").alias("start")), "stale")
+        wanted = known.select(*group, "start", F.lag("end").over(by_chunk).alias("want"))
+        stale = cut_lineage(wanted.filter("NOT want <=> start").select(F.struct(*group).alias("_g"), F.col("want").alias("start")), "stale")
         if stale.isEmpty():
             return known.select(*group, F.explode("out").alias("o")).select(*group, "o.*")
         keyed = chunks.withColumn("_g", F.struct(*group))

@@ -89,7 +89,7 @@ def pass_columns(folded: DataFrame) -> DataFrame:
     """Named timestamps and the outcome of folded passes."""
     outcome = (
         F.when(F.col("clear").isNotNull(), F.lit(COMPLETED)).when(F.col("frame_cap_hit"), F.lit(FRAME_CAP))
-        .when(F.col("engage").isNotNull(), F.lit(NEVER_CLEARED)).otherwise(F.lit(NEVER_ENGAGED))
+        .when(F.col("n_loop_times") > 1, F.lit(NEVER_CLEARED)).otherwise(F.lit(NEVER_ENGAGED))
     )
     return folded.select(
         "lane", from_micros(F.col("entry")).alias("entry_ts"), from_micros(F.col("engage")).alias("exit_engage_ts"),
@@ -101,13 +101,27 @@ def machine_config(n_loops: int = 2, debounce_s: float = 0.05, max_s: float = 30
     return {"n_loops": n_loops, "debounce_us": round(debounce_s * 1e6), "max_us": round(max_s * 1e6), "max_frames": max_frames}
 
 
+def lane_settings(lanes: DataFrame) -> DataFrame:
+    """The machine's settings of each lane from any of n_loops, debounce_s, max_s and max_frames; null
+    leaves the default."""
+    have = set(lanes.columns)
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    made = {"n_loops": F.col, "max_frames": F.col, "debounce_us": lambda _: micro("debounce_s"), "max_us": lambda _: micro("max_s")}
+    source = {"debounce_us": "debounce_s", "max_us": "max_s"}
+    return lanes.select("lane", *(f(c).alias(c) for c, f in made.items() if source.get(c, c) in have))
+
+
 def detect_passes(states: DataFrame, frames: DataFrame | None = None, debounce_s: float = 0.05, max_s: float = 30.0,
-                  max_frames: int = 2000, n_loops: int = 2, chunk_s: float = DAY) -> DataFrame:
-    """Passes of every lane, completed or faulted. A pass open at the end of the data is not reported."""
+                  max_frames: int = 2000, n_loops: int = 2, chunk_s: float = DAY, lanes: DataFrame | None = None) -> DataFrame:
+    """Passes of every lane, completed or faulted. A pass open at the end of the data is not reported.
+
+    ``lanes`` (lane, and any of n_loops, debounce_s, max_s, max_frames) gives lanes settings of their own.
+    """
     events = lane_events(states, frames).withColumn("us", micros(F.col("ts")))
     item = F.struct(F.col("us").alias("ts"), "seq", "kind", "loops")
     folded = fold_chunks(events, ["lane"], time_chunk(F.col("ts"), chunk_s), item, M.advance_lane,
-                         machine_config(n_loops, debounce_s, max_s, max_frames), _PASS, M.lane_start(n_loops))
+                         None if lanes is None else lane_settings(lanes), machine_config(n_loops, debounce_s, max_s, max_frames),
+                         _PASS, lambda config: M.lane_start(config["n_loops"]))
     return pass_columns(folded)
 
 

@@ -53,7 +53,8 @@ def _detected(t) -> DataFrame:
 
 
 def _pass_id(lane, entry):
-    return F.unix_micros(entry.cast("timestamp")) * 10 + F.substring(lane, -1, 1).cast("long")
+    """Lane and entry time name a pass; nothing of either is cut."""
+    return F.concat(lane, F.lit("@"), F.unix_micros(entry.cast("timestamp")).cast("string"))
 
 
 def _timed_reads(t):
@@ -62,7 +63,7 @@ def _timed_reads(t):
 
 
 _PASS_READS = """
-px AS (SELECT *, epoch_us(entry_ts) * 10 + CAST(right(lane, 1) AS BIGINT) AS pass_id FROM passes),
+px AS (SELECT *, lane || '@' || CAST(epoch_us(entry_ts) AS VARCHAR) AS pass_id FROM passes),
 pass_reads AS (SELECT px.pass_id, r.* EXCLUDE (pass_id) FROM px JOIN (SELECT r.*, f.lane, f.ts FROM v_plate_reads r JOIN v_frames f ON f.frame_id = r.seq) r
   ON r.lane = px.lane AND r.ts >= px.entry_ts AND r.ts <= coalesce(px.exit_clear_ts, px.entry_ts + INTERVAL 1 HOUR)),
 """
@@ -89,7 +90,7 @@ reg AS (SELECT * FROM (SELECT upper(regexp_replace(license_plate, '[^\p{L}\p{Nd}
   row_number() OVER (PARTITION BY upper(regexp_replace(license_plate, '[^\p{L}\p{Nd}]', '', 'g')) ORDER BY id) AS rn FROM v_registry) z WHERE rn = 1)
 SELECT px.pass_id AS id, px.lane AS lane_name, px.exit_clear_ts AS timestamp, coalesce(p.plate_text, '') AS plate_text, coalesce(p.ok, false) AS plate_text_valid,
   CASE WHEN px.exit_engage_ts > px.entry_ts THEN (pos.q[-1] - pos.q[1]) / ((epoch_us(px.exit_engage_ts) - epoch_us(px.entry_ts)) / 1e6) ELSE 0E0 END AS speed_mps,
-  CAST(CASE WHEN px.pass_id % 6 = 0 THEN 2 WHEN r.classification = 2 THEN 2 WHEN r.classification = 1 THEN 0 ELSE 1 END AS INTEGER) AS admission
+  CAST(CASE WHEN epoch_us(px.entry_ts) % 6 = 0 THEN 2 WHEN r.classification = 2 THEN 2 WHEN r.classification = 1 THEN 0 ELSE 1 END AS INTEGER) AS admission
 FROM px JOIN pos ON pos.lane_id = px.lane LEFT JOIN plates p ON p.pass_id = px.pass_id
 LEFT JOIN reg r ON trim(coalesce(p.plate_text, '')) <> '' AND r.k = upper(regexp_replace(p.plate_text, '[^\p{L}\p{Nd}]', '', 'g'))
 WHERE px.exit_clear_ts IS NOT NULL"""))
@@ -97,7 +98,7 @@ def _e1(t):
     from gatewise.operators import lanes
 
     passes = _detected(t)
-    flags = passes.select("pass_id", (F.col("pass_id") % 6 == 0).alias("foreign_object_detected"))
+    flags = passes.select("pass_id", (F.unix_micros(F.col("entry_ts").cast("timestamp")) % 6 == 0).alias("foreign_object_detected"))
     plates = plates_of_passes(passes, _timed_reads(t), sensing.MAX_PASS_S)
     events = events_of_passes(passes, plates, flags, t.view("registry"), lanes.lane_positions(t.view("controllers")))
     return events.select("id", "lane_name", "timestamp", "plate_text", "plate_text_valid", "speed_mps", "admission")

@@ -13,13 +13,21 @@ from gatewise.streaming.processors import OrderedFold
 
 
 def detect_passes_stream(states: DataFrame, debounce_s: float = 0.05, max_s: float = 30.0, max_frames: int = 2000,
-                         n_loops: int = 2, delay: str = "10 seconds") -> DataFrame:
-    """Passes as they end. ``states``: lane, ts, seq, kind, loops; reordering within ``delay`` is undone."""
+                         n_loops: int = 2, delay: str = "10 seconds", frames: DataFrame | None = None,
+                         lanes: DataFrame | None = None) -> DataFrame:
+    """Passes as they end. ``states``: lane, ts, seq, kind, loops; reordering within ``delay`` is undone.
+
+    ``frames`` (lane, ts, frame_id) count towards the frame cap; ``lanes`` as in the batch form, a row for
+    each controller.
+    """
     config = sensors.machine_config(n_loops, debounce_s, max_s, max_frames)
-    events = sensors.lane_events(states).withColumn("us", micros(F.col("ts"))).withColumn(
+    own = {}
+    if lanes is not None:
+        own = {r["lane"]: {k: v for k, v in r.asDict().items() if k != "lane" and v is not None} for r in sensors.lane_settings(lanes).collect()}
+    events = sensors.lane_events(states, frames).withColumn("us", micros(F.col("ts"))).withColumn(
         "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     schema = T.StructType([states.schema["lane"], *sensors._PASS.elementType.fields])
-    fold = OrderedFold("lane", M.advance_lane, config, ("kind", "loops"), schema.names, clock=True)
+    fold = OrderedFold("lane", M.advance_lane, config, ("kind", "loops"), schema.names, clock=True, own=own)
     folded = events.groupBy("lane").transformWithStateInPandas(fold, schema, "Append", "EventTime")
     return sensors.pass_columns(folded)
 

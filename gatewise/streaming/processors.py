@@ -20,9 +20,11 @@ class OrderedFold(StatefulProcessor):
     watermark is that far past the key's last row.
     """
 
-    def __init__(self, key: str, step, config: dict, fields: tuple[str, ...], columns: list[str], clock: bool, idle_s: float | None = None):
+    def __init__(self, key: str, step, config: dict, fields: tuple[str, ...], columns: list[str], clock: bool, idle_s: float | None = None,
+                 own: dict[str, dict] | None = None):
         self.key, self.step, self.config = key, step, config
         self.fields, self.columns, self.clock = fields, columns, clock
+        self.own = own or {}  # settings of single keys
         self.idle_us = None if idle_s is None else round(idle_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -50,6 +52,7 @@ class OrderedFold(StatefulProcessor):
         yield from self._drain(key, timerValues)
 
     def _drain(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        config = self.config | self.own.get(key[0], {})
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(self.held.get())
         due = [r for r in waiting if r[0] <= passed]
@@ -62,7 +65,7 @@ class OrderedFold(StatefulProcessor):
             rows.append({"ts": passed, "kind": M.CLOCK, "loops": None})
         out: list = []
         if rows:
-            out, state = self.step(state, rows, self.config)
+            out, state = self.step(state, rows, config)
             self.machine.update((json.dumps([state, last]),))
         if due:
             if left:
@@ -72,9 +75,9 @@ class OrderedFold(StatefulProcessor):
         wake = [left[0][0]] if left else []
         if self.clock and state:
             if state["times"]:
-                wake.append(state["times"][0] + self.config["max_us"])
+                wake.append(state["times"][0] + config["max_us"])
             elif state["anchor"] is not None:
-                wake.append(state["anchor"] + self.config["debounce_us"])
+                wake.append(state["anchor"] + config["debounce_us"])
         if self.idle_us is not None and not left and self.machine.exists():
             if passed >= last + self.idle_us:
                 self.machine.clear()

@@ -141,3 +141,46 @@ def test_submitted_settings_stay_in_force(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYSPARK_SUBMIT_ARGS": args, "PYTHONPATH": home}, capture_output=True, text=True, timeout=120)
     assert f"GOT {tmp_path}/shared 999 700m local[1]" in out.stdout, out.stderr[-1500:]
     assert not (tmp_path / "shared/gatewise").exists()
+
+
+@pytest.fixture(scope="module")
+def loops(spark):
+    """Lanes of two and of three loops."""
+    import random
+
+    draw, at, data = random.Random(2), 0.0, []
+    for i in range(900):
+        at += draw.choice([0.02, 0.1, 0.5, 2.0, 9.0])
+        kind = draw.choice(["state"] * 8 + ["heartbeat", "disconnect"])
+        levels = [draw.random() < p for p in (0.6, 0.6, 0.5)] if kind == "state" else None
+        data.append((draw.choice(["two", "three"]), at, i, kind, levels))
+    df = spark.createDataFrame(data, "lane string, at double, seq long, kind string, loops array<boolean>")
+    return df.select("lane", F.timestamp_micros((F.col("at") * 1e6).cast("long")).cast("timestamp_ntz").alias("ts"), "seq", "kind", "loops")
+
+
+def test_lanes_have_their_own_settings(spark, loops):
+    lanes = spark.createDataFrame([("two", 2, 0.05, None), ("three", 3, 0.3, 12.0), ("idle", 2, 9.0, None)], "lane string, n_loops int, debounce_s double, max_s double")
+    got = sensors.detect_passes(loops, lanes=lanes, chunk_s=100.0)
+    two = sensors.detect_passes(loops.filter("lane = 'two'"), n_loops=2, debounce_s=0.05)
+    three = sensors.detect_passes(loops.filter("lane = 'three'"), n_loops=3, debounce_s=0.3, max_s=12.0)
+    assert rows(got) == rows(two.unionByName(three)) and two.count() and three.count()
+    # Two of three loops reached: the outcome goes by the loop times.
+    part = [r for r in three.collect() if r.n_loop_times == 2 and not r.frame_cap_hit]
+    assert part and all(r.outcome == "exit_never_cleared" and r.exit_engage_ts is None for r in part)
+
+
+def test_the_frame_cap_ends_a_pass_in_both_forms(spark, loops, tmp_path):
+    frames = loops.select("lane", (F.col("ts") + F.expr("INTERVAL 0.01 SECOND")).alias("ts"), F.col("seq").alias("frame_id"))
+    lanes = spark.createDataFrame([("two", 2, 3), ("three", 3, None)], "lane string, n_loops int, max_frames int")
+    batch = sensors.detect_passes(loops, frames, lanes=lanes)
+    assert batch.filter("frame_cap_hit AND lane = 'two'").count() > 5
+    end = loops.agg(F.max("ts").alias("ts")).select(F.explode(F.array(F.lit("two"), F.lit("three"))).alias("lane"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"),
+                                                   F.lit(10_000).cast("long").alias("seq"), F.lit("heartbeat").alias("kind"), F.lit(None).cast("array<boolean>").alias("loops"))
+    closed = loops.unionByName(end)
+    for name, df in (("s", closed), ("f", frames.unionByName(end.select("lane", "ts", F.col("seq").alias("frame_id"))))):
+        df.repartition(2).write.parquet(str(tmp_path / name))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    stream = jobs.detect_passes_stream(read("s", closed), delay="10 seconds", frames=read("f", frames), lanes=lanes)
+    want = sensors.detect_passes(closed, frames, lanes=lanes)
+    got = runtime.run_available(stream, "caps")
+    assert rows(got.select(want.columns)) == rows(want)
