@@ -63,7 +63,7 @@ def _timed_reads(t):
 
 
 _PASS_READS = """
-px AS (SELECT *, lane || '@' || CAST(epoch_us(entry_ts) AS VARCHAR) AS pass_id FROM passes),
+px AS (SELECT *, lane || '@' || CAST(epoch_us(entry_ts) AS VARCHAR) AS name, row_number() OVER (ORDER BY lane, entry_ts) AS pass_id FROM passes),
 pass_reads AS (SELECT px.pass_id, r.* EXCLUDE (pass_id) FROM px JOIN (SELECT r.*, f.lane, f.ts FROM v_plate_reads r JOIN v_frames f ON f.frame_id = r.seq) r
   ON r.lane = px.lane AND r.ts >= px.entry_ts AND r.ts <= coalesce(px.exit_clear_ts, px.entry_ts + INTERVAL 1 HOUR)),
 """
@@ -72,8 +72,8 @@ _VIEWS = ("loop_states", "frames", "plate_reads", "registry", "controllers")
 
 
 @query("e2_reads_to_plate", oracle=with_views(*_VIEWS[:3], recursive=True, body=_VOTED_PASSES + """
-SELECT f.pass_id, coalesce(w.consensus, f.plate_text) AS plate_text, CAST(coalesce(w.votes, 0) AS INTEGER) AS votes, round(coalesce(w.score, 0E0), 9) AS score,
-  coalesce((SELECT name FROM codes WHERE code = substr(w.consensus, 1, 2)), '') AS plate_state_name FROM fb f LEFT JOIN win w ON w.pass_id = f.pass_id"""))
+SELECT px.name AS pass_id, coalesce(w.consensus, f.plate_text) AS plate_text, CAST(coalesce(w.votes, 0) AS INTEGER) AS votes, round(coalesce(w.score, 0E0), 9) AS score,
+  coalesce((SELECT name FROM codes WHERE code = substr(w.consensus, 1, 2)), '') AS plate_state_name FROM fb f JOIN px ON px.pass_id = f.pass_id LEFT JOIN win w ON w.pass_id = f.pass_id"""))
 def _e2(t):
     passes = _detected(t)
     plates = plates_of_passes(passes, _timed_reads(t), sensing.MAX_PASS_S)
@@ -88,7 +88,7 @@ plates AS (SELECT f.pass_id, coalesce(w.consensus, f.plate_text) AS plate_text,
 """ + r"""
 reg AS (SELECT * FROM (SELECT upper(regexp_replace(license_plate, '[^\p{L}\p{Nd}]', '', 'g')) AS k, id, classification, notes,
   row_number() OVER (PARTITION BY upper(regexp_replace(license_plate, '[^\p{L}\p{Nd}]', '', 'g')) ORDER BY id) AS rn FROM v_registry) z WHERE rn = 1)
-SELECT px.pass_id AS id, px.lane AS lane_name, px.exit_clear_ts AS timestamp, coalesce(p.plate_text, '') AS plate_text, coalesce(p.ok, false) AS plate_text_valid,
+SELECT px.name AS id, px.lane AS lane_name, px.exit_clear_ts AS timestamp, coalesce(p.plate_text, '') AS plate_text, coalesce(p.ok, false) AS plate_text_valid,
   CASE WHEN px.exit_engage_ts > px.entry_ts THEN (pos.q[-1] - pos.q[1]) / ((epoch_us(px.exit_engage_ts) - epoch_us(px.entry_ts)) / 1e6) ELSE 0E0 END AS speed_mps,
   CAST(CASE WHEN epoch_us(px.entry_ts) % 6 = 0 THEN 2 WHEN r.classification = 2 THEN 2 WHEN r.classification = 1 THEN 0 ELSE 1 END AS INTEGER) AS admission
 FROM px JOIN pos ON pos.lane_id = px.lane LEFT JOIN plates p ON p.pass_id = px.pass_id
