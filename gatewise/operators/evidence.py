@@ -310,10 +310,12 @@ def anomaly_regions(patch_dist: DataFrame, threshold: float, grid_w: int, grid_h
     """Regions of connected flagged cells in image pixels with their largest distance.
 
     Only flagged cells travel, one row per cell after a combining aggregate, so an image sends at
-    most its grid (``grid_w`` x ``grid_h``) to the region step.
+    most its grid (``grid_w`` x ``grid_h``) to the region step. A flagged cell outside the grid is an error.
     """
+    inside = F.col("gx").between(0, grid_w - 1) & F.col("gy").between(0, grid_h - 1)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("cell outside the grid:"), "image_id", "gy", "gx"))
     cells = (
-        patch_dist.filter((F.col("distance") > threshold) & F.col("gx").between(0, grid_w - 1) & F.col("gy").between(0, grid_h - 1))
+        patch_dist.filter(F.when(F.col("distance") > threshold, F.when(inside, True).otherwise(lost.cast("boolean"))))
         .groupBy("image_id", "gy", "gx").agg(F.max("distance").alias("distance"))
         .groupBy("image_id").agg(F.collect_list(F.struct("gy", "gx", "distance")).alias("cells"))
     )

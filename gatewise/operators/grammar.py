@@ -23,29 +23,32 @@ _TO_DIGIT = ("".join(P.DIGIT_SLOT_FIXES), "".join(P.DIGIT_SLOT_FIXES.values()))
 SLOT_GEN, TRIM_GEN, REPAIR_GEN = 100, 10_000, 1_000_000
 
 
-def _recipes_sql(n: str, open_only: bool) -> str:
+def _recipes_sql(n: str, open_only: bool, kinds: tuple[str, ...] = ("raw", "slot", "trim")) -> str:
     """Constant array of recipes for a text of length ``n``: a layout and the position dropped (-1 none).
 
-    ``open_only`` leaves blank and settled texts with the raw recipe alone.
+    ``open_only`` leaves blank and settled texts with the raw recipe alone; other ``kinds`` are left out.
     """
 
     def row(gen, kind, d, l, pos, tag):
         return f"named_struct('gen', {gen}, 'kind', '{kind}', 'd', {d}, 'l', {l}, 'pos', {pos}, 'tag', '{tag}')"
 
     raw = row(0, "raw", 0, 0, -1, "raw")
+    first = [raw] if "raw" in kinds else []
+    none = f"filter(array({raw}), x -> false)"
+    listed = lambda rows: f"array({', '.join(rows)})" if rows else none
     whens = []
     for size in range(8, 13):
-        rows = [raw]
+        rows = list(first)
         for k, (tag, d, l) in enumerate(P.SLOT_LAYOUTS):
-            if 6 + d + l == size:
+            if "slot" in kinds and 6 + d + l == size:
                 rows.append(row(SLOT_GEN * (1 + k), "slot", d, l, -1, tag))
         for k, (tag, d, l) in enumerate(P.SLOT_LAYOUTS):
-            if 7 + d + l == size:
+            if "trim" in kinds and 7 + d + l == size:
                 rows += [row(TRIM_GEN + 100 * (20 * k + i), "trim", d, l, i, f"{tag}_trim{i}") for i in range(size)]
-        whens.append(f"WHEN {size} THEN array({', '.join(rows)})")
-    by_length = f"CASE length({n}) {' '.join(whens)} ELSE array({raw}) END"
+        whens.append(f"WHEN {size} THEN {listed(rows)}")
+    by_length = f"CASE length({n}) {' '.join(whens)} ELSE {listed(first)} END"
     if open_only:
-        return f"CASE WHEN {n} RLIKE '{P.KNOWN_FORMAT}' THEN array({raw}) ELSE {by_length} END"
+        return f"CASE WHEN {n} RLIKE '{P.KNOWN_FORMAT}' THEN {listed(first)} ELSE {by_length} END"
     return f"CASE WHEN {n} <> '' THEN {by_length} END"
 
 
@@ -109,7 +112,8 @@ def state_prefix_fixes(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     )
 
 
-def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: bool = False) -> DataFrame:
+def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: bool = False,
+                      kinds: tuple[str, ...] = ("raw", "slot", "trim")) -> DataFrame:
     """One read to many candidates (gen, cand_text, cand_score, cand_tag), repeats included.
 
     Blank texts have no candidates. A text fitted to a layout matches the standard format and every
@@ -119,7 +123,7 @@ def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: boo
     kind = F.col("_r.kind")
     recipes = (
         reads.withColumn("_n", P.normalize_plate(F.col(text)))
-        .select(*keep, "_n", F.explode(F.expr(_recipes_sql("_n", open_only))).alias("_r"))
+        .select(*keep, "_n", F.explode(F.expr(_recipes_sql("_n", open_only, kinds))).alias("_r"))
         .withColumn("_b", F.expr(
             "if(_r.pos < 0, _n, concat(substring(_n, 1, _r.pos), substring(_n, _r.pos + 2)))"))
         .withColumns({
@@ -188,19 +192,29 @@ def expand_candidates(reads: DataFrame, text: str = "plate_text", open_only: boo
     )
 
 
+def expand_distinct(reads: DataFrame, text: str = "plate_text") -> DataFrame:
+    """``expand_candidates`` computed once for each distinct text and joined back as one row."""
+    norm = P.normalize_plate(F.col(text))
+    made = ["gen", "cand_text", "cand_score", "cand_tag"]
+    lists = expand_candidates(reads.select(norm.alias("_t")).filter("_t <> ''").distinct(), "_t").groupBy("_t").agg(
+        F.collect_list(F.struct(*made)).alias("_l"))  # bounded by the recipes
+    rows = _text_key(reads, norm, norm == "").join(lists, "_t").select(*reads.columns, F.explode("_l").alias("_e"))
+    return rows.select(*reads.columns, *(F.col(f"_e.{c}").alias(c) for c in made))
+
+
 def slot_fix_candidates(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     """Corrections that only swap look-alike characters to fit a layout."""
-    return expand_candidates(reads, text).filter((F.col("gen") >= SLOT_GEN) & (F.col("gen") < TRIM_GEN))
+    return expand_candidates(reads, text, kinds=("slot",)).filter((F.col("gen") >= SLOT_GEN) & (F.col("gen") < TRIM_GEN))
 
 
 def trim_candidates(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     """Corrections that drop one character to fit a layout."""
-    return expand_candidates(reads, text).filter((F.col("gen") >= TRIM_GEN) & (F.col("gen") < REPAIR_GEN))
+    return expand_candidates(reads, text, kinds=("trim",)).filter((F.col("gen") >= TRIM_GEN) & (F.col("gen") < REPAIR_GEN))
 
 
 def state_fix_candidates(reads: DataFrame, text: str = "plate_text") -> DataFrame:
     """State repairs of the raw and slot-fixed texts."""
-    return expand_candidates(reads, text).filter(F.col("gen") >= REPAIR_GEN)
+    return expand_candidates(reads, text, kinds=("raw", "slot")).filter(F.col("gen") >= REPAIR_GEN)
 
 
 def _merged_by_text(texts: DataFrame) -> DataFrame:

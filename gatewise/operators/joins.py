@@ -19,16 +19,42 @@ def _deletions(n: str) -> str:
     return f"array_distinct(concat(array({n}), {once}, {twice}))"
 
 
+#: Texts up to this length meet on deletions, which grow with the square of the length; longer ones on segments.
+LONG = 32
+
+
+def _segments(n: str) -> str:
+    """SQL for the three segments of ``n``, tagged with its length and their place. Of three segments two
+    edits leave one as it is."""
+    return (f"transform(sequence(0, 2), i -> concat_ws('|', length({n}), i, substring({n}, 1 + i * (length({n}) div 3), "
+            f"if(i < 2, length({n}) div 3, length({n})))))")
+
+
+def _segment_places(n: str) -> str:
+    """SQL for what the segments of a text within two edits of ``n`` may be: every length near that of
+    ``n``, and every shift of the segment by up to two characters."""
+    size = "if(i < 2, m div 3, m - 2 * (m div 3))"
+    cut = f"concat_ws('|', m, i, substring({n}, 1 + i * (m div 3) + s, {size}))"
+    fits = f"1 + i * (m div 3) + s >= 1 AND i * (m div 3) + s + {size} <= length({n})"
+    return (f"array_distinct(flatten(flatten(transform(sequence(length({n}) - 2, length({n}) + 2), m -> transform(sequence(0, 2), i -> "
+            f"transform(filter(sequence(-2, 2), s -> {fits}), s -> {cut}))))))")
+
+
 def similar_plates(left: DataFrame, right: DataFrame, text: str = "plate_text") -> DataFrame:
     """Pairs of distinct similar texts with the number of rows behind each side.
 
     Both sides shrink to distinct texts first, so repeated plates cost one row. Candidates meet on a
-    shared deletion of at most two characters rather than on length, which keeps the groups small;
-    the edit distance then decides, and a pair found through several deletions is kept once.
+    shared deletion of at most two characters rather than on length, which keeps the groups small, long
+    texts on a segment; the edit distance then decides, and a pair found more than once is kept once.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
+        n, long = f"{name}_text", _segments if name == "left" else _segment_places
+        # Lengths differ by two at most, so around the limit texts have both kinds of keys.
+        none = "cast(array() as array<string>)"
+        keys = (f"concat(if(length({n}) <= {LONG + 2}, {_deletions(n)}, {none}), "
+                f"if(length({n}) > {LONG - 2}, {long(n)}, {none}))")
         texts = df.groupBy(P.normalize_plate(F.col(text)).alias(f"{name}_text")).agg(F.count("*").alias(f"n_{name}"))
-        return texts.filter(f"{name}_text <> ''").withColumn("del", F.explode(F.expr(_deletions(f"{name}_text"))))
+        return texts.filter(f"{name}_text <> ''").withColumn("del", F.explode(F.expr(keys)))
 
     pairs = side(left, "left").join(side(right, "right"), "del").filter(P.similar(F.col("left_text"), F.col("right_text")))
     return pairs.select(

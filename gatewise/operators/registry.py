@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewise.functions.plates import lookup_key, registry_key
+from gatewise.session import cut_lineage
 
 
 def registry_by_key(registry: DataFrame) -> DataFrame:
@@ -73,10 +74,10 @@ def registry_add(registry: DataFrame, rows: DataFrame) -> DataFrame:
     return registry.unionByName(numbered.select(registry.columns))
 
 
-def number_rows(df: DataFrame, seq: str, block: int = 100_000) -> DataFrame:
-    """Dense 1-based rank by ``seq`` without a single global window: rank inside blocks of the
-    sequence, shifted by the row counts of earlier blocks (one row per block)."""
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block))
+def number_rows(df: DataFrame, seq: str) -> DataFrame:
+    """Dense 1-based rank by ``seq`` without a single global window: rank inside ranges of rows as
+    Spark cuts them, shifted by the row counts of earlier ranges (one row per range, however sparse ids are)."""
+    blocked = cut_lineage(df.repartitionByRange(seq).withColumn("_block", F.spark_partition_id()), "ranges")
     inner = W.partitionBy("_block").orderBy(seq)
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (

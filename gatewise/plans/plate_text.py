@@ -154,7 +154,7 @@ def _p8(t):
 
 @query("x2_expand_candidates", oracle=_candidate_oracle("true"))
 def _x2(t):
-    return _candidate_rows(grammar.expand_candidates(t.view("plate_reads")))
+    return _candidate_rows(grammar.expand_distinct(t.view("plate_reads")))
 
 
 @query("u1_merge_candidates", oracle=reads_oracle("""

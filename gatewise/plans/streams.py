@@ -102,6 +102,18 @@ def _st10(t):
     return runtime.run_updates(jobs.live_kpis(_decided_stream(t)), "kpis", ["window_start", "lane_name"])
 
 
+@query("st10_newest_events_stream", oracle=with_views("scan_events", "registry", body=DECIDED_SQL + """
+SELECT id, lane_name, plate_text, admission FROM decided ORDER BY id DESC LIMIT 500"""))
+def _st10_newest(t):
+    """The dashboard's live view: the newest 500 events as the stream leaves them."""
+    view = scratch_path(t.spark, "newest")
+    run = (_decided_stream(t).writeStream.foreachBatch(jobs.newest_events_writer(view)).trigger(availableNow=True)
+           .option("checkpointLocation", scratch_path(t.spark, "newest-checkpoint")).start())
+    run.awaitTermination()
+    last = max(p["batchId"] for p in run.recentProgress)
+    return t.spark.read.parquet(f"{view}/v{last}").select("id", "lane_name", "plate_text", "admission")
+
+
 @query("st12_camera_health_stream", oracle=with_views("frames", body="""
 h AS (SELECT lane, camera, max(ts) FILTER (delivered) AS last_frame_ts, max(ts) FILTER (NOT delivered) AS last_error_ts,
   arg_max(concat('timeout ', frame_id), ts) FILTER (NOT delivered) AS txt FROM v_frames GROUP BY lane, camera)

@@ -116,7 +116,7 @@ def live_kpis(events: DataFrame, every: str = "1 day", delay: str = "10 minutes"
 
 def newest_events_writer(path: str, n: int = 500):
     """``foreachBatch`` writer keeping the newest ``n`` events: the old view and the batch are ranked
-    together. The view is bounded by ``n``; versions alternate so a reader never sees a gap."""
+    together. The view is bounded by ``n``; the version before stays for replays and readers, older ones go."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -124,5 +124,8 @@ def newest_events_writer(path: str, n: int = 500):
         if epoch > 0:
             merged = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
         reports.recent_events(merged, n).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        if epoch > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write

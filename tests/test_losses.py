@@ -184,3 +184,29 @@ def test_the_frame_cap_ends_a_pass_in_both_forms(spark, loops, tmp_path):
     want = sensors.detect_passes(closed, frames, lanes=lanes)
     got = runtime.run_available(stream, "caps")
     assert rows(got.select(want.columns)) == rows(want)
+
+
+def test_long_texts_meet_on_segments(spark):
+    """Against every pair, with lengths around the limit where both kinds of keys are made."""
+    import random
+
+    from gatewise.operators import joins
+
+    draw = random.Random(4)
+    texts = set()
+    for size in (6, 29, 30, 31, 32, 33, 34, 35, 36, 60, 300):
+        base = "".join(draw.choice("ABC123") for _ in range(size))
+        texts.add(base)
+        for _ in range(12):
+            t = list(base)
+            for _ in range(draw.randint(1, 3)):
+                at = draw.randrange(len(t))
+                t[at:at + draw.randint(0, 1)] = draw.choice(["", "X", "Y"])
+            texts.add("".join(t))
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "plate_text string")
+    got = {(r.left_text, r.right_text) for r in joins.similar_plates(df, df).collect()}
+    a, b = df.withColumnRenamed("plate_text", "a"), df.withColumnRenamed("plate_text", "b")
+    from gatewise.functions import plates as P
+
+    want = {tuple(r) for r in a.join(b, P.similar(F.col("a"), F.col("b"))).collect()}
+    assert got == want and len(want) > len(texts)
