@@ -38,6 +38,7 @@ def crop_quality(metrics: DataFrame, conf: str = "conf") -> DataFrame:
     a = F.col("aspect")
     aspect = F.when(F.col("double_line"), F.greatest(zero, one - F.abs(a - F.lit(1.0)) / F.lit(1.2))).otherwise(
         F.greatest(zero, one - F.abs(a - F.lit(4.5)) / F.lit(4.0)))
+    # Weights of confidence, area, sharpness and aspect, and the scales they are taken at.
     quality = (
         F.col(conf) * F.lit(0.45) + F.least(F.col("area") / F.lit(12000.0), one) * F.lit(0.20)
         + F.least(F.col("sharpness") / F.lit(180.0), one) * F.lit(0.25) + aspect * F.lit(0.10)
@@ -79,6 +80,7 @@ def frame_visibility(dets: DataFrame, frame_w: int, frame_h: int, group: str = "
     top = dets.withColumn("_r", F.row_number().over(w)).filter("_r <= 3")
     scored = crop_quality(crop_metrics(clip_boxes(top, 0.0, frame_w, frame_h)))
     clearance = F.least(F.col("x"), F.col("y"), frame_w - F.col("x") - F.col("w"), frame_h - F.col("y") - F.col("h"))
+    # Distance that counts as touching, and what remains then.
     value = F.col("crop_quality") * F.when(clearance <= 2, F.lit(0.65)).otherwise(F.lit(1.0))
     return scored.groupBy(group).agg(F.greatest(F.lit(0.0), F.max(value)).alias("visibility"))
 
@@ -89,6 +91,7 @@ def driver_score(faces: DataFrame, frame_w: int, frame_h: int, group: str = "ima
     one = F.lit(1.0)
     dx = F.abs(F.col("x") + F.col("w") / F.lit(2.0) - F.lit(frame_w / 2.0)) / F.lit(frame_w / 2.0)
     dy = F.abs(F.col("y") + F.col("h") / F.lit(2.0) - F.lit(frame_h / 2.0)) / F.lit(frame_h / 2.0)
+    # Weights of size, sharpness and centredness, and the scales they are taken at.
     score = (
         F.least(F.col("w") * F.col("h") / F.lit(20000.0), one) * F.lit(0.4)
         + F.least(F.col("sharpness") / F.lit(150.0), one) * F.lit(0.4)

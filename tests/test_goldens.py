@@ -1,4 +1,4 @@
-"""Hand-derived expectations of the published formulas."""
+"""Hand-derived expectations of the published formulas. Plates, groups and reads below are fixed values."""
 
 import pytest
 from pyspark.sql import Row
