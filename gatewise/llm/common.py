@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise.session import cut_lineage
@@ -18,7 +18,8 @@ from gatewise.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text hashed at a time; a longer text is its own slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,18 +134,18 @@ class Words:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows holding about ``limit`` bytes; null is the empty text."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, len(column))
-        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+    for base in range(0, len(column), SLICE_ROWS):
+        part = column.slice(base, SLICE_ROWS).cast(pa.large_string()).fill_null("")
+        _, offs, data = part.buffers()
+        offsets = np.frombuffer(offs, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+            hi = min(hi, len(part))
+            yield base + lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def list_array(values: np.ndarray, lengths) -> pa.Array:
@@ -162,9 +163,10 @@ def bloom_words(keys: DataFrame, column: str, log2_words: int) -> np.ndarray:
     Its size is the parameter's, whatever the number of keys: more keys only let more rows pass."""
     mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {s}) & 63 as int))" for s in _BLOOM_SHIFTS))
     word = F.col(column).bitwiseAND((1 << log2_words) - 1)
-    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(mask).alias("m")).toPandas()
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
     out = np.zeros(1 << log2_words, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out
 
 
@@ -184,17 +186,26 @@ def bloom_has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 MARK_FILTER = 19
 
 
+def mark_key(docs: DataFrame, text: str, id: str) -> Column:
+    return F.xxhash64(docs[id].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+
+
+def mark_filter(docs: DataFrame, marks: DataFrame):
+    """Broadcast words of the filter over the keys of ``marks``: 4 MB."""
+    keys = marks.select(F.xxhash64(F.col("id").cast("long"), "h").alias("k"))
+    return docs.sparkSession.sparkContext.broadcast(bloom_words(keys, "k", MARK_FILTER))
+
+
 def split_rows(docs: DataFrame, marks: DataFrame, text: str, id: str, columns: list, flag: str) -> DataFrame:
     """``columns`` of docs and ``flag``: whether one of the ``marks`` (id, h) may belong to the row, h being the
     text's hash. Rows without one need not move to meet the marks."""
-    words = docs.sparkSession.sparkContext.broadcast(bloom_words(marks.select(F.xxhash64(F.col("id").cast("long"), "h").alias("k")), "k", MARK_FILTER))
+    words = mark_filter(docs, marks)
 
     def maybe(keys: pa.Array) -> pa.Array:
         return pa.array(bloom_has(words.value, keys.to_numpy(zero_copy_only=False)))
 
     maybe.__annotations__ = {"keys": pa.Array, "return": pa.Array}
-    key = F.xxhash64(docs[id].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    return docs.select(*columns, F.arrow_udf(maybe, "boolean")(key).alias(flag))
+    return docs.select(*columns, F.arrow_udf(maybe, "boolean")(mark_key(docs, text, id)).alias(flag))
 
 
 # ---- connected components ---------------------------------------------------------------------------

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.llm.common import Words, bloom_has, bloom_words, fresh, list_array, query, slices, split_rows, table
+from gatewise.llm.common import SLICE_ROWS, Words, bloom_has, bloom_words, fresh, list_array, mark_filter, mark_key, query, slices, split_rows, table
 from gatewise.session import cut_lineage
 
 LENGTH, SEED_WORDS = 13, 5
@@ -86,8 +86,8 @@ def repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
                     [pa.array(window.view(np.int64)), pa.array((anchor[use] & np.uint64(0x7FFFFFFF)).astype(np.int32)), batch.column(0).take(rows),
                      batch.column(1).take(rows), pa.array((starts[use] - first[owner[use]]).astype(np.int32))], ["w", "a", "id", "h", "start"])
 
+    # Computed for the counts and again for the join: hashing the texts twice is less than a table of all windows.
     windows = hashed.where("id IS NOT NULL").mapInArrow(extend, "w long, a int, id long, h long, start int")
-    windows = cut_lineage(windows, "windows")
     # A window in a third of all documents shrinks to one row a task before it moves; the join may be split.
     firsts = windows.groupBy("w", "a").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("w", "a", "m")
     hits = windows.join(firsts, ["w", "a"]).where("id > m").select("id", "h", "start")
@@ -120,34 +120,36 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
     repeated rows are each returned; an empty table gives no rows; further columns are ignored.
     """
     marks = cut_lineage(repeats(docs, text, id, length), "marks")
-    rows = split_rows(docs, marks, text, id, [docs[id].alias("_id"), docs[text].alias("text")], "maybe")
+    words = mark_filter(docs, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, removed, shas, texts = [], [], [], []
-            columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names) if name != "_id"}
-            for i, value in enumerate(columns["text"]):
-                later = columns["maybe"][i]
-                texts.append(value if later else None)
-                if later:
-                    n_words.append(None), removed.append(None), shas.append(None)
-                    continue
-                starts = columns["starts"][i] if "starts" in columns else None
-                kept, n = _kept((value or "").encode(), bool(columns["whole"][i]) if "whole" in columns else False,
-                                None if starts is None else np.array(starts, np.int64), length)
-                n_words.append(n), removed.append(n - len(kept)), shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            later = batch.column(batch.schema.names.index("maybe"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.names.index("_id")), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
-                 pa.array(texts, pa.string()), later], ["_id", "n_words", "n_removed", "kept_sha256", "text", "maybe"])
+        for whole_batch in batches:
+            for lo in range(0, len(whole_batch), SLICE_ROWS):
+                batch = whole_batch.slice(lo, SLICE_ROWS)
+                met = "starts" in batch.schema.names  # has met the marks
+                later = np.zeros(len(batch), bool) if met else bloom_has(words.value, batch.column("key").to_numpy(zero_copy_only=False))
+                whole, starts = (batch.column(c).to_pylist() if met else [None] * len(batch) for c in ("whole", "starts"))
+                rows, texts = [], []
+                for i, value in enumerate(batch.column("text").to_pylist()):
+                    texts.append(value if later[i] else None)
+                    if later[i]:
+                        rows.append((None, None, None))
+                        continue
+                    kept, n = _kept((value or "").encode(), bool(whole[i]), None if starts[i] is None else np.array(starts[i], np.int64), length)
+                    rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                made = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), *made, pa.array(texts, pa.string()), pa.array(later)],
+                                                 ["_id", "n_words", "n_removed", "kept_sha256", "text", "maybe"])
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id].dataType.simpleString()
     schema = f"_id {kind}, n_words long, n_removed long, kept_sha256 string, text string, maybe boolean"
-    first = cut_lineage(rows.mapInArrow(run, schema), "digests")
+    read = docs.select(docs[id].alias("_id"), docs[text].alias("text"), mark_key(docs, text, id).alias("key"))
+    first = cut_lineage(read.mapInArrow(run, schema), "digests")
     names = [F.col("_id").alias(id), "n_words", "n_removed", "kept_sha256"]
     late = first.where("maybe").select("_id", "text", F.col("_id").cast("long").alias("j_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("j_h"))
     met = late.join(marks, (late["j_id"] == marks["id"]) & (late["j_h"] == marks["h"]), "left")
-    second = met.select("_id", "text", "whole", "starts", F.lit(False).alias("maybe")).mapInArrow(run, schema)
+    second = met.select("_id", "text", "whole", "starts").mapInArrow(run, schema)
     return first.where("NOT maybe").select(*names).union(second.select(*names))
 
 
