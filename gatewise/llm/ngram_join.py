@@ -1,8 +1,8 @@
 """Jaccard join of documents' word n-gram sets over a prefix tree.
 
 All sets follow one global order of n-grams: rare ones by hash, then those that many sets have, by how many.
-Two sets that are similar enough share an n-gram among their first few in that order, so those meet by
-n-gram. Each set then walks a tree of the candidate sets it met: shared beginnings are counted once, and a
+Two sets that are similar enough share several n-grams among their first ones in that order, so those meet by
+n-gram, and pairs that meet once by chance fall away. Each set then walks a tree of the candidate sets it met: shared beginnings are counted once, and a
 subtree is left as soon as what remains of both sides cannot reach the overlap that its sizes ask for.
 
 Sets that many documents have exactly are one class. Where an n-gram is common in spite of the order, as in a
@@ -15,20 +15,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gatewise.llm.common import Words, bloom_has, bloom_words, connected_components, fresh, list_array, mix, query, slices, split_rows, table
 from gatewise.session import cut_lineage
 
+#: Of the first n-grams of two similar sets this many agree, or all that they need to share if that is less.
+SHARED = 4
 #: Sets that meet at one n-gram up to which all pairs are held against each other.
-CROWD = 48
+CROWD = 16
 #: n-grams moved to the end of the order, at most; more would only save work.
 COMMON = 1 << 18
 SET_FILTER = 19
 TREE_SETS = 2048
+CROWD_BLOCK = 4096
 
 _U = np.uint64
 
@@ -58,6 +62,37 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def head(n: int, num: int, den: int) -> int:
+    """Number of first n-grams among which a similar set has SHARED in common."""
+    return min(n, n - needed(n, num, den) + SHARED)
+
+
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """One bit for each bucket of hashes, telling whether an odd number of n-grams falls there, in 64-bit words; about
+    as many bits as n-grams. Bits in which two sets differ are no more than the n-grams in which they differ."""
+    m = 64
+    while m < len(grams):
+        m *= 2
+    odd = np.bincount((mix(grams) & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def fold_bits(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same for fewer buckets: rows of bits cut into pieces of so many words, which are added."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+#: SQL of the same for columns ``a`` and ``b`` of a pair, sets of ``n`` and ``o_n`` n-grams.
+_FOLDED = "transform(sequence(0, {w} - 1), i -> aggregate(sequence(0, size({c}) div {w} - 1), 0L, (x, t) -> x ^ {c}[i + t * {w}]))"
+_DIFFER = "aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)".format(
+    a=_FOLDED.format(c="a", w="least(size(a), size(b))"), b=_FOLDED.format(c="b", w="least(size(a), size(b))"))
+
+
+def can_be_similar(num: int, den: int) -> Column:
+    """Whether the sets of a pair (a, n, b, o_n) differ in few enough bits; never false for a similar pair."""
+    return F.expr(f"({num} + {den}) * {_DIFFER} <= ({den} - {num}) * (n + o_n)")
+
+
 class PrefixTree:
     """Ordered sets as a tree whose edges hold runs of n-grams.
 
@@ -112,20 +147,22 @@ class PrefixTree:
 
 
 def _sets_table(docs: DataFrame, k: int, num: int, den: int, text: str, id: str) -> DataFrame:
-    """(id, h, cid, n, prefix) of every document: text hash, class, size of the set, its first n-grams by hash."""
+    """(id, h, cid, n, prefix, bits) of every document: text hash, class, size of the set, its first n-grams by hash, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True)
         for batch in batches:
             for lo, sets in set_slices(words, batch.column(2), k):
-                heads = [s[: len(s) - needed(len(s), num, den) + 1] for s in sets]
+                heads = [s[: head(len(s), num, den)] for s in sets]
+                bits = [parity_bits(s) for s in sets]
                 values = np.concatenate(heads).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo : lo + len(sets)], batch.column(1)[lo : lo + len(sets)], pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64()), list_array(values, [len(x) for x in heads])], ["id", "h", "cid", "n", "prefix"])
+                     pa.array([len(s) for s in sets], pa.int64()), list_array(values, [len(x) for x in heads]),
+                     list_array(np.concatenate(bits).view(np.int64), [len(x) for x in bits])], ["id", "h", "cid", "n", "prefix", "bits"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return _read(docs, text, id).mapInArrow(run, f"id {kind}, h long, cid long, n long, prefix array<long>")
+    return _read(docs, text, id).mapInArrow(run, f"id {kind}, h long, cid long, n long, prefix array<long>, bits array<long>")
 
 
 def _read(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -145,7 +182,7 @@ def _reordered(docs: DataFrame, common: pa.Table, k: int, num: int, den: int, te
             cids, heads = [], []
             for _, sets in set_slices(words, batch.column(2), k):
                 for s in sets:
-                    size = len(s) - needed(len(s), num, den) + 1
+                    size = head(len(s), num, den)
                     place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     weight = np.where(hot[place] == s, rank[place], 0)
                     if weight[:size].any():
@@ -158,12 +195,13 @@ def _reordered(docs: DataFrame, common: pa.Table, k: int, num: int, den: int, te
 
 
 def _meet(num: int, den: int, crowd: int):
-    """Rows (gram, n, cid) in order of gram and n, to candidate pairs (k, o) and, of crowds, members (k, gram, n)."""
+    """Rows (gram, n, cid) in order of gram and n, to candidate pairs (k, o, n: the smaller set's size, times: n-grams met
+    at) and, of crowds, members (k, gram, n)."""
 
     def pairs(gram: np.ndarray, n: np.ndarray, cid: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         size = np.diff(np.append(first, len(gram)))
-        left, right, member = [], [], []
+        left, right, least, member, stands = [], [], [], [], []
         for s in np.unique(size[(size > 1) & (size <= crowd)]).tolist():
             at = first[size == s][:, None] + np.arange(s)
             i, j = np.triu_indices(s, 1)
@@ -171,6 +209,7 @@ def _meet(num: int, den: int, crowd: int):
             near = n[i] * den >= num * n[j]
             left.append(np.minimum(cid[i[near]], cid[j[near]]))
             right.append(np.maximum(cid[i[near]], cid[j[near]]))
+            least.append(n[i[near]])
         for lo, s in zip(first[size > crowd].tolist(), size[size > crowd].tolist()):
             hi = lo + s
             member.append(np.arange(lo, hi))
@@ -181,16 +220,18 @@ def _meet(num: int, den: int, crowd: int):
                 for stand in {middle, previous} - {None}:
                     others = np.arange(lo, end)
                     others = others[(others != stand) & (np.minimum(n[others], n[stand]) * den >= num * np.maximum(n[others], n[stand]))]
-                    left.append(cid[others])
-                    right.append(np.full(len(others), cid[stand]))
+                    stands.append(np.stack([cid[others], np.full(len(others), cid[stand])], 1))
                 lo, previous = end, middle
+        names = ["k", "o", "gram", "n", "times"]
         if left:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            none = pa.nulls(len(both), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], ["k", "o", "gram", "n"])
+            both, at, times = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.array(np.concatenate(least)[at]), pa.array(times)], names)
+        if stands:  # held against each other however often they meet
+            both = np.unique(np.concatenate(stands), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.array(np.zeros(len(both), np.int64)), pa.array(np.full(len(both), SHARED))], names)
         if member:
-            at = np.concatenate(member)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.nulls(len(at), pa.int64()), pa.array(gram[at]), pa.array(n[at])], ["k", "o", "gram", "n"])
+            at, none = np.concatenate(member), pa.nulls(sum(map(len, member)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at]), none, pa.array(gram[at]), pa.array(n[at]), none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -211,6 +252,42 @@ def _meet(num: int, den: int, crowd: int):
     return run
 
 
+def _apart(num: int, den: int):
+    """Pairs (k, o) of different parts in one crowd, or two blocks of it, whose bits allow them to be similar.
+
+    A pair that meets in several crowds is told in the first of them alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, gram = pdf["lo"].iloc[0], pdf["hi"].iloc[0], int(pdf["gram"].iloc[0])
+        earlier = {c: frozenset(g[g < gram].tolist()) for c, g in zip(pdf["cid"], pdf["grams"])}
+        pdf = pdf.assign(words=pdf["bits"].map(len)).sort_values(["words", "n", "cid"])
+        kinds = {w: (g["cid"].to_numpy(), g["n"].to_numpy(), g["part"].to_numpy(), g["block"].to_numpy(), np.stack(g["bits"].to_numpy()).view(_U))
+                 for w, g in pdf.groupby("words")}
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, (cid, n, part, block, bits) in kinds.items():
+            for v, (o_cid, o_n, o_part, o_block, o_bits) in kinds.items():
+                if v < w or n.max() * den < num * o_n.min():
+                    continue
+                o_bits = fold_bits(o_bits, w)
+                strip = max(1, (1 << 22) // (len(o_cid) * w))
+                for at in range(0, len(cid), strip):
+                    i, j = np.nonzero((part[at : at + strip, None] != o_part) & (np.minimum(n[at : at + strip, None], o_n) * den >= num * np.maximum(n[at : at + strip, None], o_n)))
+                    i += at
+                    keep = (cid[i] < o_cid[j]) if v == w else np.ones(len(i), bool)
+                    if lo != hi:
+                        keep &= block[i] != o_block[j]
+                    i, j = i[keep], j[keep]
+                    differ = np.bitwise_count(bits[i] ^ o_bits[j]).sum(1, dtype=np.int64)
+                    near = (num + den) * differ <= (den - num) * (n[i] + o_n[j])
+                    a, b = cid[i[near]], o_cid[j[near]]
+                    new = np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(a.tolist(), b.tolist())], bool)
+                    left.append(np.minimum(a, b)[new])
+                    right.append(np.maximum(a, b)[new])
+        return pd.DataFrame({"k": np.concatenate(left), "o": np.concatenate(right)})
+
+    return run
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, text: str, id: str) -> DataFrame:
     """Those of the pairs (k, o) of classes that are similar."""
     spark = docs.sparkSession
@@ -277,7 +354,7 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     by 64-bit hashes.
     """
     rows = cut_lineage(_sets_table(docs, k, num, den, text, id), "ngram-sets")
-    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = cut_lineage(classes, "ngram-classes")
     common = (classes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("times")).where(F.col("times") > crowd)
               .orderBy(F.col("times").desc(), "gram").limit(COMMON).toArrow())
@@ -287,21 +364,27 @@ def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         heads = heads.join(later, "cid", "left").select("cid", "n", F.coalesce("later", "prefix").alias("prefix"))
 
     meeting = heads.select(F.explode("prefix").alias("gram"), "n", "cid").repartition("gram").sortWithinPartitions("gram", "n", "cid")
-    met = cut_lineage(meeting.mapInArrow(_meet(num, den, crowd), "k long, o long, gram long, n long"), "ngram-met")
-    pairs = cut_lineage(met.where("o IS NOT NULL").select("k", "o").distinct(), "ngram-pairs")
+    met = cut_lineage(meeting.mapInArrow(_meet(num, den, crowd), "k long, o long, gram long, n long, times long"), "ngram-met")
+    enough = F.least(F.lit(SHARED), F.ceil(F.lit(num) * F.min("n") / F.lit(den)))
+    pairs = met.where("o IS NOT NULL").groupBy("k", "o").agg(F.sum("times").alias("times"), enough.alias("enough")).where("times >= enough")
+    one, other = classes.select(F.col("cid").alias("k"), "n", F.col("bits").alias("a")), classes.select(F.col("cid").alias("o"), F.col("n").alias("o_n"), F.col("bits").alias("b"))
+    pairs = cut_lineage(pairs.select("k", "o").join(one, "k").join(other, "o").where(can_be_similar(num, den)).select("k", "o"), "ngram-pairs")
     links = cut_lineage(_verify(docs, pairs, k, num, den, text, id), "ngram-links")
     parts = connected_components(links)
 
     crowds = met.where("gram IS NOT NULL").select("gram", F.col("k").alias("cid"), "n")
     if not crowds.isEmpty():
         named = crowds.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
-        main = (named.groupBy("gram", "part").agg(F.count("*").alias("c")).groupBy("gram")
-                .agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
-        named = cut_lineage(named.join(main, "gram"), "ngram-crowds")
-        apart = named.where("part <> main").select("gram", F.col("cid").alias("k"), F.col("n").alias("k_n"), F.col("part").alias("k_part"))
-        longer, shorter = F.greatest("n", "k_n"), F.least("n", "k_n")
-        more = (apart.join(named, "gram").where((F.col("part") != F.col("k_part")) & (shorter * den >= longer * num))
-                .where((F.col("part") == F.col("main")) | (F.col("k") < F.col("cid"))).select("k", F.col("cid").alias("o")).distinct())
+        torn = (named.groupBy("gram", "part").agg(F.count("*").alias("c")).groupBy("gram")
+                .agg(F.count("*").alias("parts"), F.sum("c").alias("rows")).where("parts > 1").drop("parts"))
+        # Pairs of different parts are held against each other in blocks, each pair of blocks in a task of its own.
+        blocks = F.ceil(F.col("rows") / CROWD_BLOCK).cast("int")
+        met_at = cut_lineage(named.join(torn, "gram"), "ngram-torn")
+        crowds_of = met_at.groupBy("cid").agg(F.collect_set("gram").alias("grams"))  # at most a set's first n-grams
+        placed = (met_at.join(crowds_of, "cid").join(classes.select("cid", "bits"), "cid").withColumn("block", F.pmod(F.hash("cid"), blocks))
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))))
+        placed = placed.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "n", "part", "bits", "grams")
+        more = placed.groupBy("gram", "lo", "hi").applyInPandas(_apart(num, den), "k long, o long").distinct()
         known = pairs.select(F.greatest("k", "o").alias("g"), F.least("k", "o").alias("l"))
         more = cut_lineage(more.join(known, (F.greatest("k", "o") == F.col("g")) & (F.least("k", "o") == F.col("l")), "left_anti"), "ngram-more")
         if not more.isEmpty():

@@ -205,3 +205,30 @@ def test_interactions_equal_all_pairs():
     substring.strip_repeats, mixing.mix, mixing.take, packing.pack])
 def test_no_documents(no_docs, operator):
     assert operator(no_docs).collect() == []
+
+
+def test_parities_never_tell_similar_sets_apart():
+    draw = np.random.default_rng(2)
+    for size in (1, 3, 40, 64, 65, 200, 900):
+        a = np.unique(draw.integers(0, 1 << 62, size).astype(np.uint64))
+        b = np.union1d(a[draw.random(len(a)) < 0.9], draw.integers(0, 1 << 62, size // 6 + 1).astype(np.uint64))
+        x, y = ngram_join.parity_bits(a)[None], ngram_join.parity_bits(b)[None]
+        words = min(x.shape[1], y.shape[1])
+        differ = np.bitwise_count(ngram_join.fold_bits(x, words) ^ ngram_join.fold_bits(y, words)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_sql_folds_bits_alike(spark):
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64)) for n in (50, 70, 130, 250, 260)]
+    rows = [(len(a), ngram_join.parity_bits(a).view(np.int64).tolist(), len(b), ngram_join.parity_bits(b).view(np.int64).tolist()) for a in sets for b in sets]
+    df = spark.createDataFrame(rows, "n long, a array<long>, o_n long, b array<long>")
+    got = [r[0] for r in df.select(ngram_join.can_be_similar(85, 100)).collect()]
+    want = []
+    for a in sets:
+        for b in sets:
+            x, y = ngram_join.parity_bits(a)[None], ngram_join.parity_bits(b)[None]
+            words = min(x.shape[1], y.shape[1])
+            differ = int(np.bitwise_count(ngram_join.fold_bits(x, words) ^ ngram_join.fold_bits(y, words)).sum())
+            want.append(185 * differ <= 15 * (len(a) + len(b)))
+    assert got == want
