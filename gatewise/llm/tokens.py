@@ -23,7 +23,7 @@ from gatewise.llm.common import query, table
 BATCH_BYTES = 1 << 20
 #: Characters of text whose pieces are looked up together, and pieces a task remembers.
 GROUP_CHARS = 2 << 20
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 1_000_000
 
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -50,38 +50,35 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces joined by line breaks: a break between two pieces is a token of its own, which parts them again."""
-        plain = [p for p in pieces if "\n" not in p and not _RUN.search(p.removeprefix(" "))]
-        odd = [p for p in pieces.difference(plain)]
+    def _learn(self, plain: set[str], odd: set[str]) -> None:
+        """Plain pieces are joined by line breaks: a break between two of them is a token of its own, which parts them again."""
         mark = np.frombuffer(self.newline, np.uint32)
         if len(mark) != 1:
-            odd, plain = list(pieces), []
+            plain, odd = set(), plain | odd
         for batch in _by_bytes(odd, BATCH_BYTES):
             self.memory.update(zip(batch, self._direct(batch)))
         for batch in _by_bytes(plain, BATCH_BYTES):
-            ids = np.frombuffer(self._direct(["\n".join(batch)])[0], np.uint32)
+            raw = self._direct(["\n".join(batch)])[0]
+            ids = np.frombuffer(raw, np.uint32)
             ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
             if len(ends) != len(batch):  # a tokenizer that joins breaks to their neighbours
                 self.memory.update(zip(batch, self._direct(batch)))
                 continue
-            lo = 0
-            for piece, hi in zip(batch, ends.tolist()):
-                self.memory[piece] = ids[lo:hi].tobytes()
-                lo = hi + 1
+            places = (4 * ends).tolist()
+            self.memory.update(zip(batch, [raw[lo:hi] for lo, hi in zip([0] + [x + 4 for x in places], places)]))
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """The text's pieces, and whether they are plain: without line breaks and without white space at an end but one space before."""
         if _RUN.search(text):
-            return _SAFE.split(text)
-        if "\n" not in text:
-            head, *rest = text.split(" ")
-            return [head, *map(" ".__add__, rest)]
+            return _SAFE.split(text), False
         out: list[str] = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            out += [head, *map(" ".__add__, rest), "\n"]
+            out.append(head)
+            out += map(" ".__add__, rest)
+            out.append("\n")
         del out[-1]
-        return out
+        return out, True
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -91,19 +88,20 @@ class PieceEncoder:
             while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= GROUP_CHARS):
                 chars += len(texts[hi])
                 hi += 1
-            cut = [self.pieces(t) if t else [] for t in texts[lo:hi]]
+            cut = [self.pieces(t) if t else ([], True) for t in texts[lo:hi]]
             if len(self.memory) > MEMORY_PIECES:
                 self.memory.clear()
             self.memory["\n"] = self.newline
-            new = set().union(*cut).difference(self.memory)
-            if new:
-                self._learn(new)
-            for one in cut:
+            plain = set().union(*[x for x, even in cut if even]).difference(self.memory)
+            odd = set().union(*[x for x, even in cut if not even]).difference(self.memory, plain)
+            if plain or odd:
+                self._learn(plain, odd)
+            for one, _ in cut:
                 yield b"".join(map(self.memory.__getitem__, one))
             lo = hi
 
 
-def _by_bytes(pieces: list[str], limit: int) -> Iterator[list[str]]:
+def _by_bytes(pieces: set[str], limit: int) -> Iterator[list[str]]:
     batch, size = [], 0
     for p in pieces:
         if batch and size + len(p) > limit:
