@@ -23,7 +23,7 @@ from gatewise.llm.common import query, table
 BATCH_BYTES = 1 << 20
 #: Characters of text whose pieces are looked up together, and pieces a task remembers.
 GROUP_CHARS = 2 << 20
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 300_000
 
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
