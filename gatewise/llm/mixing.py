@@ -42,7 +42,8 @@ def targets(docs: DataFrame, source: str, size: str, weights=WEIGHTS, share: flo
     ranked = sizes.withColumn("r", rank).withColumn("w", weight).drop("r")
     # Cutting starts with the source that has most weight for its size: with sources in that order the
     # cut ones come first, and all others get one and the same number of words for each unit of weight.
-    order = W.orderBy((F.col("w") / F.col("source_size")).desc_nulls_first(), F.col("source").asc_nulls_last())
+    # A source of size 0 has no such ratio: it comes first and is cut at 0.
+    order = W.orderBy(F.try_divide("w", "source_size").desc_nulls_first(), F.col("source").asc_nulls_last())
     whole = W.partitionBy(F.lit(1))
     before = order.rowsBetween(W.unboundedPreceding, -1)
     placed = (ranked.withColumn("total", F.sum("source_size").over(whole))
@@ -51,7 +52,7 @@ def targets(docs: DataFrame, source: str, size: str, weights=WEIGHTS, share: flo
               .withColumn("level", (share * F.col("total") - F.col("cut")) / F.col("left_w"))
               .withColumn("above", F.col("level") * F.col("w") > ceiling * F.col("source_size")))
     settled = placed.withColumn("level", F.min(F.when(~F.col("above"), F.struct(
-        (F.col("w") / F.col("source_size") * -1).alias("o"), F.col("level").alias("l")))).over(whole)["l"])
+        (F.try_divide("w", "source_size") * -1).alias("o"), F.col("level").alias("l")))).over(whole)["l"])
     target = F.least(ceiling * F.col("source_size"), F.coalesce(F.col("level") * F.col("w"), ceiling * F.col("source_size")))
     return settled.select("source", "source_size", target.alias("target"))
 
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     goal = targets(rows.withColumn("_all", F.col("_size") * F.col("_seen")), "_source", "_all", weights, share, ceiling)
     goal = cut_lineage(goal, "mix-targets")
     each = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_seen").cast("int"))))
-    aimed = each.join(goal, each["_source"].eqNullSafe(goal["source"])).withColumn("_mean", F.col("target") / F.col("source_size"))
+    aimed = each.join(goal, each["_source"].eqNullSafe(goal["source"])).withColumn("_mean", F.try_divide("target", "source_size"))
     aimed = aimed.withColumn("_whole", F.when(F.col("_size") > 0, F.floor("_mean")).otherwise(1).cast("int"))
     key = F.struct(F.col("_id").alias("id"), F.col("_hash").alias("h"), F.col("_n").alias("n"))
     part = F.col("_mean") - F.col("_whole")

@@ -146,6 +146,25 @@ def test_copies_are_rows(docs, rows):
     assert out.count() == want
 
 
+@pytest.mark.parametrize("with_words", [True, False])
+def test_sources_without_words_are_taken_once(spark, with_words):
+    silent = [(0, None, "a"), (1, "", "b"), (2, " \n", "b"), (3, None, None), (3, None, None)]
+    spoken = [(10 + i, "one two three " * (1 + i % 4), "cd"[i % 2]) for i in range(30)] if with_words else []
+    docs = spark.createDataFrame(silent + spoken, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(silent) + len(spoken)
+    none = [r for r in out if r.source not in ("c", "d")]
+    assert len(none) == len(silent) and all((r.size, r.source_size, r.target, r.copies) == (0, 0, 0.0, 1) for r in none)
+    sizes = {s: sum(len(brute.words(r[1])) for r in g) for s, g in brute.by(silent + spoken, lambda r: r[2]).items()}
+    target = brute.mix_targets(sizes)
+    for source, part in brute.by(out, lambda r: r.source).items():
+        assert part[0].source_size == sizes[source] and abs(part[0].target - target[source]) < 1e-6
+        assert abs(sum(r.size * r.copies for r in part) - target[source]) <= max(r.size for r in part)
+    taken = sorted(((r.doc_id, r.text, r.source) for r in mixing.take(docs).collect()), key=str)
+    assert [r for r in taken if r[2] not in ("c", "d")] == sorted(silent, key=str)
+    assert len(taken) == sum(r.copies for r in out)
+
+
 def test_packing_covers_every_id_once(docs, rows):
     from tokenizers import Tokenizer
 
