@@ -118,7 +118,7 @@ def suppress_boxes(boxes: DataFrame, threshold: float = 0.45, group: str = "imag
     Boxes of the very same rectangle shrink to the best one before the shuffle: the others can only
     fall with it. Images of at most ``fold_limit`` boxes (a detector's anchor count) are folded in
     order inside one row; larger ones are settled by rounds over overlapping pairs. Both give the same
-    rows for any threshold.
+    rows for any threshold from 0 to below 1.
     """
     rect = ["x", "y", "w", "h"]
     solid = boxes.filter("w > 0 AND h > 0")
@@ -157,14 +157,15 @@ def _suppress_by_rounds(boxes: DataFrame, threshold: float, group: str) -> DataF
     heights and nearby corners, so they meet in a cell of a grid scaled to their own size class;
     a box stays once no earlier overlapping box can stay, and goes once one does."""
     ranked = boxes.withColumn("_rank", F.struct(F.col("conf").alias("c"), (-F.col("box_id")).alias("b")))
-    # Size classes double; a partner lies in the same class or a few away.
+    # Size classes double; a partner lies in the same class or a few away. Two boxes share the grid one class
+    # above the larger one: its cells are wider than either box, so partners lie in one or in neighbouring cells.
     classes = lambda c: F.floor(F.log2(F.col(c)))
     step = lambda level: F.pow(F.lit(2.0), level)
     placed = ranked.withColumns({"_lw": classes("w"), "_lh": classes("h")})
     # Over the threshold one side is at most 1 / threshold times the other; without one, sizes differ as they may.
     apart = math.ceil(math.log2(1 / threshold)) if threshold > 0 else 31
-    span = F.array(*(F.lit(-d) for d in range(min(apart, 31), -1, -1)))
-    # Earlier-or-later partners are found from the smaller class up: both sides probe the grid of the
+    span = F.array(*(F.lit(-d) for d in range(min(apart, 31) + 1, 0, -1)))
+    # Earlier-or-later partners are found from the smaller class up: both sides probe the grid above the
     # larger class, one side over the neighbouring cells.
     levels = placed.withColumn("_gw", F.explode(F.transform(span, lambda d: F.col("_lw") - d))).withColumn(
         "_gh", F.explode(F.transform(span, lambda d: F.col("_lh") - d)))

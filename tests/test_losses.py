@@ -76,6 +76,17 @@ def test_crowded_images_follow_the_same_rule(spark, threshold):
     assert rows(evidence.suppress_boxes(boxes, threshold, fold_limit=10)) == rows(evidence.suppress_boxes(boxes, threshold))
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.25])
+@pytest.mark.parametrize("across", [True, False])
+def test_crowded_images_reach_partners_two_cells_away(spark, threshold, across):
+    pair = [(60, 7, 103, 20), (132, 7, 31, 20)]  # overlap 31 / 103 = 0.301, classes 6 and 4
+    far = [(1000 + 200 * i, 5000, 10, 10) for i in range(10)]
+    data = [(1, i, *(b if across else (b[1], b[0], b[3], b[2])), 1.0 - i / 100) for i, b in enumerate(pair + far)]
+    boxes = spark.createDataFrame(data, "image_id long, box_id long, x int, y int, w int, h int, conf double")
+    crowded, small = (rows(evidence.suppress_boxes(boxes, threshold, fold_limit=n)) for n in (10, 100))
+    assert crowded == small and {r[1] for r in small} == {0, *range(2, 12)}
+
+
 def _events(spark, data):
     return spark.createDataFrame(data, "id long, t string, lane_name string").select("id", F.col("t").cast("timestamp_ntz").alias("timestamp"), "lane_name")
 
