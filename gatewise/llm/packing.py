@@ -24,7 +24,8 @@ from gatewise.llm.tokens import PieceEncoder, default_tokenizer
 from gatewise.session import cut_lineage
 
 CAPACITY = 2048
-#: A piece stays whole if it wastes less than this part of its class; classes end at 1 / SLACK.
+#: A piece stays whole if it wastes less than this part of its class, or if its class is 1 / SLACK or above: then
+#: k pieces waste less than one piece more would fill.
 SLACK = 1 / 64
 END_ID = 1
 
@@ -37,7 +38,7 @@ def cuts(length: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tu
         k = capacity // rest
         room = capacity // k
         if k >= last or rest >= room * (1 - slack):
-            out.append((rest, min(k, last)))
+            out.append((rest, k))
             break
         head = capacity // (k + 1)
         out.append((head, k + 1))
@@ -78,7 +79,9 @@ def tokenized_pieces(docs: DataFrame, text: str, id: str, tokenizer: str, capaci
 
 
 def first_fit(capacity: int):
-    """Packs one class-independent remainder: at most (k - 1) pieces of every class k, whatever the input."""
+    """Packs one class-independent remainder: at most (k - 1) pieces of every class k, whatever the input.
+
+    Above 1 / SLACK there are only the classes of the lengths below SLACK * capacity, 31 by default."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "piece"], ascending=[False, True]).reset_index(drop=True)

@@ -200,6 +200,26 @@ def test_cuts_fit_their_classes(length):
     assert all(0 < n * k <= 2048 for n, k in pieces)
 
 
+def test_short_pieces_have_their_own_classes():
+    assert [packing.cuts(n) for n in range(1, 33)] == [[(n, 2048 // n)] for n in range(1, 33)]
+
+
+def test_short_texts_fill_their_sequences(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), (6 + F.col("id") % 6).cast("int")), lambda i: F.lit("the")))
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    out = packing.pack(docs).collect()
+    assert len(out) == 8000 and max(r.length for r in out) < 32
+    bins = brute.by(out, lambda r: r.sequence_id)
+    assert sorted(bins) == list(range(len(bins)))
+    for part in bins.values():
+        at = 0
+        for r in sorted(part, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert 1 - sum(r.length for r in out) / (2048 * len(bins)) < 0.05
+
+
 def test_quality_scores(docs, rows, spark):
     labels = spark.createDataFrame([(r[0], int(i % 3 > 0), 0) for i, r in enumerate(rows)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     machine = quality.train(docs, labels, metadata=("n_chars",))
