@@ -347,6 +347,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, text:
 def link_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """(id, h, n_shingles, part, component_id) for every row; h is the text's hash, part one of its component.
 
+    Components only: links between sets that are in one component already are not all computed, nor counted.
     Sets link when den * |overlap| >= num * |union|. The component's id is the smallest id of its rows. A
     text without words, null included, has no n-grams, links with nothing and is a component of its own;
     rows that repeat a text or an id are rows of their own; a null id is the component's only where there is no
