@@ -1,10 +1,11 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by windows under shared anchors.
 
 Every window of ``length`` words has an anchor: the smallest hash among its runs of ``seed`` words.
 Winnowing thus gives two documents that repeat a passage of that length an anchor in common, while a
-document has few anchors. Anchors that different texts have in common are the seeds. A seed is extended
-both ways to the windows it anchors, windows that agree meet in a join with the first document that has
-them, and overlapping windows grow together to the maximal repeats.
+document has few anchors. Anchors that different texts have in common fill a Bloom filter; windows under
+such an anchor meet by hash in a join with the first document that has them, and the words they cover are
+united. Anchor occurrences are not joined or extended word by word: all windows of a repeat have to agree
+anyway, and joining them whole gives the same words.
 
 Texts that equal a text of a smaller id are repeats as a whole and need no seeds.
 """
