@@ -47,7 +47,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Hashing draws, a trained model and a tokenizer have no SQL; tests hold every stage against brute force.
+#: Hashing draws, a trained model and a tokenizer have no SQL. Tests hold operators against plain Python; the
+#: stages as chained are held to columns, rows being there and empty input only, and keep_good and take to row counts.
 ORACLE_SQL = None
 
 
