@@ -1,4 +1,16 @@
 """Every query of this subpackage."""
 
-from gatewise.llm import embedding_dedup, mixing, ngram_join, packing, quality, sharding, substring, tokens, topk, url_filter  # noqa: F401
+from gatewise.llm import (  # noqa: F401
+    collocations,
+    embedding_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    substring,
+    tokens,
+    topk,
+    url_filter,
+)
 from gatewise.llm.common import ORACLES, QUERIES  # noqa: F401
