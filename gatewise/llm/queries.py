@@ -8,6 +8,7 @@ from gatewise.llm import (  # noqa: F401
     packing,
     quality,
     sharding,
+    spelling,
     substring,
     tokens,
     topk,
