@@ -12,6 +12,7 @@ from gatewise.llm import (  # noqa: F401
     substring,
     tokens,
     topk,
+    toxicity,
     url_filter,
 )
 from gatewise.llm.common import ORACLES, QUERIES  # noqa: F401
