@@ -89,22 +89,36 @@ def _salts(langs: pa.Array) -> np.ndarray:
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, id, a) of every distinct word."""
+    """(lang, word, a) of every distinct word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers(_BASE)
         for batch in batches:
             salts = _salts(batch.column(0))
             for lo, data, offsets in slices(batch.column(1), 4 << 20):
-                ids, _, _, _, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
+                ids, _, starts, ends, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
                 if not len(ids):
                     continue
-                found, at, a = np.unique(ids, return_index=True, return_counts=True)
+                _, at, a = np.unique(ids, return_index=True, return_counts=True)
                 owner = np.searchsorted(first, at, "right") - 1 + lo
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array(found.view(np.int64)), pa.array(a.astype(np.int64))], ["lang", "id", "a"])
+                    [batch.column(0).take(pa.array(owner)), _spans(data, starts[at], ends[at]), pa.array(a.astype(np.int64))], ["lang", "word", "a"])
 
-    return docs.mapInArrow(run, "lang string, id long, a long").groupBy("lang", "id").agg(F.sum("a").alias("a"))
+    return docs.mapInArrow(run, "lang string, word string, a long").groupBy("lang", "word").agg(F.sum("a").alias("a"))
+
+
+def _word_ids(words: DataFrame) -> DataFrame:
+    """``words`` with the id that :func:`occurrences` gives each word."""
+
+    def ident(lang: pa.Array, word: pa.Array) -> pa.Array:
+        powers, salts, out = _Powers(_BASE), _salts(lang), np.zeros(len(word), _U)
+        for lo, data, offsets in slices(word):
+            hi = lo + len(offsets) - 1
+            out[lo:hi] = mix(window_hash(_BYTE[data], offsets[:-1], offsets[1:], powers) + salts[lo:hi])
+        return pa.array(out.view(np.int64))
+
+    ident.__annotations__ = {"lang": pa.Array, "word": pa.Array, "return": pa.Array}
+    return words.withColumn("id", F.arrow_udf(ident, "long")("lang", "word"))
 
 
 def _filter(spark, groups: DataFrame):
@@ -115,31 +129,20 @@ def _filter(spark, groups: DataFrame):
 
 
 def _frequent_words(docs: DataFrame, kept) -> DataFrame:
-    """R(1) after its semi-join: per document ``gap`` (to the place before), ``id``, and the words a task meets for the first time."""
+    """R(1) after its semi-join: per document ``gap`` (to the place before) and ``id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, told = _Powers(_BASE), np.zeros(0, _U)
+        powers = _Powers(_BASE)
         for batch in batches:
             salts = _salts(batch.column(0))
             for lo, data, offsets in slices(batch.column(1), 4 << 20):
-                ids, place, starts, ends, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
+                ids, place, _, _, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
                 stay = np.flatnonzero(bloom_has(kept.value, ids))
-                ids, place, first = ids[stay], place[stay], np.searchsorted(stay, first)
-                seen, at = np.unique(ids, return_index=True)
-                new = ~np.isin(seen, told, assume_unique=True)
-                told = np.union1d(told, seen)
-                n = len(offsets) - 1
-                size = np.diff(first)
-                names = np.zeros(n, np.int64)
-                names[:1] = new.sum()
-                gap = np.diff(place, prepend=0)
+                size = np.diff(np.searchsorted(stay, first))
                 yield pa.RecordBatch.from_arrays(
-                    [list_array(gap.astype(np.int32), size), list_array(ids.view(np.int64), size), list_array(seen[new].view(np.int64), names),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(names)]).astype(np.int32)),
-                                              _spans(data, starts[stay[at[new]]], ends[stay[at[new]]]))],
-                    ["gap", "id", "named", "word"])
+                    [list_array(np.diff(place[stay], prepend=0).astype(np.int32), size), list_array(ids[stay].view(np.int64), size)], ["gap", "id"])
 
-    return docs.mapInArrow(run, "gap array<int>, id array<long>, named array<long>, word array<string>")
+    return docs.mapInArrow(run, "gap array<int>, id array<long>")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,22 +160,11 @@ def _adjacent(gap: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(follows)
 
 
-def _group_counts(relation: DataFrame) -> DataFrame:
-    """(left, right, a) of the phrases one word longer than those of ``relation``."""
+def _pairs(relation: DataFrame, tell, schema: str) -> DataFrame:
+    """What ``tell(left, right)`` gives for the adjacent pairs of ``relation``, about ``GROUP_ROWS`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, rights, n = [], [], 0
-
-        def told() -> pa.RecordBatch:
-            left, right = np.concatenate(lefts), np.concatenate(rights)
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            new = np.ones(len(left), bool)
-            new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-            at = np.flatnonzero(new)
-            a = np.diff(np.append(at, len(left)))
-            return pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(a)], ["left", "right", "a"])
-
         for batch in batches:
             gap, ids, offsets = _flat(batch)
             at = _adjacent(gap, offsets)
@@ -180,13 +172,43 @@ def _group_counts(relation: DataFrame) -> DataFrame:
             rights.append(ids[at])
             n += len(at)
             if n >= GROUP_ROWS:
-                yield told()
+                yield tell(np.concatenate(lefts), np.concatenate(rights))
                 lefts, rights, n = [], [], 0
         if n:
-            yield told()
+            yield tell(np.concatenate(lefts), np.concatenate(rights))
+
+    return relation.select("gap", "id").mapInArrow(run, schema)
+
+
+def _group_counts(relation: DataFrame, least: int) -> DataFrame:
+    """(left, right, a) of the frequent phrases one word longer than those of ``relation``.
+
+    Most pairs are rare and would only be moved to be dropped. So pairs are first counted by 40 bits of their id; what
+    reaches ``least`` there, a pair or several that share these bits, is then counted by itself.
+    """
+
+    def buckets(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        found, a = np.unique(joined_id(left, right) >> _U(24), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(a.astype(np.int64))], ["id", "a"])
+
+    counted = _pairs(relation, buckets, "id long, a long").groupBy("id").agg(F.sum("a").alias("a"))
+    # The filter looks at bits 40 and up too, so the 40 bits are laid over the word twice.
+    spread = F.shiftleft("id", 24).bitwiseXOR(F.col("id")).alias("id")
+    likely = _filter(relation.sparkSession, cut_lineage(counted.where(F.col("a") >= least).select(spread), "buckets"))
+
+    def groups(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        bucket = joined_id(left, right) >> _U(24)
+        stay = bloom_has(likely.value, (bucket << _U(24)) ^ bucket)
+        left, right = left[stay], right[stay]
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(np.diff(np.append(at, len(left))))], ["left", "right", "a"])
 
-    rows = relation.select("gap", "id").mapInArrow(run, "left long, right long, a long")
-    return rows.groupBy("left", "right").agg(F.sum("a").alias("a"))
+    rows = _pairs(relation, groups, "left long, right long, a long")
+    return rows.groupBy("left", "right").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _extended(relation: DataFrame, kept) -> DataFrame:
@@ -227,15 +249,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text:
     read = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text")).where(F.length("text") > 0)
     words = cut_lineage(_word_counts(read), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    common = words.where(F.col("a") >= least)
-    relation = cut_lineage(_frequent_words(read, _filter(spark, common)), "occurrences-1")
-    names = relation.select(F.explode(F.arrays_zip("named", "word")).alias("z")).groupBy(F.col("z.named").alias("id")).agg(F.min("z.word").alias("phrase"))
+    common = _word_ids(words.where(F.col("a") >= least))
     none = F.array().cast("array<long>")
-    level = cut_lineage(common.join(names, "id").select("id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("heads"), none.alias("tails"),
-                                                        F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right")), "phrases-1")
+    level = cut_lineage(common.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"),
+                                      F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right")), "phrases-1")
+    relation = cut_lineage(_frequent_words(read, _filter(spark, level)), "occurrences-1")
     levels = [level]
     for k in range(2, longest + 1):
-        groups = cut_lineage(_with_id(_group_counts(relation).where(F.col("a") >= least)), f"groups-{k}")
+        groups = cut_lineage(_with_id(_group_counts(relation, least)), f"groups-{k}")
         head = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("h"), F.col("a").alias("ha"), F.col("heads").alias("hs"))
         tail = level.select(F.col("id").alias("right"), "last", F.col("a").alias("ta"), F.col("tails").alias("ts"))
         level = cut_lineage(groups.join(head, "left").join(tail, "right").select(

@@ -66,11 +66,11 @@ class Transducer:
         return out
 
 
-def within_reach(trigger: int, rewrites: dict[int, int]) -> Transducer:
-    """Rewrites symbols up to ``REACH`` symbols behind the trigger; the state is how far it still reaches."""
+def within_reach(triggers: tuple[int, ...], rewrites: dict[int, int]) -> Transducer:
+    """Rewrites symbols up to ``REACH`` symbols behind a trigger; the state is how far it still reaches."""
     t = Transducer(REACH + 1)
     t.step[:] = np.maximum(np.arange(REACH + 1) - 1, 0)[:, None]
-    t.step[:, trigger] = REACH
+    t.step[:, list(triggers)] = REACH
     for a, b in rewrites.items():
         t.tell[1:, a] = b
     return t
@@ -89,15 +89,15 @@ def reported_speech() -> Transducer:
 
 def aimed_back() -> Transducer:
     """A target near behind an insult turns that insult into an aimed one; told at the target."""
-    return within_reach(INSULT, {TARGET: AIM_BACK})
+    return within_reach((INSULT,), {TARGET: AIM_BACK})
 
 
 def grammar() -> Transducer:
     parts = [
-        within_reach(NEGATION, {INSULT: DENIED, THREAT: DENIED}),
+        within_reach((NEGATION,), {INSULT: DENIED, THREAT: DENIED}),
         reported_speech(),
         aimed_back(),
-        within_reach(TARGET, {INSULT: AIMED}),
+        within_reach((TARGET, AIM_BACK), {INSULT: AIMED}),
     ]
     machine = parts[0]
     for part in parts[1:]:
