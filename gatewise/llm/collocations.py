@@ -36,8 +36,8 @@ _GAPS[[0x09, 0x20]] = True
 
 #: Fewest and most words of a frequency filter (64 bits each): 64 kB and 32 MB.
 _FILTER_BITS = (13, 22)
-#: Occurrences that a task groups at a time.
-GROUP_ROWS = 1 << 21
+#: Occurrences that a task groups at a time, and documents of R that it opens at a time.
+GROUP_ROWS, OPEN_ROWS = 1 << 19, 256
 
 _U = np.uint64
 _LEFT, _RIGHT = _U(0x9E6C63D0876A9A47), _U(0xC2B2AE3D27D4EB4F)
@@ -95,7 +95,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         powers = _Powers(_BASE)
         for batch in batches:
             salts = _salts(batch.column(0))
-            for lo, data, offsets in slices(batch.column(1), 4 << 20):
+            for lo, data, offsets in slices(batch.column(1)):
                 ids, _, starts, ends, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
                 if not len(ids):
                     continue
@@ -135,7 +135,7 @@ def _frequent_words(docs: DataFrame, kept) -> DataFrame:
         powers = _Powers(_BASE)
         for batch in batches:
             salts = _salts(batch.column(0))
-            for lo, data, offsets in slices(batch.column(1), 4 << 20):
+            for lo, data, offsets in slices(batch.column(1)):
                 ids, place, _, _, first = occurrences(powers, data, offsets, salts[lo : lo + len(offsets) - 1])
                 stay = np.flatnonzero(bloom_has(kept.value, ids))
                 size = np.diff(np.searchsorted(stay, first))
@@ -145,12 +145,13 @@ def _frequent_words(docs: DataFrame, kept) -> DataFrame:
     return docs.mapInArrow(run, "gap array<int>, id array<long>")
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gap, id, list offsets) of a batch of R."""
-    gaps, ids = batch.column("gap"), batch.column("id")
-    size = pc.list_value_length(gaps).to_numpy(zero_copy_only=False).astype(np.int64)
-    return (gaps.flatten().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False),
-            np.concatenate([[0], np.cumsum(size)]))
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gap, id, list offsets) of a few documents of R at a time."""
+    for batch in batches:
+        for lo in range(0, len(batch), OPEN_ROWS):
+            gaps, ids = batch.column(0).slice(lo, OPEN_ROWS), batch.column(1).slice(lo, OPEN_ROWS)
+            size = pc.list_value_length(gaps).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield (gaps.flatten().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
 
 
 def _adjacent(gap: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -165,8 +166,7 @@ def _pairs(relation: DataFrame, tell, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, rights, n = [], [], 0
-        for batch in batches:
-            gap, ids, offsets = _flat(batch)
+        for gap, ids, offsets in _opened(batches):
             at = _adjacent(gap, offsets)
             lefts.append(ids[at - 1])
             rights.append(ids[at])
@@ -174,6 +174,7 @@ def _pairs(relation: DataFrame, tell, schema: str) -> DataFrame:
             if n >= GROUP_ROWS:
                 yield tell(np.concatenate(lefts), np.concatenate(rights))
                 lefts, rights, n = [], [], 0
+                pa.default_memory_pool().release_unused()
         if n:
             yield tell(np.concatenate(lefts), np.concatenate(rights))
 
@@ -215,8 +216,7 @@ def _extended(relation: DataFrame, kept) -> DataFrame:
     """R(k) from R(k-1): the adjacent pairs whose group is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap, ids, offsets = _flat(batch)
+        for gap, ids, offsets in _opened(batches):
             at = _adjacent(gap, offsets)
             made = joined_id(ids[at - 1], ids[at])
             stay = bloom_has(kept.value, made)
