@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,15 +53,16 @@ def loop_flips(states: DataFrame, chunk_s: float = DAY) -> DataFrame:
     return prev.filter(~F.col("_prev").eqNullSafe(F.col("loops"))).drop("_prev")
 
 
-def debounced_entries(states: DataFrame, debounce_s: float = 0.05, chunk_s: float = DAY) -> DataFrame:
-    """Entries: loop 0 stays engaged for the debounce; the entry time is the end of the debounce."""
+def debounced_entries(states: DataFrame, debounce_s: float = 0.05, chunk_s: float = DAY, until: datetime | None = None) -> DataFrame:
+    """Entries: loop 0 stays engaged for the debounce; the entry time is the end of the debounce.
+
+    A run still open is judged at the lane's newest row, or at ``until``, the time up to which all lanes are known."""
     wait = interval(debounce_s)
     level = states.select("lane", "ts", "seq", F.get("loops", F.lit(0)).alias("_on"))
     changed = lambda before, row: ~before["_on"].eqNullSafe(row["_on"])
     rows = islands(level, ["lane"], time_chunk(F.col("ts"), chunk_s), ["ts", "seq"], changed, ["_on"], following="ts")
     runs = rows.filter("_on").groupBy("lane", "island").agg(
-        F.max_by("next_ts", F.struct("ts", "seq")).alias("off_ts"), F.max("ts").alias("newest"))
-    # A run still open ends with the lane's newest row and is judged there.
+        F.max_by("next_ts", F.struct("ts", "seq")).alias("off_ts"), (F.max("ts") if until is None else F.lit(until).cast("timestamp_ntz")).alias("newest"))
     return runs.select("lane", F.col("island.ts").alias("engaged_ts"), (F.col("island.ts") + wait).alias("entry_ts"), "off_ts", "newest").filter(
         F.col("entry_ts") <= F.coalesce("off_ts", "newest")).drop("off_ts", "newest")
 
@@ -71,17 +74,17 @@ _PASS = T.ArrayType(T.StructType([
 ]))
 
 
-def lane_events(states: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+def lane_events(states: DataFrame, frames: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Timeline a lane machine folds: loop states, heartbeats and disconnects, and (optionally) frames."""
     kind = (
         F.when(F.col("kind") == "state", F.lit(M.STATE)).when(F.col("kind") == "disconnect", F.lit(M.DISCONNECT))
         .otherwise(F.lit(M.CLOCK))
     )
-    out = states.select("lane", "ts", "seq", kind.alias("kind"), "loops")
+    out = states.select("lane", "ts", "seq", kind.alias("kind"), "loops", *keep)
     if frames is not None:
         out = out.unionByName(frames.select(
             "lane", "ts", F.col("frame_id").alias("seq"), F.lit(M.FRAME).alias("kind"),
-            F.lit(None).cast("array<boolean>").alias("loops")))
+            F.lit(None).cast("array<boolean>").alias("loops"), *keep))
     return out
 
 
@@ -112,12 +115,19 @@ def lane_settings(lanes: DataFrame) -> DataFrame:
 
 
 def detect_passes(states: DataFrame, frames: DataFrame | None = None, debounce_s: float = 0.05, max_s: float = 30.0,
-                  max_frames: int = 2000, n_loops: int = 2, chunk_s: float = DAY, lanes: DataFrame | None = None) -> DataFrame:
-    """Passes of every lane, completed or faulted. A pass open at the end of the data is not reported.
+                  max_frames: int = 2000, n_loops: int = 2, chunk_s: float = DAY, lanes: DataFrame | None = None,
+                  until: datetime | None = None) -> DataFrame:
+    """Passes of every lane, completed or faulted. A pass open at the lane's newest row, or at ``until``, the time up
+    to which all lanes are known, is not reported.
 
     ``lanes`` (lane, and any of n_loops, debounce_s, max_s, max_frames) gives lanes settings of their own.
     """
-    events = lane_events(states, frames).withColumn("us", micros(F.col("ts")))
+    events = lane_events(states, frames)
+    if until is not None:
+        events = events.unionByName(states.select("lane").distinct().select(
+            "lane", F.lit(until).cast(states.schema["ts"].dataType).alias("ts"), F.lit(2**63 - 1).alias("seq"), F.lit(M.CLOCK).alias("kind"),
+            F.lit(None).cast("array<boolean>").alias("loops")))
+    events = events.withColumn("us", micros(F.col("ts")))
     item = F.struct(F.col("us").alias("ts"), "seq", "kind", "loops")
     folded = fold_chunks(events, ["lane"], time_chunk(F.col("ts"), chunk_s), item, M.advance_lane,
                          None if lanes is None else lane_settings(lanes), machine_config(n_loops, debounce_s, max_s, max_frames),

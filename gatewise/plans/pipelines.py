@@ -67,7 +67,7 @@ px AS (SELECT *, lane || '@' || CAST(epoch_us(entry_ts) AS VARCHAR) AS name, row
 pass_reads AS (SELECT px.pass_id, r.* EXCLUDE (pass_id) FROM px JOIN (SELECT r.*, f.lane, f.ts FROM v_plate_reads r JOIN v_frames f ON f.frame_id = r.seq) r
   ON r.lane = px.lane AND r.ts >= px.entry_ts AND r.ts <= coalesce(px.exit_clear_ts, px.entry_ts + INTERVAL 1 HOUR)),
 """
-_VOTED_PASSES = sensing.PASSES_SQL + "," + _PASS_READS + vote_queries._BEST_SQL.replace("FROM v_plate_reads", "FROM pass_reads")
+_VOTED_PASSES = sensing.passes_sql() + "," + _PASS_READS + vote_queries._BEST_SQL.replace("FROM v_plate_reads", "FROM pass_reads")
 _VIEWS = ("loop_states", "frames", "plate_reads", "registry", "controllers")
 
 

@@ -80,8 +80,8 @@ def _st3(t):
     return sensors.debounced_entries(states(t).filter("kind = 'state'"), DEBOUNCE_S)
 
 
-PASSES_SQL = """
-ev AS (SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY ts, seq) AS k, epoch_us(ts) AS ts, heartbeat, loop0, loop1 FROM v_loop_states),
+_PASSES_SQL = """
+ev AS (SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY ts, seq) AS k, epoch_us(ts) AS ts, heartbeat, loop0, loop1 FROM {rows}),
 st AS (
   SELECT DISTINCT lane, CAST(0 AS BIGINT) AS k, false AS l0, false AS l1, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS entry,
     CAST(NULL AS BIGINT) AS engage, CAST(NULL AS BIGINT) AS o_entry, CAST(NULL AS BIGINT) AS o_engage, CAST(NULL AS BIGINT) AS o_clear,
@@ -104,21 +104,28 @@ st AS (
       FROM st JOIN ev e ON e.lane = st.lane AND e.k = st.k + 1) x) y),
 passes AS (SELECT lane, make_timestamp(o_entry) AS entry_ts, make_timestamp(o_engage) AS exit_engage_ts, make_timestamp(o_clear) AS exit_clear_ts,
   make_timestamp(o_end) AS end_ts, CASE WHEN o_clear IS NOT NULL THEN 'completed' WHEN o_engage IS NOT NULL THEN 'exit_never_cleared'
-  ELSE 'exit_never_engaged' END AS outcome FROM st WHERE o_entry IS NOT NULL)""".format(
-    max=int(MAX_PASS_S * 1e6), deb=int(DEBOUNCE_S * 1e6))
+  ELSE 'exit_never_engaged' END AS outcome FROM st WHERE o_entry IS NOT NULL)
+"""
+
+
+def passes_sql(rows="v_loop_states"):
+    """Passes of the messages in ``rows``, as common table expressions."""
+    return _PASSES_SQL.format(max=int(MAX_PASS_S * 1e6), deb=int(DEBOUNCE_S * 1e6), rows=rows)
 
 
-@query("st4_detect_passes", oracle=with_views("loop_states", recursive=True, body=PASSES_SQL + """
-SELECT * FROM passes"""))
+@query("st4_detect_passes", oracle=with_views("loop_states", recursive=True, body=passes_sql() + "SELECT * FROM passes"))
 def _st4(t):
     found = sensors.detect_passes(states(t), debounce_s=DEBOUNCE_S, max_s=MAX_PASS_S, chunk_s=5 * 86_400.0)
     return found.select("lane", "entry_ts", "exit_engage_ts", "exit_clear_ts", "end_ts", "outcome")
 
 
-@query("st5_liveness", oracle=with_views("loop_states", body="""
+LIVENESS_SQL = """
 b AS (SELECT *, lag(ts) OVER (PARTITION BY lane ORDER BY ts, seq) AS p FROM v_loop_states WHERE heartbeat),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, seq) AS g FROM b)
-SELECT lane, min(ts) AS online_from, max(ts) + INTERVAL 1 HOUR AS online_until, count(*) AS n_beats FROM i GROUP BY lane, g"""))
+SELECT lane, min(ts) AS online_from, max(ts) + INTERVAL 1 HOUR AS online_until, count(*) AS n_beats FROM i GROUP BY lane, g"""
+
+
+@query("st5_liveness", oracle=with_views("loop_states", body=LIVENESS_SQL))
 def _st5(t):
     return sensors.liveness(states(t).filter("kind = 'heartbeat'"), ["lane"], ALIVE_S)
 
@@ -251,7 +258,7 @@ def _f10(t):
     return motion.coverage_check(short, 400.0, 120.0)
 
 
-STRIPS_SQL = NUMBERED_MOTION + """,
+_STRIPS_SQL = """,
 seqs AS (SELECT pass_id, list(struct_pack(no := no, dy := coalesce(dy, 0E0)) ORDER BY no) AS xs FROM m WHERE no > 0 GROUP BY pass_id),
 fold AS (SELECT pass_id, list_reduce(xs, lambda s, x: struct_pack(
     dir := CASE WHEN s.dir <> 0 THEN s.dir WHEN abs(s.pending + x.dy) < 24 THEN 0 ELSE CAST(sign(s.pending + x.dy) AS INTEGER) END,
@@ -267,6 +274,14 @@ fold AS (SELECT pass_id, list_reduce(xs, lambda s, x: struct_pack(
 strips AS (SELECT pass_id, s.no AS seq, s.n AS rows, s.up AS at_top FROM (SELECT pass_id, unnest(r.strips) AS s FROM fold) q)"""
 
 
+def strips_sql(numbered=NUMBERED_MOTION):
+    """Strips of the rows that ``numbered`` defines as m, as common table expressions."""
+    return numbered + _STRIPS_SQL
+
+
+STRIPS_SQL = strips_sql()
+
+
 @query("w6_strip_plan", oracle=with_views("motion", body=STRIPS_SQL + "\nSELECT pass_id, seq, rows, at_top FROM strips"))
 def _w6(t):
     return motion.strip_plan(numbered_motion(t))

@@ -1,6 +1,6 @@
-"""Streaming queries over the tables as bounded file streams, each compared with its batch meaning.
+"""Streaming queries over the tables as bounded streams, each compared with its batch meaning.
 
-Append-mode results hold what the final watermark has passed, so the SQL applies the same bound.
+Append-mode streams are closed at the end of their input, so their SQL reads every row.
 """
 
 from __future__ import annotations
@@ -15,48 +15,90 @@ from gatewise.plans.tables import with_views
 from gatewise.operators import decisions, registry
 from gatewise.session import scratch_path
 from gatewise.sources import readers, writers
-from gatewise.streaming import jobs, runtime
+from gatewise.streaming import jobs, late, runtime
 
-DELAY, DELAY_MS = "10 seconds", 10_000
-# Where the watermark of a fully read stream ends, in microseconds.
-MARK = "(SELECT (epoch_ms(max(ts)) - 10000) * 1000 FROM events)"
+DELAY, DELAY_S = "10 seconds", 10.0
 
 
 def _stream_view(t, name):
     return t.view(name, t.stream("events"))
 
 
-@query("st2_loop_state_stream", oracle=with_views("loop_states", body=f"""
+@query("st2_loop_state_stream", oracle=with_views("loop_states", body="""
 m AS (SELECT lane, ts, seq, CASE WHEN NOT heartbeat THEN loop0 END AS a, CASE WHEN NOT heartbeat THEN loop1 END AS b FROM v_loop_states),
 f AS (SELECT lane, ts, seq, concat(CASE WHEN coalesce(last_value(a IGNORE NULLS) OVER w, false) THEN '1' ELSE '0' END,
   CASE WHEN coalesce(last_value(b IGNORE NULLS) OVER w, false) THEN '1' ELSE '0' END) AS vector FROM m
   WINDOW w AS (PARTITION BY lane ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
-SELECT lane, seq, vector FROM f WHERE epoch_us(ts) <= {MARK}"""))
+SELECT lane, seq, vector FROM f"""))
 def _st2(t):
-    stream = jobs.loop_state_stream(sensing.messages(_stream_view(t, "loop_states")), delay=DELAY)
-    return runtime.run_available(stream, "loop-state")
-
-
-@query("st4_detect_passes_stream", oracle=with_views("loop_states", recursive=True, body=sensing.PASSES_SQL.replace(
-    "epoch_us(ts) AS ts, heartbeat, loop0, loop1 FROM v_loop_states)",
-    f"""epoch_us(ts) AS ts, heartbeat, loop0, loop1 FROM (SELECT * FROM v_loop_states WHERE epoch_us(ts) <= {MARK}
-    UNION ALL SELECT DISTINCT lane, make_timestamp({MARK}), 9223372036854775807, false, false, true FROM v_loop_states) u)""") + """
-SELECT * FROM passes"""))
+    messages = sensing.messages(_stream_view(t, "loop_states"))
+    return runtime.run_to_end(t.spark, lambda ends: jobs.loop_state_stream(messages, delay=DELAY, ends=ends), "loop-state", DELAY_S)
+
+
+@query("st3_debounced_entries_stream", oracle=with_views("loop_states", body="""
+s AS (SELECT * FROM v_loop_states WHERE NOT heartbeat),
+p AS (SELECT *, lag(loop0) OVER (PARTITION BY lane ORDER BY ts, seq) AS p0 FROM s),
+f AS (SELECT * FROM p WHERE loop0 IS DISTINCT FROM p0),
+r AS (SELECT *, lead(ts) OVER (PARTITION BY lane ORDER BY ts, seq) AS off_ts FROM f)
+SELECT lane, ts AS engaged_ts, ts + INTERVAL 60 SECOND AS entry_ts FROM r
+WHERE loop0 AND ts + INTERVAL 60 SECOND <= coalesce(off_ts, (SELECT max(ts) FROM s))"""))
+def _st3(t):
+    """Messages come in four arrivals, some behind their time; the job stops after each and goes on from its checkpoint."""
+    arrived = t.arrivals("events", F.col("ts") + F.make_dt_interval(mins=F.col("event_id") % 3 * 20), 4)
+    states = sensing.messages(t.view("loop_states", arrived.stream)).filter("kind = 'state'")
+    build = lambda ends: jobs.debounced_entries_stream(states, sensing.DEBOUNCE_S, "1 hour", ends)
+    return runtime.run_to_end(t.spark, build, "entries", 3600.0, arrivals=arrived.steps)
+
+
+LATE_S = 2 * 86_400.0
+
+
+@query("st2_late_rows_stream", oracle=with_views("loop_states", body="""
+t AS (SELECT event_id AS seq, epoch_us(ts) AS us, epoch_us(ts + to_days(CAST(event_id % 5 AS INTEGER))) AS came FROM events),
+b AS (SELECT *, least(3, (came - min(came) OVER ()) * 4 // (max(came) OVER () - min(came) OVER ())) AS arrival FROM t),
+m AS (SELECT arrival, max(us) AS newest FROM b GROUP BY arrival),
+k AS (SELECT arrival, max(newest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m),
+l AS (SELECT b.seq, coalesce(b.us <= k.mark // 1000 * 1000 - 2 * 86400000000, false) AS late FROM b JOIN k USING (arrival)),
+x AS (SELECT v.lane, v.ts, v.seq, CASE WHEN NOT heartbeat THEN loop0 END AS a, CASE WHEN NOT heartbeat THEN loop1 END AS b FROM v_loop_states v JOIN l USING (seq) WHERE NOT late),
+f AS (SELECT lane, seq, concat(CASE WHEN coalesce(last_value(a IGNORE NULLS) OVER w, false) THEN '1' ELSE '0' END,
+  CASE WHEN coalesce(last_value(b IGNORE NULLS) OVER w, false) THEN '1' ELSE '0' END) AS vector FROM x
+  WINDOW w AS (PARTITION BY lane ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+SELECT v.lane, v.seq, l.late, f.vector FROM v_loop_states v JOIN l USING (seq) LEFT JOIN f ON f.seq = v.seq"""))
+def _late(t):
+    """Every message once: accepted ones with their loop vector, late ones as rejects."""
+    path = scratch_path(t.spark, "split")
+    arrived = t.arrivals("events", F.col("ts") + F.make_dt_interval(F.col("event_id") % 5), 4)
+    messages = sensing.messages(t.view("loop_states", arrived.stream))
+
+    def split(arrive):
+        arrive()
+        run = (messages.writeStream.foreachBatch(late.split_writer(path, LATE_S)).trigger(availableNow=True)
+               .option("checkpointLocation", f"{path}/checkpoint").start())
+        run.awaitTermination()
+
+    steps = [lambda arrive=arrive: split(arrive) for arrive in arrived.steps]
+    accepted = late.accepted_stream(t.spark, path, messages.schema)
+    vectors = runtime.run_to_end(t.spark, lambda ends: jobs.loop_state_stream(accepted, delay="2 days", ends=ends), "accepted", LATE_S,
+                                 arrivals=steps, newest=lambda: late.newest(t.spark, path))
+    return vectors.select("lane", "seq", F.lit(False).alias("late"), "vector").unionByName(
+        late.rejected(t.spark, path, messages.schema).select("lane", "seq", F.lit(True).alias("late"), F.lit(None).cast("string").alias("vector")))
+
+
+@query("st4_detect_passes_stream", oracle=with_views("loop_states", recursive=True, body="""
+w_all AS (SELECT * FROM v_loop_states UNION ALL
+  SELECT DISTINCT lane, (SELECT max(ts) FROM events), 9223372036854775807, false, false, true FROM v_loop_states),"""
+    + sensing.passes_sql("w_all") + "SELECT * FROM passes"))
 def _st4(t):
-    stream = jobs.detect_passes_stream(
-        sensing.messages(_stream_view(t, "loop_states")), sensing.DEBOUNCE_S, sensing.MAX_PASS_S, delay=DELAY)
-    found = runtime.run_available(stream, "passes")
+    messages = sensing.messages(_stream_view(t, "loop_states"))
+    build = lambda ends: jobs.detect_passes_stream(messages, sensing.DEBOUNCE_S, sensing.MAX_PASS_S, delay=DELAY, ends=ends)
+    found = runtime.run_to_end(t.spark, build, "passes", DELAY_S)
     return found.select("lane", "entry_ts", "exit_engage_ts", "exit_clear_ts", "end_ts", "outcome")
 
 
-@query("st5_liveness_stream", oracle=with_views("loop_states", body=f"""
-b AS (SELECT *, lag(ts) OVER (PARTITION BY lane ORDER BY ts, seq) AS p FROM v_loop_states WHERE heartbeat),
-i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY ts, seq) AS g FROM b),
-s AS (SELECT lane, min(ts) AS online_from, max(ts) + INTERVAL 1 HOUR AS online_until, count(*) AS n_beats FROM i GROUP BY lane, g)
-SELECT * FROM s WHERE epoch_us(online_until) <= (SELECT (epoch_ms(max(ts)) - 10000) * 1000 FROM b)"""))
+@query("st5_liveness_stream", oracle=with_views("loop_states", body=sensing.LIVENESS_SQL))
 def _st5(t):
     beats = sensing.messages(_stream_view(t, "loop_states")).filter("kind = 'heartbeat'")
-    return runtime.run_available(jobs.liveness_stream(beats, ["lane"], sensing.ALIVE_S, DELAY), "liveness")
+    return runtime.run_to_end(t.spark, lambda ends: jobs.liveness_stream(beats, ["lane"], sensing.ALIVE_S, DELAY, ends), "liveness", DELAY_S, sensing.ALIVE_S)
 
 
 @query("st7_pass_frames_stream", oracle=with_views("passes", "frames", body="""
@@ -68,27 +110,26 @@ def _st7(t):
     return runtime.run_available(stream.select("pass_id", "frame_id", "camera"), "pass-frames")
 
 
-@query("st8_throttle_latest_stream", oracle=with_views("frames", body=f"""
+@query("st8_throttle_latest_stream", oracle=with_views("frames", body="""
 SELECT lane, frame_id, camera FROM (SELECT *, row_number() OVER (PARTITION BY lane, epoch_us(ts) // 3600000000 ORDER BY ts DESC, frame_id DESC) AS r
-FROM v_frames) q WHERE r = 1 AND (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= {MARK}"""))
+FROM v_frames) q WHERE r = 1"""))
 def _st8(t):
-    stream = jobs.throttle_latest_stream(_stream_view(t, "frames"), 3600.0, DELAY)
-    return runtime.run_available(stream, "throttle").select("lane", "frame_id", "camera")
+    frames = _stream_view(t, "frames")
+    found = runtime.run_to_end(t.spark, lambda ends: jobs.throttle_latest_stream(frames, 3600.0, DELAY, ends), "throttle", DELAY_S, 3600.0)
+    return found.select("lane", "frame_id", "camera")
 
 
-_MOTION_TS = "m0 AS (SELECT m.*, e.ts FROM v_motion m JOIN events e ON e.event_id = m.seq)"
-_STREAM_STRIPS = sensing.STRIPS_SQL.replace(
-    sensing.NUMBERED_MOTION,
-    _MOTION_TS + f",\nm AS (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY ts, seq) - 1 AS no FROM m0 WHERE epoch_us(ts) <= {MARK})")
+_NUMBERED_BY_TIME = """m0 AS (SELECT m.*, e.ts FROM v_motion m JOIN events e ON e.event_id = m.seq),
+m AS (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY ts, seq) - 1 AS no FROM m0)"""
 
 
-@query("st9_strip_plan_stream", oracle=with_views("motion", body=_STREAM_STRIPS + """
+@query("st9_strip_plan_stream", oracle=with_views("motion", body=sensing.strips_sql(_NUMBERED_BY_TIME) + """
 SELECT s.pass_id, m.seq, s.rows, s.at_top FROM strips s JOIN m ON m.pass_id = s.pass_id AND m.no = s.seq"""))
 def _st9(t):
     frames = t.stream("events").select(
         F.col("user_id").alias("pass_id"), F.col("event_id").alias("seq"), "ts", F.lit(1216).alias("frame_rows"),
         (F.col("value") / 10 - 1).alias("dx"), F.when(F.col("event_id") % 9 != 0, 20 - F.col("value")).alias("dy"))
-    return runtime.run_available(jobs.strip_plan_stream(frames, delay=DELAY, idle_s=90 * 86_400.0), "strips")
+    return runtime.run_to_end(t.spark, lambda ends: jobs.strip_plan_stream(frames, delay=DELAY, idle_s=90 * 86_400.0, ends=ends), "strips", DELAY_S)
 
 
 def _decided_stream(t):
@@ -132,7 +173,7 @@ def _st13(t):
 
 
 @query("snk1_append_scan_events_stream", oracle=with_views("scan_events", "registry", body=DECIDED_SQL + """
-SELECT id, lane_name, plate_text, admission FROM (SELECT *, row_number() OVER (PARTITION BY lane_name, timestamp ORDER BY id) AS r FROM decided) q WHERE r = 1"""))
+SELECT id, lane_name, plate_text, admission FROM (SELECT *, row_number() OVER (PARTITION BY lane_name, timestamp, id) AS r FROM decided) q WHERE r = 1"""))
 def _snk1(t):
     path = scratch_path(t.spark, "events-stream")
     run = (

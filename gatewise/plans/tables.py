@@ -7,7 +7,13 @@ DataFrames, the oracle inlines it as a common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatewise.session import scratch_path
 
 TABLES = ("events", "customer", "embeddings", "nation", "supplier", "lineitem")
 
@@ -116,6 +122,14 @@ VIEWS: dict[str, str] = {
 }
 
 
+@dataclass
+class Arrivals:
+    """A table that comes piece by piece: the stream of what has come, and the steps that bring the pieces."""
+
+    stream: DataFrame
+    steps: list[Callable[[], None]]
+
+
 class Tables:
     """Reads the input tables of one folder and serves the derived views."""
 
@@ -138,6 +152,16 @@ class Tables:
             .parquet(self.sf_dir)
         )
 
+    def arrivals(self, name: str, came: Column, n: int) -> Arrivals:
+        """The table as ``n`` arrivals of equal spans of the time ``came``, at which rows come."""
+        rows, folder = self.table(name), scratch_path(self.spark, f"{name}-arrivals")
+        us = F.unix_micros(came.cast("timestamp"))
+        lo, hi = rows.agg(F.min(us), F.max(us)).first()
+        place = F.least(F.lit(n - 1), F.call_function("div", (us - lo) * n, F.lit(max(hi - lo, 1))))
+        rows.limit(0).write.parquet(folder)
+        steps = [lambda k=k: rows.filter(place == k).write.mode("append").parquet(folder) for k in range(n)]
+        return Arrivals(self.spark.readStream.schema(rows.schema).parquet(folder), steps)
+
     def view(self, name: str, source: DataFrame | None = None) -> DataFrame:
         """A derived view; ``source`` replaces the stored ``events`` table (for streams)."""
         return derive(self.spark, name, source if source is not None else self.table)

@@ -8,13 +8,36 @@ from pyspark.sql import types as T
 
 from gatewise.functions import machines as M
 from gatewise.operators import motion, reports, sensors
-from gatewise.operators.ordered import micros
-from gatewise.streaming.processors import OrderedFold
+from gatewise.operators.ordered import from_micros, micros
+from gatewise.streaming.processors import DebounceTimers, OrderedFold
+
+_END = "_end_of_input"
+
+
+def clocked(rows: DataFrame, delay: str, ends: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """``rows`` under a watermark. ``ends`` (ts) are closing times: they move the watermark and go no further.
+
+    Rows with a column ``clock`` (``streaming.late``) are timed by it instead, and keep their own time.
+    """
+    clock = "clock" if "clock" in rows.columns else ts
+    timed = rows.withColumns({c: F.col(c).cast("timestamp") for c in {ts, clock}})
+    if ends is None:
+        return timed.withWatermark(clock, delay)
+    last = ends.select(F.col("ts").cast("timestamp").alias(clock), F.lit(True).alias(_END))
+    both = timed.withColumn(_END, F.lit(False)).unionByName(last, allowMissingColumns=True).withWatermark(clock, delay)
+    # The condition names the clock, so the optimizer leaves it above the watermark.
+    return both.filter(~F.col(_END) | F.col(clock).isNull()).drop(_END)
+
+
+def _timeline(states: DataFrame, delay: str, ends: DataFrame | None, frames: DataFrame | None = None) -> DataFrame:
+    """Lane events with their time in microseconds, under the watermark."""
+    keep = ("clock",) if "clock" in states.columns else ()
+    return clocked(sensors.lane_events(states, frames, keep).withColumn("us", micros(F.col("ts"))), delay, ends)
 
 
 def detect_passes_stream(states: DataFrame, debounce_s: float = 0.05, max_s: float = 30.0, max_frames: int = 2000,
                          n_loops: int = 2, delay: str = "10 seconds", frames: DataFrame | None = None,
-                         lanes: DataFrame | None = None) -> DataFrame:
+                         lanes: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Passes as they end. ``states``: lane, ts, seq, kind, loops; reordering within ``delay`` is undone.
 
     ``frames`` (lane, ts, frame_id) count towards the frame cap; ``lanes`` as in the batch form, a row for
@@ -24,8 +47,7 @@ def detect_passes_stream(states: DataFrame, debounce_s: float = 0.05, max_s: flo
     own = {}
     if lanes is not None:
         own = {r["lane"]: {k: v for k, v in r.asDict().items() if k != "lane" and v is not None} for r in sensors.lane_settings(lanes).collect()}
-    events = sensors.lane_events(states, frames).withColumn("us", micros(F.col("ts"))).withColumn(
-        "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    events = _timeline(states, delay, ends, frames)
     schema = T.StructType([states.schema["lane"], *sensors._PASS.elementType.fields])
     fold = OrderedFold("lane", M.advance_lane, config, ("kind", "loops"), schema.names, clock=True, own=own)
     folded = events.groupBy("lane").transformWithStateInPandas(fold, schema, "Append", "EventTime")
@@ -43,21 +65,32 @@ def _last_levels(state, rows, cfg):
     return out, {"levels": levels}
 
 
-def loop_state_stream(messages: DataFrame, n_loops: int = 2, delay: str = "10 seconds") -> DataFrame:
+def loop_state_stream(messages: DataFrame, n_loops: int = 2, delay: str = "10 seconds", ends: DataFrame | None = None) -> DataFrame:
     """Known loop vector (as text) after each message, in event order per lane."""
-    events = sensors.lane_events(messages).withColumn("us", micros(F.col("ts"))).withColumn(
-        "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    events = _timeline(messages, delay, ends)
     schema = T.StructType([messages.schema["lane"], T.StructField("seq", T.LongType()), T.StructField("vector", T.StringType())])
     fold = OrderedFold("lane", _last_levels, {"n_loops": n_loops}, ("kind", "loops"), schema.names, clock=False)
     return events.groupBy("lane").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
-def strip_plan_stream(frames: DataFrame, direction: str = "auto", delay: str = "10 seconds", idle_s: float = 3600.0) -> DataFrame:
+def debounced_entries_stream(states: DataFrame, debounce_s: float = 0.05, delay: str = "10 seconds", ends: DataFrame | None = None) -> DataFrame:
+    """Entries as their debounce ends: (lane, engaged_ts, entry_ts). ``states``: lane, ts, seq, loops; without a level of
+    loop 0 a row counts as released. An entry is told when the watermark reaches it, also if no further row comes.
+    """
+    keep = ("clock",) if "clock" in states.columns else ()
+    level = states.select("lane", "ts", "seq", F.get("loops", F.lit(0)).alias("on"), micros(F.col("ts")).alias("us"), *keep)
+    schema = T.StructType([states.schema["lane"], T.StructField("engaged", T.LongType())])
+    timers = DebounceTimers("lane", round(debounce_s * 1e6))
+    found = clocked(level, delay, ends).groupBy("lane").transformWithStateInPandas(timers, schema, "Append", "EventTime")
+    engaged = from_micros(F.col("engaged"))
+    return found.select("lane", engaged.alias("engaged_ts"), (engaged + sensors.interval(debounce_s)).alias("entry_ts"))
+
+
+def strip_plan_stream(frames: DataFrame, direction: str = "auto", delay: str = "10 seconds", idle_s: float = 3600.0,
+                      ends: DataFrame | None = None) -> DataFrame:
     """Strips as frames arrive. ``frames``: pass_id, seq, ts, frame_rows, dx, dy. A pass silent for
     ``idle_s`` has ended, and its state goes."""
-    events = frames.withColumn("us", micros(F.col("ts"))).withColumn(
-        "dy", F.when(F.col("dx").isNotNull(), F.col("dy"))).withColumn(
-        "ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    events = clocked(frames.withColumn("us", micros(F.col("ts"))).withColumn("dy", F.when(F.col("dx").isNotNull(), F.col("dy"))), delay, ends)
     schema = T.StructType([
         frames.schema["pass_id"], T.StructField("seq", T.LongType()), T.StructField("rows", T.IntegerType()), T.StructField("at_top", T.BooleanType())])
     fold = OrderedFold("pass_id", M.fold_strips, {"direction": motion.DIRECTIONS[direction]},
@@ -65,9 +98,9 @@ def strip_plan_stream(frames: DataFrame, direction: str = "auto", delay: str = "
     return events.groupBy("pass_id").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
-def liveness_stream(beats: DataFrame, keys: list[str], timeout_s: float, delay: str = "10 seconds") -> DataFrame:
+def liveness_stream(beats: DataFrame, keys: list[str], timeout_s: float, delay: str = "10 seconds", ends: DataFrame | None = None) -> DataFrame:
     """Closed online intervals: a device's beats form a session that ends a timeout after the last one."""
-    timed = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = clocked(beats, delay, ends)
     # Sessions that touch are merged, so they end a microsecond short of the timeout.
     session = F.session_window("ts", f"{int(timeout_s * 1_000_000) - 1} microseconds")
     return timed.groupBy(*keys, session).agg(F.count("*").alias("n_beats")).select(
@@ -96,9 +129,9 @@ def pass_frames_stream(passes: DataFrame, frames: DataFrame, max_s: float = 30.0
     return p.join(f, within).drop("pass_lane", "pass_bucket", "bucket")
 
 
-def throttle_latest_stream(frames: DataFrame, every_s: float = 0.15, delay: str = "10 seconds") -> DataFrame:
+def throttle_latest_stream(frames: DataFrame, every_s: float = 0.15, delay: str = "10 seconds", ends: DataFrame | None = None) -> DataFrame:
     """Newest frame per lane and closed interval."""
-    timed = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timed = clocked(frames, delay, ends)
     slot = F.window("ts", f"{int(every_s * 1000)} milliseconds")
     keep = [c for c in frames.columns if c not in ("lane", "ts")]
     return timed.groupBy("lane", slot).agg(F.max_by(F.struct(*keep, "ts"), F.struct("ts", "frame_id")).alias("f")).select(

@@ -11,6 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gatewise.functions import machines as M
 
 
+def set_timer(handle: StatefulProcessorHandle, at_us: int | None, timer_values) -> None:
+    """Leave the key one timer, for the next thing due, or none. Rounded up to the millisecond."""
+    at = None if at_us is None else max(-(-at_us // 1000), timer_values.getCurrentWatermarkInMs() + 1)
+    armed = {t if isinstance(t, int) else int(t[0]) for t in handle.listTimers()}
+    for old in armed - {at}:
+        handle.deleteTimer(old)
+    if at is not None and at not in armed:
+        handle.registerTimer(at)
+
+
 class OrderedFold(StatefulProcessor):
     """Folds a key's rows by (ts, seq) with a step function of ``gatewise.functions.machines``.
 
@@ -83,9 +93,7 @@ class OrderedFold(StatefulProcessor):
                 self.machine.clear()
             else:
                 wake.append(last + self.idle_us)
-        if wake:
-            # One timer for the next thing due, rounded up to the millisecond.
-            self.handle.registerTimer(max(-(-min(wake) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        set_timer(self.handle, min(wake) if wake else None, timerValues)
         if out:
             pdf = pd.DataFrame(out)
             pdf.insert(0, self.key, key[0])
@@ -93,3 +101,55 @@ class OrderedFold(StatefulProcessor):
                 if c not in pdf:
                     pdf[c] = None
             yield pdf[self.columns].astype(object)
+
+
+class DebounceTimers(StatefulProcessor):
+    """One event-time timer per lane: armed when loop 0 engages, cancelled when it releases before the debounce is over.
+
+    Input columns: the lane, ``us``, ``seq`` and ``on``. Rows wait until the watermark passes them and are then
+    read in order; a timer that ran out before a row counts before it. State is the rows not yet passed, the present
+    level and the time of the engagement that armed the timer.
+    """
+
+    def __init__(self, key: str, wait_us: int):
+        self.key, self.wait_us = key, wait_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "level boolean, armed long")
+        self.held = handle.getListState("held", "us long, seq long, level boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [(int(us), int(seq), on is True or on == 1) for pdf in rows for us, seq, on in pdf[["us", "seq", "on"]].itertuples(index=False)]
+        if fresh:
+            self.held.appendList(fresh)
+        yield from self._pass(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._pass(key, timerValues)
+
+    def _pass(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.held.get())
+        due = [r for r in waiting if r[0] <= passed]
+        left = waiting[len(due):]
+        on, armed = self.level.get() if self.level.exists() else (False, None)
+        entries = []
+        for us, _, level in [*due, (passed, 0, None)]:
+            if armed is not None and armed + self.wait_us <= us:
+                entries.append(armed)
+                armed = None
+            if level is None:  # the watermark itself
+                break
+            if level != on:
+                on, armed = level, us if level else None
+        self.level.update((on, armed))
+        if due:
+            if left:
+                self.held.put(left)
+            else:
+                self.held.clear()
+        wake = [r[0] for r in left[:1]] + ([armed + self.wait_us] if armed is not None else [])
+        set_timer(self.handle, min(wake) if wake else None, timerValues)
+        if entries:
+            yield pd.DataFrame({self.key: [key[0]] * len(entries), "engaged": entries}).astype(object)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,43 @@ def run_available(stream: DataFrame, name: str, checkpoint: str | None = None, o
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_to_end(spark: SparkSession, build: Callable[[DataFrame], DataFrame], name: str, delay_s: float, past_s: float = 0.0,
+               arrivals: Iterable[Callable[[], None]] = (lambda: None,), checkpoint: str | None = None, out: str | None = None,
+               newest: Callable[[], datetime | None] | None = None) -> DataFrame:
+    """Process everything available, then close the input, so that nothing stays behind the watermark.
+
+    ``build(ends)`` makes the stream and hands ``ends``, a stream of closing times, to ``jobs.clocked``. Every step of
+    ``arrivals`` brings more input and is followed by a run that goes on from the checkpoint. When all is read, one
+    closing time moves the watermark to the end of the largest event time's millisecond, or ``past_s`` beyond it, and all
+    timers up to there go off. ``newest`` tells the largest event time where the watermark follows another clock.
+    """
+    folder, checkpoint, out = scratch_path(spark, f"{name}-ends"), checkpoint or scratch_path(spark, f"{name}-checkpoint"), out or scratch_path(spark, name)
+    spark.createDataFrame([], "ts timestamp").write.parquet(folder)
+    ends = spark.readStream.schema("ts timestamp").parquet(folder)
+    mark = None
+    for arrive in arrivals:
+        arrive()
+        stream = build(ends)
+        mark = _available(stream, checkpoint, out) or mark
+    largest = newest() if newest else mark and mark + timedelta(seconds=delay_s)
+    if largest is not None:
+        last = largest + timedelta(seconds=delay_s + past_s, milliseconds=1)
+        spark.createDataFrame([(last,)], "ts timestamp").write.mode("append").parquet(folder)
+        _available(stream, checkpoint, out)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _available(stream: DataFrame, checkpoint: str, out: str) -> datetime | None:
+    """One run over what is there; the watermark it leaves, none before the first row."""
+    with rocksdb_state(stream.sparkSession):
+        run = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+               .outputMode("append").trigger(availableNow=True).start())
+        run.awaitTermination()
+    marks = [p["eventTime"]["watermark"] for p in run.recentProgress if "watermark" in p["eventTime"]]
+    mark = max((datetime.fromisoformat(m) for m in marks), default=None)
+    return mark if mark and mark.timestamp() > 0 else None
+
+
 def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer for update-mode results: each epoch is one partition, overwritten on
     replay, so a repeated batch leaves the same table."""

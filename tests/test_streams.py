@@ -1,12 +1,13 @@
 """Streams against their batch twins under reordering, small batches and restarts."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gatewise.operators import reports, sensors
-from gatewise.streaming import jobs, runtime
+from gatewise.streaming import jobs, late, runtime
 
 SCHEMA = "lane string, ts timestamp_ntz, seq long, kind string, loops array<boolean>"
 
@@ -89,3 +90,75 @@ def test_newest_events_view(spark, tmp_path):
         write(df.filter(F.col("id") % 4 == epoch), epoch)  # replay
     view = spark.read.parquet(str(tmp_path / "view" / "v3"))
     assert sorted(view.collect()) == sorted(reports.recent_events(df, 10).collect())
+
+
+def entries(df):
+    return sorted((tuple(r) for r in df.select("lane", "engaged_ts", "entry_ts").collect()), key=repr)
+
+
+def step_by_step(spark, df, path, n=4, jitter=3):
+    """Arrivals of ``df`` a few places out of order, and the stream over what has come."""
+    rng = random.Random(7)
+    rows = [r for _, r in sorted((i + rng.uniform(0, jitter), r) for i, r in enumerate(df.orderBy("ts", "seq").collect()))]
+    size = -(-len(rows) // n)
+    spark.createDataFrame([], df.schema).write.parquet(path)
+    bring = lambda k: spark.createDataFrame(rows[k * size:(k + 1) * size], df.schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path), [lambda k=k: bring(k) for k in range(n)]
+
+
+def test_debounce_timers_are_armed_and_cancelled(spark, messages, tmp_path):
+    states = messages.filter("kind = 'state'")
+    newest = states.agg({"ts": "max"}).first()[0]
+    # The last lane's engagement has no later row of its own: only the timer can tell it.
+    alone = spark.createDataFrame([("alone", newest - datetime.timedelta(seconds=5), 10**6, "state", [True, False]),
+                                   (None, newest - datetime.timedelta(seconds=4), 10**6 + 1, "state", [True, None]),
+                                   ("gone", newest - datetime.timedelta(seconds=4), 10**6 + 2, "state", [True, False]),
+                                   ("gone", newest - datetime.timedelta(seconds=3), 10**6 + 3, "state", [None, True])], states.schema)
+    states = states.unionByName(alone)
+    stream, steps = step_by_step(spark, states, str(tmp_path / "in"))
+    got = entries(runtime.run_to_end(spark, lambda ends: jobs.debounced_entries_stream(stream, 2.0, "100 seconds", ends), "entries", 100.0, arrivals=steps))
+    want = entries(sensors.debounced_entries(states, 2.0, chunk_s=600.0, until=newest))
+    assert got == want and {"alone", "hot"} <= {r[0] for r in got} and "gone" not in {r[0] for r in got}
+    assert entries(sensors.debounced_entries(states, 2.0)) != want
+
+
+def test_closed_streams_equal_their_batch_twins(spark, messages, tmp_path):
+    newest = messages.agg({"ts": "max"}).first()[0]
+    stream, steps = step_by_step(spark, messages, str(tmp_path / "a"))
+    got = runtime.run_to_end(spark, lambda ends: jobs.loop_state_stream(stream, delay="100 seconds", ends=ends), "levels", 100.0, arrivals=steps)
+    want = sensors.loop_state(messages).select("lane", "seq", F.concat_ws("", F.transform("loops", lambda b: F.when(b, "1").otherwise("0"))).alias("vector"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    stream, steps = step_by_step(spark, messages, str(tmp_path / "b"))
+    got = runtime.run_to_end(spark, lambda ends: jobs.detect_passes_stream(stream, max_s=30.0, delay="100 seconds", ends=ends), "passes", 100.0, arrivals=steps)
+    assert passes(got) == passes(sensors.detect_passes(messages, max_s=30.0, chunk_s=600.0, until=newest))
+    beats = messages.filter("kind = 'heartbeat'")
+    stream, steps = step_by_step(spark, beats, str(tmp_path / "c"))
+    got = runtime.run_to_end(spark, lambda ends: jobs.liveness_stream(stream, ["lane"], 60.0, "100 seconds", ends), "alive", 100.0, 60.0, arrivals=steps)
+    want = sensors.liveness(beats, ["lane"], 60.0)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_closing_an_empty_stream(spark, messages, tmp_path):
+    stream, steps = step_by_step(spark, messages.limit(0), str(tmp_path / "in"), 2)
+    got = runtime.run_to_end(spark, lambda ends: jobs.loop_state_stream(stream, ends=ends), "levels", 10.0, arrivals=steps)
+    assert got.count() == 0
+
+
+def test_late_rows_are_split_off_and_replay_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "split")
+    at = lambda *s: spark.createDataFrame([(i, None if x is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=x)) for i, x in s],
+                                          "seq long, ts timestamp_ntz")
+    write = late.split_writer(path, 10.0)
+    batches = [at((1, 100), (2, 5)), at((3, 90), (4, 91), (5, None), (6, 200)), at(), at((7, 190), (8, 190.001), (9, 20), (10, 900))]
+    for epoch, batch in enumerate(batches):
+        write(batch, epoch)
+        write(batch, epoch)
+    schema = batches[0].schema
+    stored = spark.read.parquet(f"{path}/rows")
+    assert sorted(r["seq"] for r in stored.filter("NOT late").collect()) == [1, 2, 4, 5, 6, 8, 10]
+    assert sorted(r["seq"] for r in late.rejected(spark, path, schema).collect()) == [3, 7, 9]
+    # A job timed by the clock takes every accepted row, however they come.
+    stream = late.accepted_stream(spark, path, schema).select(F.lit("x").alias("lane"), "ts", "seq", F.lit("state").alias("kind"), F.array(F.lit(True)).alias("loops"), "clock")
+    got = runtime.run_to_end(spark, lambda ends: jobs.loop_state_stream(stream.filter("ts IS NOT NULL"), 1, "10 seconds", ends), "levels", 10.0,
+                             newest=lambda: late.newest(spark, path))
+    assert sorted(r["seq"] for r in got.collect()) == [1, 2, 4, 6, 8, 10]
