@@ -200,16 +200,10 @@ def _group_counts(relation: DataFrame, least: int) -> DataFrame:
     def groups(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
         bucket = joined_id(left, right) >> _U(24)
         stay = bloom_has(likely.value, (bucket << _U(24)) ^ bucket)
-        left, right = left[stay], right[stay]
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        new = np.ones(len(left), bool)
-        new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-        at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(np.diff(np.append(at, len(left))))], ["left", "right", "a"])
-
-    rows = _pairs(relation, groups, "left long, right long, a long")
-    return rows.groupBy("left", "right").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+        return pa.RecordBatch.from_arrays([pa.array(left[stay]), pa.array(right[stay])], ["left", "right"])
+
+    rows = _pairs(relation, groups, "left long, right long")  # Spark combines them in each task
+    return rows.groupBy("left", "right").agg(F.count("*").alias("a")).where(F.col("a") >= least)
 
 
 def _extended(relation: DataFrame, kept) -> DataFrame:
