@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatewise.operators import metric
 from gatewise.session import cut_lineage
 
 # Least crop that can be read, and the aspect ranges of one- and two-line plates.
@@ -121,8 +122,8 @@ def suppress_boxes(boxes: DataFrame, threshold: float = 0.45, group: str = "imag
     rows for any threshold from 0 to below 1.
     """
     rect = ["x", "y", "w", "h"]
-    solid = boxes.filter("w > 0 AND h > 0")
-    flat = boxes.filter("w <= 0 OR h <= 0")  # overlaps nothing, so it always stays
+    has_area = F.coalesce((F.col("w") > 0) & (F.col("h") > 0) & F.col("x").isNotNull() & F.col("y").isNotNull(), F.lit(False))
+    solid, flat = boxes.filter(has_area), boxes.filter(~has_area)  # what has no area overlaps nothing, so it always stays
     rest = [c for c in boxes.columns if c not in (group, *rect)]
     best = (
         solid.groupBy(group, *rect)
@@ -211,48 +212,32 @@ def sample_bank(patches: DataFrame, n: int = BANK_VECTORS, seed: int = 42, keys:
     return patches.join(F.broadcast(chosen), list(keys), "left_semi")  # at most n key rows
 
 
-def nearest_bank_distance(patches: DataFrame, bank: DataFrame, block_bytes: int = 64 << 20) -> DataFrame:
+def nearest_bank_distance(patches: DataFrame, bank: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """Adds ``distance``: least Euclidean distance of a patch to any bank vector.
 
-    The bank meets the patches in blocks of at most about ``block_bytes``, each broadcast; a sampled
-    bank (``sample_bank``) is one block, and then patches stream through blocked matrix products without
-    a shuffle. Rows of several blocks combine by a row number that is drawn once, so equal patches stay
-    apart and equal bank vectors spread over the blocks.
+    A bank of at most ``block_bytes``, such as a sampled one (``sample_bank``), is broadcast, and patches stream through
+    matrix products without a shuffle. A larger one is partitioned (``metric.partitioned_distance``). Vectors that are null,
+    empty or hold null or non-finite components take no part: such a patch has no distance, such a bank row
+    is no neighbour. A bank without a usable vector is an error.
     """
     spark = patches.sparkSession
-    shape = bank.agg(F.count("*").alias("n"), F.max(F.size("feat")).alias("dim")).first()
+    known = bank.select(F.col("feat").cast("array<double>").alias("feat")).filter(metric.usable(F.col("feat")))
+    shape = known.agg(F.count("*").alias("n"), F.max(F.size("feat")).alias("dim")).first()
     if not shape["n"]:
         raise ValueError("bank is empty")
-    blocks = -(-shape["n"] * shape["dim"] * 8 // block_bytes)
-
-    def scored(part: DataFrame, rows: DataFrame) -> DataFrame | None:
-        table = part.select(F.col("feat").cast("array<double>").alias("feat")).toArrow()  # about block_bytes
-        if not table.num_rows:
-            return None
-        shared = spark.sparkContext.broadcast(np.array(table.column("feat").to_pylist()))
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = shared.value
-            known_sq = (known * known).sum(axis=1)
-            for pdf in batches:
-                out = np.empty(len(pdf))
-                for at in range(0, len(pdf), 1024):
-                    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["feat"].iloc[at:at + 1024]])
-                    near = known_sq[None, :] - 2.0 * (x @ known.T)
-                    # The product only ranks; the distance itself is taken directly, without cancellation.
-                    best = known[near.argmin(axis=1)]
-                    out[at:at + len(x)] = np.sqrt(((x - best) ** 2).sum(axis=1))
-                yield pdf.assign(distance=out)
-
-        return rows.mapInPandas(nearest, T.StructType([*rows.schema.fields, T.StructField("distance", T.DoubleType())]))
-
-    if blocks <= 1:
-        return scored(bank, patches)
-    split = bank.select("feat", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(blocks))).alias("_k"))
-    split, rows = cut_lineage(split, "bank"), cut_lineage(patches.withColumn("_row", F.monotonically_increasing_id()), "patches")
-    parts = [scored(split.filter(F.col("_k") == k), rows) for k in range(int(blocks))]
-    parts = functools.reduce(DataFrame.unionByName, [part.select("_row", "distance") for part in parts if part is not None])
-    return rows.join(parts.groupBy("_row").agg(F.min("distance").alias("distance")), "_row").select(*patches.columns, "distance")
+    if shape["n"] * shape["dim"] * 8 > block_bytes:
+        return metric.partitioned_distance(patches, known)
+    shared = spark.sparkContext.broadcast(np.array(known.toArrow()["feat"].to_pylist()))  # at most block_bytes
+
+    def nearest(feat: pa.Array, ok: pa.Array) -> pa.Array:
+        out, at = np.full(len(feat), np.nan), np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+        if len(at):
+            out[at] = metric.nearest_rows(metric.stacked(feat.take(pa.array(at)), shared.value.shape[1]), shared.value)
+        return pa.array(out, mask=np.isin(np.arange(len(feat)), at, invert=True))
+
+    nearest.__annotations__ = {"feat": pa.Array, "ok": pa.Array, "return": pa.Array}
+    feat = F.col("feat").cast("array<double>")
+    return patches.withColumn("distance", F.arrow_udf(nearest, "double")(feat, metric.usable(feat)))
 
 
 def image_anomaly(patch_dist: DataFrame, threshold: float = 3.0) -> DataFrame:

@@ -124,6 +124,15 @@ def _j5(t):
     return distances(t).select("image_id", "cell", F.round("distance", 6).alias("distance"))
 
 
+@query("j5_whole_bank_distance", oracle=with_views("patches", body=_DIST_SQL + """
+SELECT image_id, cell, round(distance, 6) AS distance FROM d"""))
+def _j5_whole(t):
+    """Against every clean patch, by balls, as a bank beyond one executor's memory is met."""
+    patches = t.view("patches")
+    found = evidence.nearest_bank_distance(patches, patches.filter("label = 0"), block_bytes=0)
+    return found.select("image_id", "cell", F.round("distance", 6).alias("distance"))
+
+
 @query("s4_sample_bank", oracle=with_views("patches", body="""
 SELECT image_id, cell FROM v_patches WHERE label = 0"""))
 def _s4(t):
