@@ -97,8 +97,9 @@ def _meet(asked: DataFrame, members: DataFrame, rows: dict[int, int], block: int
     wanted = {r["ball"]: r["n"] for r in asked.groupBy("ball").agg(F.count("*").alias("n")).collect()}  # MAX_PIVOTS rows
     mine, theirs = _parts(wanted, block), _parts(rows, block)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = asked.withColumn("p", F.pmod(F.xxhash64("row"), mine)).withColumn("b", every(theirs))
-    right = members.filter(F.col("ball").isin(list(wanted))).withColumn("b", F.pmod(F.xxhash64("feat"), theirs)).withColumn("p", every(mine))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")  # noqa: E731  (keys of both sides need one type)
+    left = asked.withColumn("p", dealt("row", mine)).withColumn("b", every(theirs))
+    right = members.filter(F.col("ball").isin(list(wanted))).withColumn("b", dealt("feat", theirs)).withColumn("p", every(mine))
 
     def least(patches: pa.Table, bank: pa.Table) -> pa.Table:
         if not len(patches) or not len(bank):

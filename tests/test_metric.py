@@ -32,8 +32,16 @@ def clusters(rng, n, dim=6, centres=12, spread=0.05):
     return at[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * spread
 
 
+@pytest.fixture()
+def many_partitions(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("n_bank,block", [(60, 8), (900, 40)])
-def test_partitioned_distance_equals_all_pairs(spark, n_bank, block):
+def test_partitioned_distance_equals_all_pairs(spark, many_partitions, n_bank, block):
     rng = np.random.default_rng(n_bank)
     bank = [*clusters(rng, n_bank).tolist(), *[[0.5] * 6] * 50]
     patches = [*clusters(rng, 150).tolist(), *rng.normal(size=(40, 6)).tolist(), bank[3], bank[3], [0.5] * 6]
