@@ -7,6 +7,7 @@ character, so splitting bytes and splitting characters agree.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,21 @@ def keep_columns(df: DataFrame, **renamed: str) -> DataFrame:
     return df.select(*[df[c].alias(n) for n, c in renamed.items()])
 
 
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of whole texts hold this many rows at most: their buffers lie outside the JVM's heap, and several
+    operators in a row leave little room beside it. The session's own choice is restored, and a smaller one stays."""
+    before = int(spark.conf.get(_BATCH_KEY))
+    spark.conf.set(_BATCH_KEY, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, str(before))
+
+
 # ---- word hashing ---------------------------------------------------------------------------------
 
 _U = np.uint64
