@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise.llm import mixing, ngram_join, packing, quality, substring
-from gatewise.llm.common import table
+from gatewise.llm.common import small_batches, table
 from gatewise.session import cut_lineage
 
 
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut_lineage(docs, f"pipeline-{name}")
+    with small_batches(spark):  # packing, too, reads texts while it is built
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = cut_lineage(docs, f"pipeline-{name}")
     return docs
