@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewise.session import scratch_path
+from gatewise.streaming.keyed import KeyedTable
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -83,40 +84,17 @@ def _available(stream: DataFrame, checkpoint: str, out: str) -> datetime | None:
     return mark if mark and mark.timestamp() > 0 else None
 
 
-def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer for update-mode results: each epoch is one partition, overwritten on
-    replay, so a repeated batch leaves the same table."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        (
-            batch.withColumn("epoch", F.lit(epoch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch")
-            .parquet(path)
-        )
-
-    return write
-
-
-def latest_version(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Present value per key of a versioned table."""
-    stored = spark.read.parquet(path)
-    keep = [c for c in stored.columns if c not in (*keys, "epoch")]
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*keep), F.col("epoch")).alias("v")).select(*keys, "v.*")
-
-
 def run_updates(stream: DataFrame, name: str, keys: list[str], checkpoint: str | None = None) -> DataFrame:
     """Process everything available in update mode and return the present value per key."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    table = KeyedTable(spark, scratch_path(spark, name), keys)
     with rocksdb_state(spark):
         run = (
-            stream.writeStream.foreachBatch(versioned_sink(path))
+            stream.writeStream.foreachBatch(table.write)
             .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint"))
             .outputMode("update")
             .trigger(availableNow=True)
             .start()
         )
         run.awaitTermination()
-    return latest_version(spark, path, keys)
+    return table.read()

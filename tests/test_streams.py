@@ -1,6 +1,7 @@
 """Streams against their batch twins under reordering, small batches and restarts."""
 
 import datetime
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewise.operators import reports, sensors
 from gatewise.streaming import jobs, late, runtime
+from gatewise.streaming.keyed import KeyedTable
 
 SCHEMA = "lane string, ts timestamp_ntz, seq long, kind string, loops array<boolean>"
 
@@ -162,3 +164,29 @@ def test_late_rows_are_split_off_and_replay_changes_nothing(spark, tmp_path):
     got = runtime.run_to_end(spark, lambda ends: jobs.loop_state_stream(stream.filter("ts IS NOT NULL"), 1, "10 seconds", ends), "levels", 10.0,
                              newest=lambda: late.newest(spark, path))
     assert sorted(r["seq"] for r in got.collect()) == [1, 2, 4, 6, 8, 10]
+
+
+def test_keyed_table_stays_small_and_replays(spark, tmp_path):
+    path = str(tmp_path / "table")
+    table = KeyedTable(spark, path, ["k"], compact_after=4)
+    want, sizes = {}, []
+    for epoch in range(50):
+        rows = [(None if k == 0 else k, epoch * 10 + k, None if k == 3 else "x") for k in range(8) if (k + epoch) % 3 == 0]
+        batch = spark.createDataFrame(rows, "k long, v long, note string").coalesce(1)
+        table.write(batch, epoch)
+        if epoch % 7 == 0:
+            table.write(batch, epoch)  # a replay
+        want |= {k: (v, note) for k, v, note in rows}
+        sizes.append(sum(len(files) for _, _, files in os.walk(path)))
+        if epoch in (3, 4, 5, 49):
+            got = {r["k"]: (r["v"], r["note"]) for r in KeyedTable(spark, path, ["k"]).read().collect()}
+            assert got == want
+    assert max(sizes[25:]) <= max(sizes[:25]) <= 60
+
+
+def test_keyed_table_of_an_empty_epoch(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "table"), ["k"])
+    table.write(spark.createDataFrame([], "k long, v long"), 0)
+    assert table.read().count() == 0
+    table.write(spark.createDataFrame([(1, 2), (1, 5)], "k long, v long"), 1)
+    assert [tuple(r) for r in table.read().collect()] == [(1, 5)]
