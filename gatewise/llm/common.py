@@ -6,6 +6,7 @@ character, so splitting bytes and splitting characters agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -161,7 +162,20 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
             hi = min(hi, len(part))
             yield base + lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
+    give_back()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library frees by its own rules
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on and would hold it through the stages that follow."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def list_array(values: np.ndarray, lengths) -> pa.Array:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatewise.llm.common import query, table
+from gatewise.llm.common import give_back, query, table
 from gatewise.llm.tokens import PieceEncoder, default_tokenizer
 from gatewise.session import cut_lineage
 
@@ -72,6 +72,8 @@ def tokenized_pieces(docs: DataFrame, text: str, id: str, tokenizer: str, capaci
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), *numbers, pa.array(classes, pa.int32())],
                 ["id", "start", "length", "ids_crc32", "doc_tokens", "class"])
+        del encoder
+        give_back()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewise.llm.common import query, table
+from gatewise.llm.common import give_back, query, table
 
 #: Bytes of new pieces that one call of the tokenizer gets.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Characters of text whose pieces are looked up together, and pieces a task remembers.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 19
 MEMORY_PIECES = 300_000
 
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
@@ -128,6 +128,8 @@ def token_counts(docs: DataFrame, limit: int = 512, text: str = "text", id: str
             texts = batch.column(1).to_pylist()
             lengths = [len(ids) // 4 for ids in encoder.encode([t or "" for t in texts])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lengths, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        del encoder
+        give_back()
 
     read = docs.select(docs[id].alias("id"), docs[text].alias("text"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema[id].dataType.simpleString()
