@@ -165,17 +165,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
     give_back()
 
 
-try:
-    _trim = ctypes.CDLL("libc.so.6").malloc_trim
-except (OSError, AttributeError):  # another C library frees by its own rules
-    _trim = None
-
-
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on and would hold it through the stages that follow."""
     pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees by its own rules
+        pass
 
 
 def list_array(values: np.ndarray, lengths) -> pa.Array:
