@@ -60,8 +60,10 @@ def strip_plan(motion: DataFrame, direction: str = "auto", group: str = "pass_id
 
     A pass holds at most its frame cap, so its motion is one ordered array, folded by column expressions.
     The first frame only serves as reference. ``go`` is the travel direction, 0 until net motion locks
-    it; ``due`` are the rows still owed, whole ones of which join the image, half a frame at most at a time.
+    it; ``due`` are the rows still owed, whole ones of which join the image, half a frame at most at a time. A row
+    without ``seq`` has no place in its pass and takes no part; a frame without motion has moved by nothing.
     """
+    motion = motion.filter(F.col("seq").isNotNull())
     moved = F.when(F.col("dx").isNotNull() & F.col("dy").isNotNull() & ~F.isnan("dy"), F.col("dy").cast("double")).otherwise(F.lit(0.0))
     frame = F.struct(F.col("seq").cast("long").alias("seq"), F.col("frame_rows").cast("int").alias("frame_rows"), moved.alias("dy"))
     packed = motion.groupBy(group).agg(F.array_sort(F.collect_list(frame)).alias("_f"))

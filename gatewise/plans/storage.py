@@ -11,7 +11,7 @@ from gatewise.plans import voting as vote_queries
 from gatewise.plans.registry import query
 from gatewise.plans.tables import with_views
 from gatewise.session import scratch_path
-from gatewise.sources import readers, writers
+from gatewise.sources import named_files, readers, writers
 from gatewise.streaming import runtime
 
 
@@ -50,6 +50,45 @@ def _src4(t):
     return readers.read_eval_tsv(t.spark, path, header=False)
 
 
+def _store_files(t, name, content, root):
+    """One file for each event, under a name made from it."""
+    named_files.register(t.spark)
+    files = t.table("events").select(name.alias("name"), content.cast("binary").alias("content"))
+    files.write.format("named_files").option("path", root).mode("append").save()
+
+
+_ENDING = "CASE event_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpg' WHEN 4 THEN '.jpeg' ELSE '.png' END"
+
+
+@query("src5_list_images", oracle=f"""
+SELECT concat(event_type, '_', event_id, {_ENDING}) AS filename, CAST(user_id % 23 AS BIGINT) AS length
+FROM events WHERE event_id % 7 <> 3 AND event_id % 6 NOT IN (2, 4)""")
+def _src5(t):
+    """Images of one folder among other files and a folder below."""
+    root = scratch_path(t.spark, "images")
+    name = F.concat_ws("_", "event_type", F.concat(F.col("event_id").cast("string"), F.expr(_ENDING)))
+    nested = F.when(F.col("event_id") % 7 == 3, F.concat(F.lit("below/"), name)).otherwise(name)
+    _store_files(t, nested, F.repeat(F.lit("x"), (F.col("user_id") % 23).cast("int")), root)
+    return readers.list_images(t.spark, root).select("filename", "length")
+
+
+@query("src7_read_frame_log", oracle="""
+SELECT concat('lane', user_id % 4 + 1) AS lane, date_trunc('second', ts)::TIMESTAMP AS started_at, CASE event_id % 3 WHEN 0 THEN 'raw' ELSE 'preview' END AS kind,
+  CAST(CASE event_id % 3 WHEN 0 THEN event_id % 100000 ELSE event_id % 10000 END AS INTEGER) AS number,
+  CAST(CASE WHEN event_id % 3 <> 0 THEN user_id % 40 END AS INTEGER) AS n_frames, CAST(CASE WHEN event_id % 3 <> 0 THEN event_id END AS INTEGER) AS n_rows,
+  CAST(event_id % 11 AS BIGINT) AS length FROM events WHERE event_id % 10 <> 9""")
+def _src7(t):
+    """Recorded frames and previews of passes, among files that are neither."""
+    root, text = scratch_path(t.spark, "frames"), lambda c: F.col(c).cast("string")
+    number = lambda n: F.lpad((F.col("event_id") % 10**n).cast("string"), n, "0")
+    folder = F.concat(F.lit("lane"), (F.col("user_id") % 4 + 1).cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("/"))
+    preview = F.concat(number(4), F.lit("_"), (F.col("user_id") % 40).cast("string"), F.lit("f_"), text("event_id"), F.lit("r.jpg"))
+    name = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("notes_"), text("event_id"), F.lit(".jpg"))).when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit("raw/"), number(5), F.lit(".jpg"))).otherwise(preview)
+    _store_files(t, F.concat(folder, name), F.repeat(F.lit("x"), (F.col("event_id") % 11).cast("int")), root)
+    return readers.read_frame_log(t.spark, root).drop("path")
+
+
 @query("src6_read_loop_messages", oracle=with_views("loop_lines", body=sensing._PARSED_SQL + """
 SELECT lane, seq, kind FROM parsed"""))
 def _src6(t):

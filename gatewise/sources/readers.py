@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewise import schemas
+from gatewise.sources import named_files
 
 
 def _by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -93,8 +94,9 @@ def read_eval_tsv(spark: SparkSession, path: str, header: bool) -> DataFrame:
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Non-recursive listing of jpg and png files; the content column is never read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(path)
+    """Non-recursive listing of jpg and png files, empty ones too; no file is opened."""
+    named_files.register(spark)
+    files = spark.read.format("named_files").option("path", path).option("endings", ".jpg,.png").load()
     return files.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("filename"))
 
 
@@ -122,14 +124,9 @@ _PASS_DIR = r"([^/]+)_(\d{8}_\d{6})/"
 
 
 def read_frame_log(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded frames and previews, described by their paths only."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jpg")
-        .load(path)
-        .select("path", "length")
-    )
+    """Recorded frames and previews, described by their paths only; a frame without bytes is listed too."""
+    named_files.register(spark)
+    files = spark.read.format("named_files").option("path", path).option("recursive", "true").option("endings", ".jpg").load()
     raw = _PASS_DIR + r"raw/(\d{5})\.jpg$"
     preview = _PASS_DIR + r"(\d{4})_(\d+)f_(\d+)r\.jpg$"
     number = lambda pattern, i: F.regexp_extract("path", pattern, i)

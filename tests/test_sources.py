@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatewise import schemas
 from gatewise.operators import decisions, lanes, registry
 from gatewise.operators.models import apply_model
-from gatewise.sources import readers, writers
+from gatewise.sources import named_files, readers, writers
 
 
 def test_registry_file(spark, tmp_path):
@@ -124,3 +124,29 @@ def test_serial_is_required_only_for_underbody_cameras(spark):
     table, refused = lanes.upsert_lane_table(cur, edits, "underbody")
     assert [tuple(r) for r in table.collect()] == [(1, "l1", "renamed", "s2")]
     assert sorted((r.seq, r.reason) for r in refused.collect()) == [(1, "device_serial is required"), (3, "row no longer exists")]
+
+
+def test_named_files_are_written_by_tasks(spark, tmp_path):
+    named_files.register(spark)
+    root = str(tmp_path / "files")
+    rows = [("a.txt", b"1"), ("x/y/b.bin", b"22"), (None, b"3"), ("empty", None)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    for _ in range(2):  # a repeated run leaves the same files
+        df.write.format("named_files").option("path", f"file:{root}").mode("append").save()
+    got = {str(p.relative_to(root)): p.read_bytes() for p in (tmp_path / "files").rglob("*") if p.is_file()}
+    assert got == {"a.txt": b"1", "x/y/b.bin": b"22", "empty": b""}
+    listed = spark.read.format("named_files").option("path", root)
+    assert sorted((r["path"].removeprefix(root), r["length"]) for r in listed.option("recursive", "true").load().collect()) == [("/a.txt", 1), ("/empty", 0), ("/x/y/b.bin", 2)]
+    assert [r["path"].removeprefix(root) for r in listed.option("recursive", "false").option("endings", ".txt,.bin").load().collect()] == ["/a.txt"]
+    df.limit(0).write.format("named_files").option("path", str(tmp_path / "none")).mode("append").save()
+    assert (tmp_path / "none").is_dir()
+    with pytest.raises(Exception, match="name leaves the folder"):
+        spark.createDataFrame([("../x", b"1")], "name string, content binary").write.format("named_files").option("path", root).mode("append").save()
+
+
+def test_strip_plan_ignores_rows_without_a_place(spark):
+    from gatewise.operators import motion
+
+    rows = [("p", i, 1216, 1.0, 30.0) for i in range(5)]
+    plan = lambda r: sorted(map(tuple, motion.strip_plan(spark.createDataFrame(r, "pass_id string, seq long, frame_rows int, dx double, dy double")).collect()))
+    assert plan([*rows, ("p", None, 1216, 1.0, 500.0)]) == plan(rows) != []
