@@ -240,13 +240,41 @@ FRAMINGS = ("original", "trim10", "trim18", "trim25", "center60", "center50")
 MAX_ATTEMPTS = 6
 
 
-def attempt_candidates(reads: DataFrame, group: str = "pass_id", seq: str = "seq") -> DataFrame:
-    """Scored candidates of the first six attempts of each image, with the framing of each attempt."""
-    w = W.partitionBy(group).orderBy(seq)
-    tries = reads.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= MAX_ATTEMPTS)
-    tags = F.array(*(F.lit(f) for f in FRAMINGS))
-    scored = grammar.score_candidates(tries.select(group, "attempt", "plate_text", "confidence"))
-    return scored.withColumn("framing", F.element_at(tags, F.col("attempt")))
+TWO_LINE = "double_line"
+
+
+def attempts(reads: DataFrame, group: str = "pass_id", seq: str = "seq", shapes: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The first six attempts of each image: group, attempt, framing, plate_text, confidence.
+
+    ``reads`` are the reads of the framings in their order. ``shapes`` (group, double_line, as ``crop_metrics`` tells it)
+    says which images have the shape of a two-line plate: such an image is first read as two lines, which counts as its
+    first attempt, so that one framing less is tried. ``rows`` (group, row, text, confidence) are the lines of
+    those images; without both of them the attempt is spent and gives nothing. An image without a shape, or with an
+    unknown one, is read by framings alone.
+    """
+    tags = lambda names: F.array(*(F.lit(f) for f in names))
+    order = F.row_number().over(W.partitionBy(group).orderBy(seq))
+    tries = reads.withColumn("attempt", order).filter(F.col("attempt") <= MAX_ATTEMPTS)  # ranks are cut ahead of the shuffle
+    if shapes is None:
+        framing = F.element_at(tags(FRAMINGS), F.col("attempt"))
+        return tries.select(group, "attempt", framing.alias("framing"), "plate_text", "confidence")
+    two = shapes.filter("double_line").select(group, F.lit(1).alias("_two")).distinct()
+    framed = tries.join(two, group, "left").withColumn("attempt", F.col("attempt") + F.coalesce("_two", F.lit(0))).filter(F.col("attempt") <= MAX_ATTEMPTS)
+    framing = F.element_at(tags((*FRAMINGS, *FRAMINGS)), F.when(F.col("_two").isNull(), F.col("attempt")).otherwise(F.col("attempt") - 1))
+    out = framed.select(group, "attempt", framing.alias("framing"), "plate_text", "confidence")
+    if rows is None:
+        return out
+    both = rows.filter(F.col("row").isin(0, 1)).groupBy(group).agg(F.count_distinct("row").alias("_n")).filter("_n = 2")
+    lines = rows.filter(F.col("row").isin(0, 1)).join(two, group, "left_semi").join(both, group, "left_semi")
+    read = join_two_line(lines, group)
+    return out.unionByName(read.select(group, F.lit(1).alias("attempt"), F.lit(TWO_LINE).alias("framing"), F.col("text").alias("plate_text"), "confidence"))
+
+
+def attempt_candidates(reads: DataFrame, group: str = "pass_id", seq: str = "seq", shapes: DataFrame | None = None,
+                       rows: DataFrame | None = None) -> DataFrame:
+    """Scored candidates of the first six attempts of each image, with the framing of each attempt (see ``attempts``).
+    In front of ``refine_reads``, a winner is a double-line one if its framing is ``TWO_LINE``."""
+    return grammar.score_candidates(attempts(reads, group, seq, shapes, rows))
 
 
 def _candidate_groups(cands: DataFrame, group: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewise.operators import joins, voting
+from gatewise.operators import evidence, joins, voting
 from gatewise.plans.plate_text import (
     CODES_SQL, MERGED_SQL, NORM_SQL, READS_SQL, fmt, known, penalty, second_copy, valid,
 )
@@ -154,12 +154,17 @@ def _w4(t):
 
 # Crop attempts: the first six reads of a pass stand for the six framings of one image.
 _FRAMES_SQL = ", ".join(f"'{f}'" for f in voting.FRAMINGS)
-_ATTEMPT_SQL = f"""
-{CODES_SQL},
-tries AS (SELECT * FROM (SELECT pass_id, {NORM_SQL.format('plate_text')} AS n, confidence,
-  row_number() OVER (PARTITION BY pass_id ORDER BY seq) AS attempt FROM v_plate_reads) q WHERE attempt <= 6),
+_TRIES_SQL = f"""
+tries AS (SELECT *, [{_FRAMES_SQL}][attempt] AS framing FROM (SELECT pass_id, {NORM_SQL.format('plate_text')} AS n, confidence,
+  row_number() OVER (PARTITION BY pass_id ORDER BY seq) AS attempt FROM v_plate_reads) q WHERE attempt <= 6)"""
+
+
+def attempt_sql(tries):
+    """Scored candidates and supported groups of the attempts in ``tries``, as common table expressions."""
+    return f"""
+{CODES_SQL},{tries},
 texts AS (SELECT DISTINCT n FROM tries),{MERGED_SQL},
-att AS (SELECT t.pass_id, t.attempt, m.first_gen AS gen, m.text, m.tag, [{_FRAMES_SQL}][t.attempt] AS framing,
+att AS (SELECT t.pass_id, t.attempt, m.first_gen AS gen, m.text, m.tag, t.framing,
   t.confidence * 0.68E0 + m.score * 0.22E0 + (CASE WHEN {valid('m.text')} THEN 1E0 ELSE 0E0 END) * 0.1E0 - {penalty('m.text')} AS score
   FROM tries t JOIN merged m ON m.n = t.n),
 ordered AS (SELECT pass_id AS gid, row_number() OVER (PARTITION BY pass_id ORDER BY score DESC, attempt, gen) AS k, text AS n,
@@ -168,15 +173,21 @@ sup AS (SELECT gid, c, count(DISTINCT framing) AS n_framings, max(score) AS best
   least(count(DISTINCT framing) - 1, 4) * 0.03E0 AS bonus FROM assigned GROUP BY gid, c)"""
 
 
-@query("a7_framing_support", oracle=_oracle(_ATTEMPT_SQL, """
+_ATTEMPT_SQL = attempt_sql(_TRIES_SQL)
+
+
+_SUPPORT_SQL = """
 SELECT s.gid AS pass_id, CAST(s.c AS INTEGER) AS cluster, d.leaders[s.c + 1] AS representative, CAST(n_framings AS INTEGER) AS n_framings,
-  round(bonus, 9) AS support_bonus FROM sup s JOIN led d ON d.gid = s.gid"""))
+  round(bonus, 9) AS support_bonus FROM sup s JOIN led d ON d.gid = s.gid"""
+
+
+@query("a7_framing_support", oracle=_oracle(_ATTEMPT_SQL, _SUPPORT_SQL))
 def _a7(t):
     return voting.framing_support(voting.attempt_candidates(t.view("plate_reads"))).select(
         "pass_id", "cluster", "representative", "n_framings", F.round("support_bonus", 9).alias("support_bonus"))
 
 
-_RANK_SQL = _ATTEMPT_SQL + """,
+_RANKED_SQL = """,
 bestg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY best + bonus DESC, c) AS r FROM sup) q WHERE r = 1),
 grp AS (SELECT a.gid, a.k AS ord, a.n FROM assigned a JOIN bestg b ON b.gid = a.gid AND b.c = a.c),""" + CONSENSUS_SQL + """,
 texts2 AS (SELECT DISTINCT v AS n FROM voted WHERE size > 1),""" + second_copy(MERGED_SQL, "2") + """,
@@ -193,14 +204,52 @@ lines AS (
   WHERE s.swapped OR o.k <> s.wk)"""
 
 
-@query("s3_rank_candidates", oracle=_oracle(_RANK_SQL, """
+_LINES_SQL = """
 SELECT gid AS pass_id, CAST(row_number() OVER (PARTITION BY gid ORDER BY is_winner DESC, score DESC, attempt, gen) AS INTEGER) AS rank,
-  swapped, cand_text, CAST(attempt AS INTEGER) AS attempt, tag AS cand_tag, framing, round(score, 9) AS score FROM lines"""))
+  swapped, cand_text, CAST(attempt AS INTEGER) AS attempt, tag AS cand_tag, framing, round(score, 9) AS score FROM lines"""
+
+
+@query("s3_rank_candidates", oracle=_oracle(_ATTEMPT_SQL + _RANKED_SQL, _LINES_SQL))
 def _s3(t):
-    ranked = voting.rank_candidates(voting.attempt_candidates(t.view("plate_reads")))
+    return _ranked(voting.attempt_candidates(t.view("plate_reads")))
+
+
+def _ranked(cands):
+    ranked = voting.rank_candidates(cands)
     return ranked.select("pass_id", "rank", "swapped", "cand_text", "attempt", "cand_tag", "framing", F.round("score", 9).alias("score"))
 
 
+# Every third pass has a crop as high as wide, whose two lines are the halves of its first read; some lack the lower one.
+_TWO_LINE_TRIES = f"""
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pass_id ORDER BY seq) AS k FROM v_plate_reads) q WHERE k = 1 AND pass_id % 3 = 0),
+halves AS (SELECT pass_id, {NORM_SQL.format("coalesce(substr(plate_text, 1, 4), '')")} || {NORM_SQL.format("coalesce(substr(plate_text, 5), '')")} AS n, confidence, quality
+  FROM firsts WHERE pass_id % 9 <> 0),
+tries AS (SELECT pass_id, n, CASE WHEN n = '' THEN 0E0 ELSE (confidence + quality) / 2 END AS confidence, 1 AS attempt, 'double_line' AS framing FROM halves
+  UNION ALL SELECT pass_id, n, confidence, k + two, [{_FRAMES_SQL}][k] FROM (SELECT pass_id, {NORM_SQL.format('plate_text')} AS n, confidence,
+    row_number() OVER (PARTITION BY pass_id ORDER BY seq) AS k, CASE WHEN pass_id % 3 = 0 THEN 1 ELSE 0 END AS two FROM v_plate_reads) q WHERE k + two <= 6)"""
+
+
+def _two_line_candidates(t):
+    reads = t.view("plate_reads")
+    crops = reads.select("pass_id").distinct().select(
+        "pass_id", F.lit(120).alias("w"), F.when(F.col("pass_id") % 3 == 0, F.lit(120)).otherwise(F.lit(30)).alias("h"), F.lit(90.0).alias("sharpness"))
+    first = reads.groupBy("pass_id").agg(F.min_by(F.struct("plate_text", "confidence", "quality"), "seq").alias("f"))
+    top = first.select("pass_id", F.lit(0).alias("row"), F.substring("f.plate_text", 1, 4).alias("text"), F.col("f.confidence").alias("confidence"))
+    low = first.filter("pass_id % 9 <> 0").select("pass_id", F.lit(1).alias("row"), F.expr("substring(f.plate_text, 5)").alias("text"), F.col("f.quality").alias("confidence"))
+    return voting.attempt_candidates(reads, shapes=evidence.crop_metrics(crops), rows=top.unionByName(low))
+
+
+@query("a7_framing_support_two_line", oracle=_oracle(attempt_sql(_TWO_LINE_TRIES), _SUPPORT_SQL))
+def _a7_two_line(t):
+    return voting.framing_support(_two_line_candidates(t)).select(
+        "pass_id", "cluster", "representative", "n_framings", F.round("support_bonus", 9).alias("support_bonus"))
+
+
+@query("s3_rank_candidates_two_line", oracle=_oracle(attempt_sql(_TWO_LINE_TRIES) + _RANKED_SQL, _LINES_SQL))
+def _s3_two_line(t):
+    return _ranked(_two_line_candidates(t))
+
+
 _FIRST_PASS = "fast AS (SELECT seq AS read_id, plate_text AS text, confidence, 'original:raw' AS variant, seq % 6 = 5 AS double_line FROM v_plate_reads)"
 _REFINED = "slow AS (SELECT seq AS read_id, CASE WHEN seq % 4 = 0 THEN '' ELSE lower(plate_text) END AS refined_text, 0.99E0 AS refined_confidence FROM v_plate_reads WHERE seq % 3 <> 0)"
 
