@@ -1,6 +1,7 @@
 """Operators on documents against plain Python, on rows with every odd case, and on none."""
 
 import hashlib
+import random
 import zlib
 
 import brute
@@ -103,6 +104,18 @@ def test_repeated_passages(docs, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("vocabulary", [2, 3, 40])
+def test_repeated_passages_of_few_words(spark, vocabulary):
+    """Anchors that occur many times in a document, in many contexts, take several rounds of extension."""
+    r = random.Random(vocabulary)
+    rows = [(i, " ".join(f"w{r.randrange(vocabulary)}" for _ in range(r.randint(0, 60)))) for i in range(60)]
+    shared = rows[5][1] + " " + " ".join(f"w{r.randrange(vocabulary)}" for _ in range(14))
+    rows += [(60 + i, f"w{i % vocabulary} {shared} w{i % 3}") for i in range(12)] + [(None, shared), (7, shared)]
+    want = sorted((some(a), n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for a, kept, n in brute.without_repeats(rows, 13))
+    got = substring.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((some(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in got) == want
+
+
 def test_passages_leave_the_texts(docs, rows):
     out = substring.strip_repeats(docs)
     assert out.columns == docs.columns
