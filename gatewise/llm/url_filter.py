@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewise.llm.common import query, table
+from gatewise.session import cut_lineage
 
 #: Listed rules of the query. Fixed values.
 RULES = [
@@ -20,6 +21,8 @@ RULES = [
 MAX_BLOCKS = 1 << 16
 URLS_PER_BLOCK = 32
 WORDS = 8
+#: Parts that the pages of one address are dealt over.
+PARTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,38 +51,54 @@ def bloom(rules: DataFrame, n_blocks: int) -> DataFrame:
     return rules.groupBy(F.expr(_block("key", n_blocks)).alias("block")).agg(*bits)
 
 
+def _passes(key: str) -> Column:
+    """Whether a row joined with its block of the filter has all bits of its key; false without a block."""
+    return F.coalesce(F.expr(" and ".join(f"(w{i} & {b}) = {b}" for i, b in enumerate(_bits(key)))), F.lit(False))
+
+
+def _blocks(n_keys: int) -> int:
+    return max(1, min(MAX_BLOCKS, -(-n_keys // URLS_PER_BLOCK)))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``rules`` has host, path (from its ``/``) and verdict.
 
     A rule fits its host and all subdomains where the path starts with the rule's; of several the one with
     the longest host wins, then the longest path. Without one the URL is not listed and ``default``
     stands. Each URL yields one key for every number of host labels and length of path that the rules
-    have, those that pass the filter meet the rules in a hash join, and the join alone decides. A null
-    URL has an empty host and path. Repeated rows stay; columns of the pages that clash are replaced.
+    have. Keys that the filter stops end in the task that reads them; the others meet the rules in a hash join, which
+    alone decides, and each host and path with a rule is told once. A second filter, of those, spares the pages without
+    a rule the way to that table. A null URL has an empty host and path, long URLs are judged whole, repeated rows stay,
+    an empty table of pages gives no rows and one of rules the default; columns of the pages that clash are replaced.
     """
     shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))), F.collect_set(F.length("path")), F.count("*")).first()
     labels, lengths = sorted(shape[0]), sorted(shape[1])
-    n_blocks = max(1, min(MAX_BLOCKS, -(-shape[2] // URLS_PER_BLOCK)))
+    n_blocks = _blocks(shape[2])
     listed = rules.select(F.concat("host", "path").alias("key"), F.struct(F.length("host").alias("h"), F.length("path").alias("p"), "host", "path", "verdict").alias("hit")).distinct()
 
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    row, payload = "_row", F.struct(*[pages[c] for c in kept]).alias("_page")
     host, path = host_and_path(pages[url])
-    read = pages.select(F.monotonically_increasing_id().alias(row), payload, host.alias("_host"), path.alias("_path"))
     hosts = F.array_distinct(F.array(*[F.substring_index("_host", ".", -n) for n in labels])) if labels else F.array().cast("array<string>")
     paths = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("_path", 1, n).alias("s")) for n in lengths]),
                      lambda x: F.length(x["s"]) == x["n"]) if lengths else F.array().cast("array<struct<n:int,s:string>>")
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p["s"]))))
-    probes = read.withColumn("key", F.explode_outer(keys)).withColumn("block", F.expr(_block("key", n_blocks)))
-    found = probes.join(F.broadcast(bloom(listed, n_blocks)), "block", "left")
-    passes = " and ".join(f"(w{i} & {b}) = {b}" for i, b in enumerate(_bits("key")))
-    # What the filter stops gets a key of its own that no rule has, so that it does not meet in one task.
-    none = F.concat(F.lit("\u0000"), F.pmod(F.col(row), F.lit(65_536)))
-    maybe = found.select(row, "_page", "_host", "_path", F.coalesce(F.expr(f"case when {passes} then key end"), none).alias("key"))
-    exact = maybe.join(listed, "key", "left")
-    best = exact.groupBy(row).agg(F.max("hit").alias("hit"), *[F.first(c).alias(c) for c in ("_page", "_host", "_path")])
-    return best.select("_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"),
-                       F.concat("hit.host", "hit.path").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    probes = (pages.select(host.alias("_host"), path.alias("_path")).withColumn("key", F.explode(keys))
+              .withColumn("block", F.expr(_block("key", n_blocks))))
+    maybe = probes.join(F.broadcast(bloom(listed, n_blocks)), "block").where(_passes("key")).select("_host", "_path", "key")
+    judged = cut_lineage(maybe.join(listed, "key").groupBy("_host", "_path").agg(F.max("hit").alias("hit")), "judged")
+
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    n_judged = _blocks(judged.count())
+    known = bloom(judged.select(F.concat_ws("\u0000", "_host", "_path").alias("key")), n_judged)
+    read = pages.select(F.struct(*[pages[c] for c in kept]).alias("_page"), host.alias("_host"), path.alias("_path"))
+    read = read.withColumn("key", F.concat_ws("\u0000", "_host", "_path")).withColumn("block", F.expr(_block("key", n_judged)))
+    read = read.join(F.broadcast(known), "block", "left").select("_page", "_host", "_path", _passes("key").alias("_known"))
+    # One address may hold a third of all pages: its pages are dealt over parts, each with a copy of its rule.
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
+    copies = judged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = read.where("_known").withColumn("_part", part).join(copies, ["_host", "_path", "_part"], "left").select("_page", "_host", "_path", "hit")
+    rest = read.where("NOT _known").select("_page", "_host", "_path", F.lit(None).cast(judged.schema["hit"].dataType).alias("hit"))
+    return met.union(rest).select("_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"),
+                                  F.concat("hit.host", "hit.path").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def _rules_sql() -> str:
