@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,47 +101,64 @@ HALF_PX, HALF_RATIO, MIN_SHARE, MIN_OVER_MIRROR, FLOW_SCALE = 0.25, 0.2, 0.03, 2
 N_BINS = int(2 * REACH_PX / BIN_PX)
 
 
-def _peak(bins: np.ndarray, counts: np.ndarray, n_pixels: int) -> tuple[int, int, int] | None:
-    """(low bin, high bin, count) of the best window, or None when nothing clearly moves."""
-    hist = np.zeros(N_BINS, dtype=np.int64)
-    hist[bins] = counts
-    cum = np.concatenate(([0], np.cumsum(hist)))
+#: Frames whose histograms lie in memory at a time: 6,401 numbers each.
+FRAMES = 256
+
+
+def _window_bounds() -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) bin of the window around every bin; windows widen with the shift."""
     centre = np.arange(N_BINS)
     shift = np.abs((centre + 0.5) * BIN_PX - REACH_PX)
     half = (np.maximum(HALF_PX, HALF_RATIO * shift) / BIN_PX).astype(np.int64)
-    low, high = np.maximum(0, centre - half), np.minimum(N_BINS, centre + half + 1)
-    window = cum[high] - cum[low]
-    best = int(np.argmax(window))  # the first maximum: the lowest bin wins ties
-    count, mirror = int(window[best]), int(window[N_BINS - 1 - best])
-    if count == 0 or count < MIN_SHARE * n_pixels or count < MIN_OVER_MIRROR * mirror:
-        return None
-    return int(low[best]), int(high[best]), count
+    return np.maximum(0, centre - half), np.minimum(N_BINS, centre + half + 1)
+
+
+def _peaks(frame: np.ndarray, bins: np.ndarray, counts: np.ndarray, n_pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low bin, bin after the last, count) of the best window of each frame, count 0 where nothing clearly moves.
+
+    ``frame`` is the frame's place, for every one of its bins."""
+    low, high = _window_bounds()
+    cum = np.zeros((len(n_pixels), N_BINS + 1), np.int64)
+    cum[frame, bins + 1] = counts
+    np.cumsum(cum, axis=1, out=cum)
+    window = cum[:, high] - cum[:, low]
+    best, each = window.argmax(axis=1), np.arange(len(n_pixels))  # the first maximum: the lowest bin wins ties
+    count, mirror = window[each, best], window[each, N_BINS - 1 - best]
+    clear = (count > 0) & (count >= MIN_SHARE * n_pixels) & (count >= MIN_OVER_MIRROR * mirror)
+    return low[best], high[best], np.where(clear, count, 0)
 
 
 def flow_peak(flow: DataFrame, group: str = "frame_id") -> DataFrame:
     """Dominant motion per frame in full-resolution pixels; frames without a clear peak give nulls.
 
-    Pixels collapse map-side into at most 6,400 bins per frame with their sums, so the per-frame step
-    sees a bounded histogram however many pixels a frame has.
+    Pixels collapse map-side into at most 6,400 bins per frame with their sums, so a frame is one row with a
+    bounded histogram however many pixels it has, and many frames are judged at once. Pixels with a null ``vy`` do
+    not move but count; a null ``vx`` adds nothing; pixels with a null frame are one frame; no pixels give no rows.
     """
     moving = F.abs("vy") >= MOVE_PX
     raw_bin = F.floor((F.col("vy") + REACH_PX) / BIN_PX).cast("int")
     bin_ = F.when(moving & raw_bin.between(0, N_BINS - 1), raw_bin).otherwise(F.lit(-1))
     binned = flow.groupBy(group, bin_.alias("bin")).agg(
         F.count("*").alias("n"), F.sum("vx").alias("sx"), F.sum("vy").alias("sy"))
-    key = flow.schema[group]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = pdf[pdf["bin"] >= 0]
-        found = _peak(hist["bin"].to_numpy(), hist["n"].to_numpy(), int(pdf["n"].sum())) if len(hist) else None
-        row = {group: pdf[group].iloc[0], "n_pixels": int(pdf["n"].sum()), "n_peak": None, "dx": None, "dy": None}
-        if found:
-            inside = hist[(hist["bin"] >= found[0]) & (hist["bin"] < found[1])].sort_values("bin")
-            n = int(inside["n"].sum())
-            row.update(n_peak=n, dx=inside["sx"].sum() / n / FLOW_SCALE, dy=inside["sy"].sum() / n / FLOW_SCALE)
-        return pd.DataFrame([row])
+    sums = F.struct("bin", "n", F.coalesce("sx", F.lit(0)).cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"))
+    frames = binned.groupBy(group).agg(
+        F.sum("n").alias("n_pixels"), F.array_sort(F.collect_list(F.when(F.col("bin") >= 0, sums))).alias("bins"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), FRAMES):
+                batch = whole.slice(at, FRAMES)
+                lists, pixels = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
+                frame = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+                bins, n, sx, sy = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                low, high, count = _peaks(frame, bins, n, pixels)
+                inside = (bins >= low[frame]) & (bins < high[frame])
+                total = [np.bincount(frame[inside], x[inside], len(batch)) / np.maximum(count, 1) / FLOW_SCALE for x in (sx, sy)]
+                none = count == 0
+                made = [pa.array(count, pa.int64(), mask=none), *(pa.array(x, pa.float64(), mask=none) for x in total)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [group, "n_pixels", "n_peak", "dx", "dy"])
 
     schema = T.StructType([
-        key, T.StructField("n_pixels", T.LongType()), T.StructField("n_peak", T.LongType()),
+        flow.schema[group], T.StructField("n_pixels", T.LongType()), T.StructField("n_peak", T.LongType()),
         T.StructField("dx", T.DoubleType()), T.StructField("dy", T.DoubleType())])
-    return binned.groupBy(group).applyInPandas(pick, schema)
+    return frames.mapInArrow(pick, schema)
