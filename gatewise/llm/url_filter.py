@@ -92,9 +92,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     read = pages.select(F.struct(*[pages[c] for c in kept]).alias("_page"), host.alias("_host"), path.alias("_path"))
     read = read.withColumn("key", F.concat_ws("\u0000", "_host", "_path")).withColumn("block", F.expr(_block("key", n_judged)))
     read = read.join(F.broadcast(known), "block", "left").select("_page", "_host", "_path", _passes("key").alias("_known"))
-    # One address may hold a third of all pages: its pages are dealt over parts, each with a copy of its rule.
+    # One address may hold a third of all pages: its pages are dealt over parts, each with a copy of its rule. The copies
+    # grow with the pages and are more than their file's size tells, so they are never broadcast.
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")
-    copies = judged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    copies = judged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
     met = read.where("_known").withColumn("_part", part).join(copies, ["_host", "_path", "_part"], "left").select("_page", "_host", "_path", "hit")
     rest = read.where("NOT _known").select("_page", "_host", "_path", F.lit(None).cast(judged.schema["hit"].dataType).alias("hit"))
     return met.union(rest).select("_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"),
