@@ -115,7 +115,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     """(query_id, rank, id, score): every query's k rows of highest inner product, ties to the smaller id.
 
     Both tables have an id and an array of longs. Null vectors and null ids take no part; a shorter
-    vector counts as padded with zeros; rows that agree in id and vector are one row; a row with
+    vector counts as padded with zeros; rows that agree in id and vector are one row, others of
+    one id each have their rank; ids are whole numbers; a row with
     the query's own id is never its result. Fewer than k candidates are all returned; without queries or
     candidates there are no rows. Sums must fit 64 bits.
     """
@@ -146,7 +147,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
 
     found = docs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    best = found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    # A query row meets a candidate row once, so equal rows here are different vectors of one id.
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id), "score")
 
 

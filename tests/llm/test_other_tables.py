@@ -76,11 +76,11 @@ def test_top_k(items, vectors, shard_rows, query_rows):
     want = []
     for q, v in rows:
         if q % 20 == 0:
-            found = {(-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q}
+            found = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q]
             want.append((q, sorted(found)))
     merged = {}
     for q, found in want:
-        merged.setdefault(q, set()).update(found)
+        merged.setdefault(q, []).extend(found)
     want = sorted((q, n + 1, i, -s) for q, found in merged.items() for n, (s, i) in enumerate(sorted(found)[:7]))
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == want
 
@@ -90,6 +90,9 @@ def test_top_k_of_few(spark):
     out = topk.top_k(docs, docs.where("vec_id = 0"), 20).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in out) == [(1, 3, 0), (2, 2, -2), (3, 1, -5)]
     assert topk.top_k(docs.limit(0), docs.limit(0), 20).collect() == []
+    both = spark.createDataFrame([(0, [1, 0]), (1, [2, 0]), (1, [2, 5]), (1, [2, 5])], "vec_id long, vector array<bigint>")
+    out = topk.top_k(both, both.where("vec_id = 0"), 20).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in out) == [(1, 1, 2), (2, 1, 2)]
 
 
 def judge(url, rules):
