@@ -51,10 +51,10 @@ def _src4(t):
 
 
 def _store_files(t, name, content, root):
-    """One file for each event, under a name made from it."""
+    """One file for each event, under a name made from it, in archives."""
     named_files.register(t.spark)
     files = t.table("events").select(name.alias("name"), content.cast("binary").alias("content"))
-    files.write.format("named_files").option("path", root).mode("append").save()
+    files.write.format("named_files").option("path", root).option("archives", "true").mode("append").save()
 
 
 _ENDING = "CASE event_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpg' WHEN 4 THEN '.jpeg' ELSE '.png' END"

@@ -94,7 +94,7 @@ def read_eval_tsv(spark: SparkSession, path: str, header: bool) -> DataFrame:
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Non-recursive listing of jpg and png files, empty ones too; no file is opened."""
+    """Non-recursive listing of jpg and png files, loose or in archives, empty ones too; no image is opened."""
     named_files.register(spark)
     files = spark.read.format("named_files").option("path", path).option("endings", ".jpg,.png").load()
     return files.select("path", "length", F.element_at(F.split("path", "/"), -1).alias("filename"))

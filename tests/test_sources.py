@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,27 @@ def test_named_files_are_written_by_tasks(spark, tmp_path):
         spark.createDataFrame([("../x", b"1")], "name string, content binary").write.format("named_files").option("path", root).mode("append").save()
 
 
+def test_archives_keep_every_file(spark, tmp_path, monkeypatch):
+    """Packed files cost no file each, are listed like loose ones, and those of a task that failed are not seen."""
+    root = tmp_path / "packed"
+    rows = [(f"lane_20240102_030405/raw/{i:05d}.jpg", b"x" * (i % 4)) for i in range(300)] + [("a.jpg", None), ("_b.jpg", b"1"), ("c.txt", b"1"), (None, b"1")]
+    named_files.register(spark)
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    df.write.format("named_files").option("path", str(root)).option("archives", "true").mode("append").save()
+    files = [p for p in root.rglob("*") if p.is_file()]
+    assert 0 < len(files) <= 3
+    (root / "_archives" / ".left.zip").write_bytes(files[0].read_bytes())
+    (root / "loose.jpg").write_bytes(b"12345")
+    assert sorted((r.filename, r.length) for r in readers.list_images(spark, str(root)).collect()) == [("a.jpg", 0), ("loose.jpg", 5)]
+    got = sorted((r.number, r.length) for r in readers.read_frame_log(spark, str(root)).collect())
+    assert got == [(i, i % 4) for i in range(300)]
+
+    monkeypatch.setattr(named_files, "ARCHIVE_FILES", 100)
+    batch = pa.RecordBatch.from_pydict({"name": [n for n, _ in rows], "content": [c for _, c in rows]})
+    writer = named_files.NamedFilesWriter({"path": str(tmp_path / "rolled"), "archives": "true"})
+    assert (told := writer.write(iter([batch]))).files == 303 and len(told.archives) == 4
+
+
 def test_strip_plan_ignores_rows_without_a_place(spark):
     from gatewise.operators import motion
 
