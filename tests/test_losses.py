@@ -221,3 +221,25 @@ def test_long_texts_meet_on_segments(spark):
 
     want = {tuple(r) for r in a.join(b, P.similar(F.col("a"), F.col("b"))).collect()}
     assert got == want and len(want) > len(texts)
+
+
+def test_best_frame_of_a_pass_without_pairs(spark):
+    """The same frame as over all pairs, for passes of any length, ties, hidden scores and cells' borders."""
+    import random
+
+    rng, at = random.Random(5), lambda us: f"2024-01-01 00:{us // 60_000_000:02d}:{us // 1_000_000 % 60:02d}.{us % 1_000_000:06d}"
+    frames = [(i, rng.choice("ab"), at(rng.randrange(0, 240_000_000, 250)), rng.choice([0.5, 1.0, 2.0, None])) for i in range(600)]
+    passes = []
+    for i in range(300):
+        a = rng.choice([0, 30_000_000, 60_000_000, rng.randrange(200_000_000), rng.randrange(0, 200_000_000, 250)])
+        z = rng.choice([None, a, a + 250, a + 5_000, a + rng.randrange(30_000_000), a + 90_000_000, a - 1])
+        passes.append((i, rng.choice("ab"), at(a), None if z is None or z < 0 else at(z)))
+    passes += [(900, None, at(0), None), (901, "a", None, at(5)), (902, "zz", at(0), None)]
+    p = spark.createDataFrame(passes, "pass_id long, lane string, e string, c string").select(
+        "pass_id", "lane", F.col("e").cast("timestamp_ntz").alias("entry_ts"), F.col("c").cast("timestamp_ntz").alias("exit_clear_ts"))
+    f = spark.createDataFrame(frames, "frame_id long, lane string, t string, score double").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    pairs = sensors.frames_in_pass(p, f, 30.0).groupBy("pass_id").agg(F.max(F.struct("score", "frame_id")).alias("v")).select("pass_id", "v.frame_id")
+    got = sensors.best_frame_in_pass(p, f, 30.0).select("pass_id", "frame_id")
+    want = sorted(map(tuple, pairs.collect()))
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
+    assert sensors.best_frame_in_pass(p.limit(0), f, 30.0).count() == 0
