@@ -6,8 +6,10 @@ shell of distances to its pivot must come closer to the patch's own distance to
 Only those balls are met in the second step.
 
 Balls and the patches that ask for them meet in blocks of bounded size, dealt by hash, so neither a ball that holds
-a large share of the bank nor a popular one becomes a task of its own. The driver sees the pivots and two numbers
-a ball, never the bank.
+a large share of the bank nor a popular one becomes a task of its own. In the second step small balls share a block and a
+patch goes once to each block with a ball that may win, not once to each ball: where balls are too alike to be excluded,
+as in many dimensions, it moves as often as the bank has blocks. The driver sees the pivots and two numbers a ball,
+never the bank.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from gatewise.session import cut_lineage
 
 #: Pivots at most, and vectors of one side that meet at a time.
 MAX_PIVOTS, BLOCK_ROWS = 256, 8192
+#: Numbers in a product of patches and bank vectors at most.
+PRODUCT = 1 << 21
 #: Share by which bounds are widened, so that rounding never excludes a ball.
 SLACK = 1e-9
 
@@ -47,10 +51,14 @@ def nearest_rows(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     is taken directly, without cancellation."""
     out = np.empty(len(x))
     square = (known * known).sum(axis=1)
-    for at in range(0, len(x), 1024):
-        part = x[at : at + 1024]
-        best = known[(square[None, :] - 2.0 * (part @ known.T)).argmin(axis=1)]
-        out[at : at + 1024] = np.sqrt(((part - best) ** 2).sum(axis=1))
+    step = max(1, min(1024, PRODUCT // max(1, len(known))))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        product = part @ known.T
+        product *= -2.0
+        product += square
+        best = known[product.argmin(axis=1)]
+        out[at : at + step] = np.sqrt(((part - best) ** 2).sum(axis=1))
     return out
 
 
@@ -142,21 +150,47 @@ def partitioned_distance(patches: DataFrame, known: DataFrame, max_pivots: int =
                 away[:, own.rows == 0] = np.inf
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(away.argmin(axis=1).astype(np.int32)), batch.column(1)], ["row", "ball", "feat"])
 
+    # Pieces of balls in blocks of at most ``block`` rows: (ball, piece) to block.
+    pieces, room = {}, 0
+    blocks: list[list[int]] = []
+    for ball, size in rows.items():
+        pieces[ball] = -(-size // block)
+        for _ in range(pieces[ball]):
+            need = -(-size // pieces[ball])
+            if not blocks or need > room:
+                blocks.append([])
+                room = block
+            blocks[-1].append(ball)
+            room -= need
+    sizes = {i: 0 for i in range(len(blocks))}
+    places, at = [], dict.fromkeys(rows, 0)
+    for i, held in enumerate(blocks):
+        for ball in held:
+            places.append((ball, at[ball], i))
+            at[ball] += 1
+            sizes[i] += -(-rows[ball] // pieces[ball])
+    held_by = spark.sparkContext.broadcast([np.unique(held) for held in blocks])
+
     def rivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                own = shared.value
-                away = own.distances(stacked(batch.column(2), own.pivots.shape[1]))
+            for start in range(0, len(batch), 1024):
+                part, own = batch.slice(start, 1024), shared.value
+                away = own.distances(stacked(part.column(2), own.pivots.shape[1]))
                 home_ball = np.where(own.rows == 0, np.inf, away).argmin(axis=1)
-                found = batch.column(1).to_numpy(zero_copy_only=False)
+                found = part.column(1).to_numpy(zero_copy_only=False)
                 # As large as the numbers the bound was made from, so that rounding keeps a ball rather than drops it.
                 may = own.least(away) <= found[:, None] + SLACK * (1 + away + np.where(own.rows > 0, own.high, 0))
                 may[np.arange(len(may)), home_ball] = False
-                at, ball = np.nonzero(may)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(ball.astype(np.int32)), batch.column(2).take(pa.array(at))], ["row", "ball", "feat"])
+                for i, held in enumerate(held_by.value):
+                    at = pa.array(np.flatnonzero(may[:, held].any(axis=1)))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.full(len(at), i, np.int32)), part.column(2).take(at)], ["row", "ball", "feat"])
 
     first = cut_lineage(_meet(asking.mapInArrow(home, "row long, ball int, feat array<double>"), members, rows, block), "nearest-home")
     still = asking.join(first, "row").select("row", "distance", "feat").mapInArrow(rivals, "row long, ball int, feat array<double>")
-    second = _meet(cut_lineage(still, "rivals"), members, rows, block)
+    placed = spark.createDataFrame(places, "ball int, piece int, block int")  # MAX_PIVOTS rows and one for each block
+    piece = members.withColumn("piece", F.pmod(F.xxhash64("feat", F.lit(1)), _parts(rows, block)).cast("int"))
+    blocked = cut_lineage(piece.join(F.broadcast(placed), ["ball", "piece"]).select(F.col("block").alias("ball"), "feat"), "blocks")
+    second = _meet(cut_lineage(still, "rivals"), blocked, sizes, 2 * block)
     both = first.union(second).groupBy("row").agg(F.min("distance").alias("distance")).withColumnRenamed("row", "_row")
     return numbered.join(both, "_row", "left").select(*patches.columns, "distance")
