@@ -201,12 +201,14 @@ def _suppress_by_rounds(boxes: DataFrame, threshold: float, group: str) -> DataF
 BANK_VECTORS = 4000
 
 
-def sample_bank(patches: DataFrame, n: int = BANK_VECTORS, seed: int = 42, keys: tuple[str, ...] = ("image_id", "cell")) -> DataFrame:
-    """All patches when there are at most ``n``, else a uniform sample of ``n`` fixed by the seed.
+def sample_bank(patches: DataFrame, n: int | None = BANK_VECTORS, seed: int = 42, keys: tuple[str, ...] = ("image_id", "cell")) -> DataFrame:
+    """All patches when there are at most ``n`` (or ``n`` is None), else a uniform sample of ``n`` fixed by the seed.
 
     The order is a hash of the patch's own keys, so it does not depend on partitioning. Only keys and
     hashes take part in the top-n; the vectors of the chosen few are fetched by a semi-join.
     """
+    if n is None:
+        return patches
     ids = patches.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("_h"))
     chosen = ids.orderBy("_h", *keys).limit(n).select(*keys)
     return patches.join(F.broadcast(chosen), list(keys), "left_semi")  # at most n key rows

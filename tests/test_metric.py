@@ -61,6 +61,27 @@ def test_distant_balls_are_not_met(spark, monkeypatch):
     assert asked[0] == 200 and asked[1] < 0.3 * 200 * n_pivots
 
 
+def test_patches_move_by_blocks_where_no_ball_is_excluded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bank, patches = rng.normal(size=(900, 48)).tolist(), rng.normal(size=(100, 48)).tolist()
+    asked, meet = [], metric._meet
+    monkeypatch.setattr(metric, "_meet", lambda a, *rest: asked.append(a.count()) or meet(a, *rest))
+    got = metric.partitioned_distance(table(spark, patches), table(spark, bank), block=300)
+    same({r["cell"]: r["distance"] for r in got.collect()}, plain(patches, bank))
+    assert asked[0] == 100 and asked[1] <= 100 * 6
+
+
+def test_whole_bank_has_every_clean_patch(spark, tmp_path):
+    from gatewise.plans import scanning  # noqa: F401
+    from gatewise.plans.registry import QUERIES
+
+    rows = spark.range(4600).selectExpr("id AS vec_id", "array(float(id), float(id % 7)) AS embedding", "int(id % 10 = 9) AS label")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["s4_sample_bank"](spark, str(tmp_path)).count() == 4140
+    far = {(r["image_id"], r["cell"]): r["distance"] for r in QUERIES["j5_nearest_bank_distance"](spark, str(tmp_path)).collect()}
+    assert len(far) == 4600 and all((d == 0) == (cell != 9) for (_, cell), d in far.items())
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 0])
 def test_vectors_with_holes_have_no_distance(spark, block_bytes):
     bank = [[0.0, 0.0], [3.0, 4.0], None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 0.0], []]
