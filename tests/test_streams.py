@@ -190,3 +190,27 @@ def test_keyed_table_of_an_empty_epoch(spark, tmp_path):
     assert table.read().count() == 0
     table.write(spark.createDataFrame([(1, 2), (1, 5)], "k long, v long"), 1)
     assert [tuple(r) for r in table.read().collect()] == [(1, 5)]
+
+
+def test_held_rows_come_hour_by_hour():
+    """Rows of a key are read an hour at a time, in order, and those behind the watermark stay."""
+    import random
+
+    from gatewise.streaming.processors import HeldRows
+
+    class Texts(list):
+        get, put = list.copy, lambda self, rows: self.__setitem__(slice(None), rows)
+        appendList = list.extend
+
+    texts, hour = Texts(), HeldRows.HOUR_US
+    held = HeldRows(type("Handle", (), {"getListState": lambda self, *_: texts})())
+    rows = [[random.Random(i).randrange(6 * hour), i, str(i)] for i in range(2000)]
+    for at in range(0, 2000, 300):
+        held.add(rows[at : at + 300])
+    mark = 3 * hour + hour // 2
+    first = list(held.due(mark))
+    assert len(first) == 4 and max(map(len, first)) < 500
+    assert [r for part in first for r in part] == sorted(r for r in rows if r[0] <= mark)
+    assert held.least == min(r[0] for r in rows if r[0] > mark)
+    assert [r for part in held.due(9 * hour) for r in part] == sorted(r for r in rows if r[0] > mark)
+    assert held.least is None and not texts
