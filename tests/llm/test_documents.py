@@ -62,6 +62,20 @@ def test_pieces_have_the_ids_of_the_whole(text):
         assert np.frombuffer(next(encoder.encode([text])), np.uint32).tolist() == want
 
 
+@pytest.mark.parametrize("text", ["word, (word). word! word", "a, b1; é. ª, ʼn! Ⅳ, 12% a's, don'. x", "a\nb,\nc. d", "<|endoftext|>, a<|endoftext|>. b|> <|endoftext, c",
+                                  "中, ɐ. ñ1- _a_ a_b", "a,' b'. c,s d's,"])
+def test_words_with_what_ends_them(text):
+    test_pieces_have_the_ids_of_the_whole(text)
+
+
+def test_a_word_is_encoded_once_whatever_ends_it():
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    list(encoder.encode(["x word word, word. word; word! word?"]))
+    assert [w for w in encoder.words if "word" in w] == [" word"]
+    direct = encoder.tokenizer.encode_batch([" word", ","], add_special_tokens=False)
+    assert np.frombuffer(encoder.memory["word,"], np.uint32).tolist() == [i for e in direct for i in e.ids]
+
+
 def test_near_copies(docs, rows):
     for k, num in ((4, 85), (5, 80)):
         got = sorted(((some(r.doc_id), r.n_shingles, some(r.component_id)) for r in ngram_join.link_components(docs, k, num, 100).collect()))
