@@ -1,5 +1,9 @@
 """Which attempt an image's reads are, with one-line and two-line shapes."""
 
+import random
+
+import pyarrow as pa
+
 from gatewise.operators import voting
 
 
@@ -18,3 +22,21 @@ def test_two_line_images_spend_their_first_attempt_on_both_lines(spark):
     assert got[9] == {1: (voting.TWO_LINE, "AB", 0.9)}
     without = {(r.pass_id, r.attempt): r.framing for r in voting.attempts(reads).collect()}
     assert len(without) == 24 and without[2, 6] == voting.FRAMINGS[5]
+
+
+def test_texts_laid_in_batches_as_one_by_one(spark, monkeypatch):
+    """The batched alignment gives what the SQL gives, in blocks of any size."""
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("AB0é中") for _ in range(rng.randint(0, 7)))
+    pairs = [(text(), text()) for _ in range(300)] + [("", "A"), ("A", ""), ("", ""), ("A\u0000B", "AB\u0000")]
+    want = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").selectExpr(voting.align("a", "b")).collect()]
+    assert voting.lay_over(pairs) == want
+    monkeypatch.setattr(voting, "CELLS", 100)
+    assert voting.lay_over(pairs) == want
+
+
+def test_each_uneven_pair_of_a_batch_is_aligned_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(voting, "lay_over", lambda pairs: seen.extend(pairs) or ["?"] * len(pairs))
+    got = voting._aligned(pa.array(["AB", "AB", None]), pa.array([["A", "XY", "A"], ["A", None], ["A"]]))
+    assert got.to_pylist() == [["?", "XY", "?"], ["?", None], None] and seen == [("AB", "A")]
