@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewise.functions import machines as M
 from gatewise.operators import evidence, grammar, joins, motion, ordered, registry, reports, sensors, voting
@@ -238,3 +239,23 @@ def test_expansion_never_shuffles(tables):
 def test_flagship_has_one_shuffle_of_events(tables):
     text = plan(reports.kpi_totals(decided_events(tables), limit=None, by="lane_name"))
     assert text.count("Exchange hashpartitioning(lane_name") == 1
+
+
+def test_a_chunk_reaches_its_fold_in_batches_and_in_order(spark, hot_lane):
+    """However long a chunk is, a step sees one batch of it and goes on from the state before."""
+    def step(state, rows, config):
+        seen = [state["last"], *(r["at"] for r in rows)]
+        return [{"n": len(rows), "ordered": seen == sorted(seen)}], {"last": seen[-1]}
+
+    output = T.ArrayType(T.StructType([T.StructField("n", T.LongType()), T.StructField("ordered", T.BooleanType())]))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 32)
+    try:
+        out = ordered.fold_chunks(hot_lane.repartition(5), ["lane"], F.lit(0).cast("long"), F.struct("at", "seq"), step, None, {}, output,
+                                  lambda config: {"last": -1}).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert max(r.n for r in out) <= 32 and all(r.ordered for r in out)
+    counts = {r["lane"]: r["count"] for r in hot_lane.groupBy("lane").count().collect()}
+    assert {lane: sum(r.n for r in out if r.lane == lane) for lane in counts} == counts
