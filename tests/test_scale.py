@@ -259,3 +259,10 @@ def test_a_chunk_reaches_its_fold_in_batches_and_in_order(spark, hot_lane):
     assert max(r.n for r in out) <= 32 and all(r.ordered for r in out)
     counts = {r["lane"]: r["count"] for r in hot_lane.groupBy("lane").count().collect()}
     assert {lane: sum(r.n for r in out if r.lane == lane) for lane in counts} == counts
+
+
+def test_pairs_of_passes_and_frames_are_not_left_to_the_tasks_of_a_scan(tables):
+    """The pairs are many more than the rows: both sides are dealt by lane and time, however small they are."""
+    found = sensors.frames_in_pass(tables.view("passes"), tables.view("frames"), 21_600.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
