@@ -214,3 +214,40 @@ def test_held_rows_come_hour_by_hour():
     assert held.least == min(r[0] for r in rows if r[0] > mark)
     assert [r for part in held.due(9 * hour) for r in part] == sorted(r for r in rows if r[0] > mark)
     assert held.least is None and not texts
+
+
+def test_passes_and_frames_meet_across_batches_and_replay_changes_nothing(spark, tmp_path):
+    """The epochs give the batch form's pairs, each once; held rows go behind the watermark; late rows are dropped."""
+    from gatewise.streaming import joined
+
+    second = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rng = random.Random(5)
+    passes = [(i, rng.choice("ab"), second(i * 7.0), second(i * 7.0 + rng.choice([5, 60])) if i % 3 else None) for i in range(80)]
+    frames = [(i, rng.choice("ab"), second(i * 2.0 + 0.5), "driver") for i in range(280)]
+    df_p = lambda rows: spark.createDataFrame(rows, "pass_id long, lane string, entry_ts timestamp_ntz, exit_clear_ts timestamp_ntz")
+    df_f = lambda rows: spark.createDataFrame(rows, "frame_id long, lane string, ts timestamp_ntz, camera string")
+    # Passes run ahead of or behind their frames by up to three epochs.
+    epochs = [([p for p in passes if (p[0] + p[0] % 3 * 10) // 20 == k], [f for f in frames if (f[0] + f[0] % 4 * 20) // 70 == k]) for k in range(6)]
+    assert sum(len(p) for p, _ in epochs) == 80 and sum(len(f) for _, f in epochs) == 280
+    path = str(tmp_path / "j")
+    write = joined.pass_frames_writer(path, ["pass_id", "frame_id"], 30.0, 600.0)
+    for k, (p, f) in enumerate(epochs):
+        for _ in range(2 if k == 2 else 1):
+            write(joined.both_streams(df_p(p), df_f(f)), k)
+    got = sorted((r.pass_id, r.frame_id) for r in spark.read.parquet(f"{path}/rows").collect())
+    want = sorted((r.pass_id, r.frame_id) for r in sensors.frames_in_pass(df_p(passes), df_f(frames), 30.0).collect())
+    assert got == want and len(got) > 300
+    write(joined.both_streams(df_p([(900, "a", second(9000.0), None)]), df_f([(900, "a", second(9001.0), "driver")])), 6)
+    assert {tuple(r) for r in spark.read.parquet(f"{path}/held/v6").select("pass.pass_id", "frame.frame_id").collect()} == {(900, None), (None, 900)}
+    write(joined.both_streams(df_p([(901, "a", second(8000.0), None)]), df_f([(901, "a", second(9002.0), "driver")])), 7)
+    last = {tuple(r) for r in spark.read.parquet(f"{path}/rows/epoch=7").select("pass_id", "frame_id").collect()}
+    assert last == {(900, 901)} and os.listdir(f"{path}/held") and sorted(os.listdir(f"{path}/held")) == ["v6", "v7"]
+
+
+def test_the_pass_and_frame_stream_meets_in_batches(spark, monkeypatch):
+    """Its pairs come from joins of whole batches, not from look-ups in a state store."""
+    from gatewise.plans import catalog  # noqa: F401
+    from gatewise.plans.registry import QUERIES
+
+    monkeypatch.setattr(jobs, "pass_frames_stream", None)
+    assert QUERIES["st7_pass_frames_stream"](spark, "/root/testdata/sf0.001").count() == QUERIES["j3_frames_in_pass"](spark, "/root/testdata/sf0.001").count()
