@@ -266,3 +266,40 @@ def test_pairs_of_passes_and_frames_are_not_left_to_the_tasks_of_a_scan(tables):
     found = sensors.frames_in_pass(tables.view("passes"), tables.view("frames"), 21_600.0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_leaders_of_a_batch_equal_plain_python(spark):
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+        return d[-1]
+
+    alike = lambda a, b: bool(a) and bool(b) and abs(len(a) - len(b)) <= 2 and edits(a, b) <= (1 if max(len(a), len(b)) <= 7 else 2)
+    rng, groups = random.Random(3), [[], [None, "", "A"]]
+    for _ in range(400):
+        base, group = [rng.choice("AB12") for _ in range(rng.randint(1, 12))], []
+        for _ in range(rng.randint(1, 12)):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randint(0, len(t)) : rng.randint(0, len(t))] = rng.choice(["", "A", "B2"])
+            group.append("".join(t))
+        groups.append(group)
+    want = []
+    for group in groups:
+        leaders = []
+        for t in group:
+            if not any(alike(x, t) for x in leaders):
+                leaders.append(t)
+        want.append((leaders, [next((k for k, x in enumerate(leaders) if alike(x, t)), -1) for t in group]))
+    assert list(zip(*voting.find_leaders(groups))) == want
+    df = spark.createDataFrame([(k, [(t,) for t in g]) for k, g in enumerate(groups)], "k long, members array<struct<n:string>>")
+    got = voting.with_leaders(df).orderBy("k").collect()
+    assert [(r.leaders, [m.c for m in r.members]) for r in got] == want
+
+
+def test_the_best_group_is_found_once_for_an_image(tables):
+    found = voting.rank_candidates(voting.attempt_candidates(tables.view("plate_reads")))
+    assert "lambda best" in found._jdf.queryExecution().optimizedPlan().toString()
