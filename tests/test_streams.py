@@ -251,3 +251,18 @@ def test_the_pass_and_frame_stream_meets_in_batches(spark, monkeypatch):
 
     monkeypatch.setattr(jobs, "pass_frames_stream", None)
     assert QUERIES["st7_pass_frames_stream"](spark, "/root/testdata/sf0.001").count() == QUERIES["j3_frames_in_pass"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_levels_of_an_hour_are_folded_together(spark, messages, tmp_path, monkeypatch):
+    """The stream's vectors are the batch form's, over batches that overlap, with no step of Python for a row."""
+    from gatewise.streaming import processors
+
+    monkeypatch.setattr(processors.OrderedFold, "__init__", None)
+    path = str(tmp_path / "m")
+    spill(messages, path)
+    stream = stream_of(spark, messages, path)
+    got = runtime.run_to_end(spark, lambda ends: jobs.loop_state_stream(stream, delay="10 minutes", ends=ends), "levels", 600.0)
+    text = F.array_join(F.transform("loops", lambda v: F.when(v, "1").otherwise("0")), "")
+    want = sensors.loop_state(messages).select("lane", "seq", text.alias("vector"))
+    rows = lambda df: sorted(map(tuple, df.select("lane", "seq", "vector").collect()))
+    assert rows(got) == rows(want) and len({r[2] for r in rows(want)}) == 4
