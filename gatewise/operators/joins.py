@@ -9,14 +9,23 @@ from gatewise.functions import plates as P
 
 
 def _deletions(n: str) -> str:
-    """SQL for every text left after deleting at most two characters of ``n``. Two texts within two
-    edits share one of these, so equality on them finds every similar pair."""
+    """SQL for every text left after deleting at most two characters of ``n``, one of a short text. Two
+    similar texts share one of these, so equality on them finds every similar pair."""
     once = f"transform(sequence(1, length({n})), i -> concat(substring({n}, 1, i - 1), substring({n}, i + 1)))"
     twice = (
         f"flatten(transform(sequence(1, length({n})), i -> transform(filter(sequence(1, length({n})), j -> j > i), j -> "
         f"concat(substring({n}, 1, i - 1), substring({n}, i + 1, j - i - 1), substring({n}, j + 1)))))"
     )
-    return f"array_distinct(concat(array({n}), {once}, {twice}))"
+    return f"array_distinct(concat(array({n}), {once}, if(length({n}) > {P.SHORT}, {twice}, cast(array() as array<string>))))"
+
+
+def _meeting(a: str, b: str) -> str:
+    """SQL for the one deletion of both texts at which a similar pair counts: ``a``, the longer, without its
+    first and its last character that differs from ``b``. Two edits must be spent there, so what lies between
+    is in ``b`` as well, shifted by one at most, and ``b`` has this deletion too."""
+    # In a|b: the longest beginning of both, then the shortest middle of a that leaves an ending of both.
+    parts = r"^(?>([^|]*)(?=[^|]*+\|\1))(?:[^|]??|[^|]([^|]*?)[^|])([^|]*+)\|\1[^|]*\3$"
+    return f"regexp_replace(concat({a}, '|', {b}), r'{parts}', '$1$2$3')"
 
 
 #: Texts up to this length meet on deletions, which grow with the square of the length; longer ones on segments.
@@ -45,7 +54,8 @@ def similar_plates(left: DataFrame, right: DataFrame, text: str = "plate_text")
 
     Both sides shrink to distinct texts first, so repeated plates cost one row. Candidates meet on a
     shared deletion of at most two characters rather than on length, which keeps the groups small, long
-    texts on a segment; the edit distance then decides, and a pair found more than once is kept once.
+    texts on a segment; the edit distance then decides. A pair that meets on several keys counts at one of
+    them that both texts name alike, so no pairs are moved to drop the others.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         n, long = f"{name}_text", _segments if name == "left" else _segment_places
@@ -56,7 +66,12 @@ def similar_plates(left: DataFrame, right: DataFrame, text: str = "plate_text")
         texts = df.groupBy(P.normalize_plate(F.col(text)).alias(f"{name}_text")).agg(F.count("*").alias(f"n_{name}"))
         return texts.filter(f"{name}_text <> ''").withColumn("del", F.explode(F.expr(keys)))
 
-    pairs = side(left, "left").join(side(right, "right"), "del").filter(P.similar(F.col("left_text"), F.col("right_text")))
-    return pairs.select(
-        "left_text", "right_text", "n_left", "n_right", F.levenshtein("left_text", "right_text").alias("distance")
-    ).dropDuplicates(["left_text", "right_text"])
+    # The planner sees the texts' size, not that of their many keys, which must not be broadcast.
+    met = side(left, "left").join(side(right, "right").hint("merge"), "del").filter(P.similar(F.col("left_text"), F.col("right_text")))
+    longest = "greatest(length(left_text), length(right_text))"
+    once = f"""CASE WHEN {longest} > {LONG + 2} THEN del = array_intersect({_segments("left_text")}, {_segment_places("right_text")})[0]
+        WHEN {longest} - length(del) <> levenshtein(left_text, right_text, 2) THEN false
+        WHEN length(left_text) >= length(right_text) THEN del = {_meeting("left_text", "right_text")}
+        ELSE del = {_meeting("right_text", "left_text")} END"""
+    return met.filter(once).select(
+        "left_text", "right_text", "n_left", "n_right", F.levenshtein("left_text", "right_text").alias("distance"))

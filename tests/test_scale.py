@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewise.functions import machines as M
+from gatewise.functions import plates as P
 from gatewise.operators import evidence, grammar, joins, motion, ordered, registry, reports, sensors, voting
 from gatewise.plans import sensing
 from gatewise.plans.reporting import decided_events
@@ -188,6 +189,26 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == {(r.a, r.b): (left.count(r.a), right.count(r.b)) for r in near}
 
 
+def test_similar_pairs_meet_once_without_moving_pairs(spark):
+    """Texts of few characters share many keys; each pair comes once, from a join on keys that nothing follows."""
+    rng = random.Random(6)
+    texts = ["".join(t) for n in (1, 2, 3, 7, 8) for t in itertools.product("AB", repeat=n)]
+    for n in (9, 10, 11, 31, 32, 33, 34, 35, 36, 37):
+        for _ in range(12):
+            base = [rng.choice("AB") for _ in range(n)]
+            noisy = [base[:], ["AB"[c == "A"] for c in base], base[1:] + base[:1], base[2:], base[:3] + ["1"] + base[3:], base[:-1] + ["0", "0"]]
+            noisy[0][rng.randrange(n)] = "2"
+            texts += map("".join, [base, *noisy])
+    df = spark.createDataFrame([(t,) for t in sorted(set(texts))], "plate_text string")
+    pairs = joins.similar_plates(df, df)
+    got = sorted((r.left_text, r.right_text, r.distance) for r in pairs.collect())
+    a, b = df.withColumnRenamed("plate_text", "a"), df.withColumnRenamed("plate_text", "b")
+    near = a.join(b, P.similar(F.col("a"), F.col("b"))).select("a", "b", F.levenshtein("a", "b"))
+    assert got == sorted(tuple(r) for r in near.collect()) and len(got) > 5_000
+    above, join, _ = plan(pairs).split("== Initial Plan ==")[-1].partition("SortMergeJoin")
+    assert join and "Exchange" not in above and "Aggregate" not in above
+
+
 # Plans -------------------------------------------------------------------------------------------
 
 def plan(df):
