@@ -295,6 +295,59 @@ def test_the_pass_and_frame_stream_stores_no_pairs(spark, tmp_path, monkeypatch)
     assert found.count() == 45_050 and stored <= 1_300  # the rows, held or not, and the marks
 
 
+def _strips(spark, path, epochs, replay=None, **given):
+    from gatewise.streaming import strips
+
+    schema = "pass_id long, seq long, ts timestamp_ntz, frame_rows int, dx double, dy double"
+    write = strips.strips_writer(path, **given)
+    for k, rows in enumerate(epochs):
+        for _ in range(2 if k == replay else 1):
+            write(spark.createDataFrame(rows, schema), k)
+    for _ in range(2 if replay is not None else 1):
+        write(spark.createDataFrame([], schema), len(epochs), last=True)
+    df = spark.createDataFrame([r for rows in epochs for r in rows], schema)
+    return df, sorted(map(tuple, strips.written_strips(spark, path, df.schema["pass_id"]).collect()), key=repr)
+
+
+def test_strips_of_an_epoch_are_folded_as_a_batch(spark, tmp_path):
+    """The epochs give the batch form's strips, reordered within the delay, replayed, with null passes, motions and times."""
+    from gatewise.operators import motion
+
+    second = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rng = random.Random(3)
+    frames = [(rng.choice([1, 2, 3, None]), i, second(i * 1.0), rng.choice([100, 1216]), rng.choice([0.0, 1.0, 1.0, None]),
+               rng.choice([30.0, -3.0, 75.5, 0.25, None, float("nan")])) for i in range(400)]
+    last = [(1, 400, None, 100, 1.0, 40.0), (2, 401, None, 100, 1.0, 40.0)]  # without a time: after all others
+    epochs = [[f for f in frames if (f[1] + f[1] % 4 * 20) // 115 == k] + (last if k == 0 else []) for k in range(4)]
+    assert sum(map(len, epochs)) == 402
+    df, got = _strips(spark, str(tmp_path / "s"), epochs, replay=2, delay_s=100.0)
+    want = sorted(map(tuple, motion.strip_plan(df).collect()), key=repr)
+    assert got == want and {400, 401} <= {r[1] for r in got} and any(r[0] is None for r in got)
+    assert {f.name for f in (tmp_path / "s/marks").iterdir()} == {"v3", "v4"}
+
+
+def test_late_frames_are_dropped_and_silent_passes_end(spark, tmp_path):
+    """A frame at the watermark is late; a pass silent for the idle time starts over, one that still waits does not."""
+    second = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    frame = lambda p, i, s, dy=30.0: (p, i, second(s), 1216, 0.0, dy)
+    epochs = [[frame(1, 0, 0), frame(1, 1, 1), frame(2, 2, 0)], [frame(3, 3, 700), frame(2, 4, 695)],
+              [frame(3, 5, 690), frame(3, 6, 691, 50.0), frame(1, 7, 701), frame(1, 8, 702, 25.0), frame(2, 9, 703)]]
+    _, got = _strips(spark, str(tmp_path / "s"), epochs, delay_s=10.0, idle_s=600.0)
+    assert [r for r in got if r[0] == 1] == [(1, 1, 30, True), (1, 8, 25, True)]  # the frame at 701 s is a reference again
+    assert [r for r in got if r[0] == 2] == [(2, 4, 30, True), (2, 9, 30, True)]  # its frame at 695 s waited
+    assert [r for r in got if r[0] == 3] == [(3, 3, 30, True)]  # 691 s is its reference, 690 s late
+
+
+def test_the_strip_stream_asks_no_state_store(spark, monkeypatch):
+    from gatewise.plans import catalog  # noqa: F401
+    from gatewise.plans.registry import QUERIES
+    from gatewise.streaming import processors
+
+    monkeypatch.setattr(processors.OrderedFold, "__init__", None)
+    found = QUERIES["st9_strip_plan_stream"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["pass_id", "seq", "rows", "at_top"] and found.count() == QUERIES["w6_strip_plan"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_levels_of_an_hour_are_folded_together(spark, messages, tmp_path, monkeypatch):
     """The stream's vectors are the batch form's, over batches that overlap, with no step of Python for a row."""
     from gatewise.streaming import processors
