@@ -1,5 +1,6 @@
 """Properties that must hold however rows are split, and plans that must not change."""
 
+import datetime
 import itertools
 import random
 
@@ -289,6 +290,40 @@ def test_pairs_of_passes_and_frames_are_not_left_to_the_tasks_of_a_scan(tables):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def _crowded(spark, n_passes, n_frames):
+    """Passes and frames of three hours, also without lane, time or label, and with equal times."""
+    at = lambda s: (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=s.cast("decimal(18,6)")))
+    lane = F.when(F.col("id") % 50 != 7, F.concat(F.lit("l"), (F.col("id") % 2).cast("string")))
+    entry = at(F.floor(F.col("id") * 10_800 / n_passes))
+    passes = spark.range(n_passes).select(F.col("id").alias("pass_id"), lane.alias("lane"), F.when(F.col("id") % 31 != 3, entry).alias("entry_ts"),
+                                          F.when(F.col("id") % 3 != 0, entry + F.make_dt_interval(secs=F.lit(2400) * (F.col("id") % 4 - 1))).alias("exit_clear_ts"))
+    frames = spark.range(n_frames).select(F.col("id").alias("frame_id"), lane.alias("lane"), F.when(F.col("id") % 29 != 5, at(F.floor(F.col("id") * 10_800 / n_frames))).alias("ts"),
+                                          F.when(F.col("id") % 4 != 1, F.lit("driver")).alias("label"))
+    return passes, frames
+
+
+def test_frames_meet_passes_in_blocks_and_no_pair_is_lost(spark):
+    passes, frames = _crowded(spark, 120, 3000)
+    found = sensors.frames_in_pass(passes, frames, 3600.0)
+    p, f = passes.collect(), frames.collect()
+    hour = datetime.timedelta(hours=1)
+    want = [(a.pass_id, b.frame_id, b.lane, b.label, b.ts) for a in p for b in f if None not in (a.lane, a.entry_ts, b.ts) and a.lane == b.lane
+            and a.entry_ts <= b.ts <= min(a.exit_clear_ts or a.entry_ts + hour, a.entry_ts + hour)]
+    assert found.columns == ["lane", "pass_id", "entry_ts", "exit_clear_ts", "end_ts", "frame_id", "ts", "label"]
+    assert sorted(map(repr, (tuple(r) for r in found.select("pass_id", "frame_id", "lane", "label", "ts").collect()))) == sorted(map(repr, want))
+    assert len(want) > 30 * sensors.BLOCK
+
+
+def test_written_pairs_of_a_crowded_lane_take_little_disk(spark, tmp_path):
+    """Pairs come block by block, so that files of pairs repeat themselves at short distance."""
+    passes, frames = _crowded(spark, 1000, 40_000)
+    pairs = sensors.frames_in_pass(passes, frames, 3600.0).select("pass_id", "frame_id", "label")
+    pairs.write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    size = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet"))
+    assert n > 2_000_000 and size < 0.6 * n, size / n
+
+
 def test_leaders_of_a_batch_equal_plain_python(spark):
     def edits(a, b):
         d = list(range(len(b) + 1))
