@@ -338,6 +338,28 @@ def test_late_frames_are_dropped_and_silent_passes_end(spark, tmp_path):
     assert [r for r in got if r[0] == 3] == [(3, 3, 30, True)]  # 691 s is its reference, 690 s late
 
 
+def test_the_strip_stream_equals_its_sql_on_rows_with_nulls(spark, tmp_path):
+    """Frames without a time come at the end of their pass, frames without a pass make no strip."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gatewise.plans import catalog  # noqa: F401
+    from gatewise.plans.registry import ORACLES, QUERIES
+
+    rng, n = random.Random(4), range(600)
+    some = lambda value, of: None if rng.randrange(of) == 0 else value
+    pq.write_table(pa.table({
+        "event_id": pa.array(n, pa.int64()), "ts": pa.array([some(datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.randrange(700)), 9) for _ in n], pa.timestamp("us")),
+        "user_id": pa.array([some(rng.randrange(6), 12) for _ in n], pa.int64()), "event_type": ["view"] * 600,
+        "value": [some(rng.uniform(0, 130), 8) for _ in n], "props": [""] * 600}), tmp_path / "events.parquet")
+    found = QUERIES["st9_strip_plan_stream"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLES["st9_strip_plan_stream"]).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
+
+
 def test_the_strip_stream_asks_no_state_store(spark, monkeypatch):
     from gatewise.plans import catalog  # noqa: F401
     from gatewise.plans.registry import QUERIES
